@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronosift.llm import exact_dedup, pieces, token_counts, token_files
+from chronosift.llm import exact_dedup, pieces, secrets, token_counts, token_files
 from chronosift.session import table
 
 
@@ -12,6 +12,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(_docs(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_docs(spark, sf_dir))
 
@@ -29,8 +33,8 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_token_counts, op8_exact_dedup, op9_token_files, op10_pieces)}
+    return {f.__name__: f for f in (op6_secrets, op7_token_counts, op8_exact_dedup, op9_token_files, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {"op6_secrets": secrets.OP6_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
