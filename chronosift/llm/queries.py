@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronosift.llm import exact_dedup, pieces, secrets, token_counts, token_files
+from chronosift.llm import exact_dedup, lm, pieces, quality, secrets, token_counts, token_files
 from chronosift.session import table
 
 
@@ -12,6 +12,14 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(_docs(spark, sf_dir))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_docs(spark, sf_dir))
 
@@ -33,7 +41,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_secrets, op7_token_counts, op8_exact_dedup, op9_token_files, op10_pieces)}
+    return {f.__name__: f for f in (op1_quality, op2_lm_scores, op6_secrets, op7_token_counts, op8_exact_dedup, op9_token_files, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
