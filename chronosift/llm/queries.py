@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronosift.llm import decontamination, exact_dedup, lm, near_dedup, pieces, quality, secrets, token_counts, token_files
+from chronosift.llm import decontamination, exact_dedup, lm, near_dedup, pieces, quality, secrets, suffix_dedup, token_counts, token_files
 from chronosift.session import table
 
 
@@ -20,6 +20,10 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(_docs(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_docs(spark, sf_dir))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_docs(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_lm_scores, op4_near_dedup, op5_decontamination, op6_secrets, op7_token_counts, op8_exact_dedup, op9_token_files, op10_pieces)}
+    return {f.__name__: f for f in (op1_quality, op2_lm_scores, op3_suffix_dedup, op4_near_dedup, op5_decontamination, op6_secrets, op7_token_counts, op8_exact_dedup, op9_token_files, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,8 +1,65 @@
-"""The corpus pipeline."""
+"""A corpus pipeline of five stages over `documents`.
 
-STAGES = []
+Quality filter, exact dedup, near dedup, benchmark decontamination, piece
+encoding. Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all
+but the last return the columns of `documents`, whatever they are, for the rows
+that stay. Each result is written as Parquet and read again as the next stage's
+docs. Null texts count as empty; an empty table stays empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronosift.llm import decontamination, exact_dedup, near_dedup, pieces, quality
+from chronosift.session import stored, table
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject; it learns from labelled rows among docs."""
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    scored = quality.quality_scores(docs, table(spark, sf_dir, "labels"), keep=rest)
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal without white space, the longest original stays."""
+    kept = exact_dedup.dedup(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked near duplicates stays."""
+    kept = near_dedup.near_dedup(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text."""
+    return pieces.encode_decode(docs, full=False)
+
+
+STAGES = [
+    ("quality", quality_filter),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark_leaks),
+    ("pieces", encode_pieces),
+]
+
+#: Classifier scores and library encodings have no SQL form; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
