@@ -58,8 +58,9 @@ def timestamp_of(raw: Column, now: Column | None = None) -> tuple[Column, Column
     now = F.current_timestamp() if now is None else now
     number = raw.try_cast("double")
     micros = F.when(number.isNotNull(), (F.when(number > 1e11, number * 1e3).otherwise(number * 1e6)).try_cast("long"))
-    forms = ["yyyy/MM/dd HH:mm:ss", "dd MMM yyyy HH:mm:ss", "MMM d, yyyy HH:mm:ss", "EEE, dd MMM yyyy HH:mm:ss Z", "MM/dd/yyyy HH:mm:ss", "yyyyMMdd'T'HHmmss"]
-    text = F.coalesce(raw.try_cast("timestamp"), *[F.try_to_timestamp(raw, F.lit(f)) for f in forms])
+    forms = ["yyyy/MM/dd HH:mm:ss", "dd MMM yyyy HH:mm:ss", "MMM d, yyyy HH:mm:ss", "dd MMM yyyy HH:mm:ss Z", "MM/dd/yyyy HH:mm:ss", "yyyyMMdd'T'HHmmss"]
+    bare = F.regexp_replace(raw, "^[A-Za-z]{3}, ", "")  # without the day's name
+    text = F.coalesce(raw.try_cast("timestamp"), *[F.try_to_timestamp(bare, F.lit(f)) for f in forms])
     ts = F.when(number.isNotNull(), F.timestamp_micros(micros)).otherwise(text)
     reason = (
         F.when(raw.isNull() | (F.trim(raw) == ""), "MISSING_TIMESTAMP").when(ts.isNull(), "INVALID_TIMESTAMP")
