@@ -16,7 +16,7 @@ from chronosift.operators import investigation as G
 from chronosift.operators import profile as P
 from chronosift.operators import windowing as WN
 from chronosift.plans.adapter import SPLIT, SPLIT_S, canonical_events, ev_sql
-from chronosift.session import table
+from chronosift.session import stored, table
 from chronosift.sources import canonical as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -460,7 +460,8 @@ def _scored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     for d in (base, new):
         d = D.stat_score(d, params).withColumn("stat_score", F.round("raw_score", 9)).withColumnRenamed("top_feature", "stat_feature")
         d = D.rarity_score(d, tables, n).withColumn("rare_score", F.round("raw_score", 9))
-        out.append(d.drop("raw_score"))
+        # scores are read several times below: for the distribution, its ranges and the rows
+        out.append(stored(d.drop("raw_score"), "scored"))
     return out[0], out[1]
 
 
@@ -487,7 +488,7 @@ def rarity_detector(spark, sf_dir):
 def _evidence(spark, sf_dir) -> DataFrame:
     base, new = _scored(spark, sf_dir)
     e = D.calibrate(new, base, "stat_score", "evidence_stat")
-    return D.calibrate(e, base, "rare_score", "evidence_rare")
+    return stored(D.calibrate(e, base, "rare_score", "evidence_rare"), "evidence")
 
 
 _EVID = _SCORES + f""", eb AS (SELECT * FROM sc WHERE {_BASE}), es AS (SELECT stat_score, count(*) AS n FROM eb GROUP BY 1), er AS (SELECT rare_score, count(*) AS n FROM eb GROUP BY 1),
@@ -585,8 +586,6 @@ _LABELS = _EPI + """, en2 AS (SELECT episode_id, episode_start_s, peak_evidence,
 
 @query(_LABELS)
 def episode_labels(spark, sf_dir):
-    from chronosift.session import stored
-
     e = stored(_episodes(spark, sf_dir), "episodes")
     return G.temporal_labels(e).select("episode_id", _joined("labels"))
 
@@ -600,7 +599,7 @@ def _alerts(spark, sf_dir) -> DataFrame:
     SELECT episode_id FROM epi WHERE NOT EXISTS (SELECT 1 FROM al WHERE ts_s BETWEEN episode_start_s - 300 AND episode_end_s + 300
     AND (list_contains(list_concat(list_concat(users, ips), hosts), a) OR list_contains(list_concat(list_concat(users, ips), hosts), b)))""")
 def model_only_candidates(spark, sf_dir):
-    return G.model_only(_episodes(spark, sf_dir), _alerts(spark, sf_dir)).select("episode_id")
+    return G.model_only(stored(_episodes(spark, sf_dir), "episodes"), _alerts(spark, sf_dir)).select("episode_id")
 
 
 _FLAGGED = ("user_name='user_3'", "login_volume", "event_count")
