@@ -3,9 +3,7 @@
 The normaliser follows the model's compiled character map (a double-array trie
 over UTF-8 byte strings with a replacement each): at every position the longest
 key wins, else one character stays. Every normalised byte remembers the source
-byte it came from, so pieces project to spans of the original text. Where no
-piece has a space mark after another character, text splits before runs of
-marks and the parts, which repeat, are encoded once.
+byte it came from, so pieces project to spans of the original text.
 Cases: null and empty texts have no ids; the empty text decodes to itself;
 repeated rows and further columns change nothing.
 """
@@ -20,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chronosift.llm.common import Memo, arrow_map, settle, texts_of
+from chronosift.llm.common import arrow_map, texts_of
 from chronosift.llm.tokens import vocabulary
 
 PIECE_BPE = "piece_bpe_32k.model"
@@ -79,7 +77,7 @@ class CharacterMap:
 class Pieces:
     """Encoder and decoder of one BPE model with byte pieces."""
 
-    def __init__(self, name: str = PIECE_BPE, limit: int = 400_000):
+    def __init__(self, name: str = PIECE_BPE):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -97,68 +95,33 @@ class Pieces:
         #: Bytes of a piece where a mark is three bytes, and where it is one.
         self.marked = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in model.pieces], np.int64)
         self.plain = np.array([len(x) for x in self.bytes], np.int64)
-        #: Whether parts between runs of marks may be encoded alone: no piece has a mark after another character.
-        self.by_parts = not self.map.units and not any(MARK in p.piece.lstrip(MARK) for p in model.pieces)
-        self.memo = Memo(lambda part: self._fill([part])[0], limit)
-
-    def encode(self, text: str) -> tuple[list[int], np.ndarray]:
-        """Ids, and per piece the end of its span in the bytes of the original
-        text; spans follow each other without gaps, the added mark has none."""
-        if not text:
+
+    def encode_all(self, texts: list[str]) -> list[tuple[list[int], np.ndarray]]:
+        """Per text: ids, and per piece the end of its span in the bytes of the
+        original text; spans follow each other without gaps, the added mark has
+        none."""
+        found = self.sp.encode(texts, num_threads=1)
+        plain = not self.map.units  # without marks in the text every byte stands for itself
+        return [(x, self.plain[x].cumsum() - 1) if plain and x and MARK not in t else self._project(t, x) for t, x in zip(texts, found)]
+
+    def _project(self, text: str, ids: list[int]) -> tuple[list[int], np.ndarray]:
+        """Spans by the alignment of the normalised text."""
+        if not ids:
             return [], np.zeros(0, np.int64)
-        ids = self.sp.encode(text)
-        if not self.map.units and MARK not in text:  # every byte stands for itself
-            return ids, np.cumsum(self.plain[ids]) - 1
         norm, source = self.map.normalise(text.encode())
-        mark, places, at = MARK.encode(), [0, 0, 0], 0
+        places, at = [0, 0, 0], 0  # three bytes of the added mark
         for part in re.split(b"( )", norm):
             places += [source[at]] * 3 if part == b" " else source[at : at + len(part)]
             at += len(part)
         places.append(source[-1])
         ends = np.cumsum(self.marked[ids])
         if ends[-1] != len(places) - 1:
-            raise ValueError(f"pieces cover {ends[-1]} of {len(places) - 1} bytes; {mark!r} is the mark")
+            raise ValueError(f"pieces cover {ends[-1]} of {len(places) - 1} normalised bytes")
         return ids, np.asarray(places)[ends]
 
-    def _fill(self, parts: list[str]) -> list[tuple[bytes, bytes, bytes]]:
-        """For parts that begin with a space: ids (little-endian unsigned
-        32-bit), the same as decimals, and decoded bytes. One library call."""
-        words = [p[1:] for p in parts]
-        found = self.sp.encode(words, num_threads=1)
-        for i, w in enumerate(words):
-            if not w.strip(" "):  # only marks: encoded behind a letter
-                found[i] = self.sp.encode("a" + parts[i])[1:]
-        return [(np.asarray(x, "<u4").tobytes(), b",".join([b"%d" % i for i in x]), b"".join([self.bytes[i] for i in x])) for x in found]
-
-    def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, bytes, str]]:
-        """Per text: ids, span ends, decimals joined by commas, decoded text."""
-        parts: list[list[str] | None] = []
-        for t in texts:
-            if not t or not self.by_parts or MARK in t:
-                parts.append(None)
-            elif "  " in t or t[0] == " " or t[-1] == " ":
-                parts.append(_PARTS.findall(" " + t))
-            else:
-                parts.append(t.split(" "))
-                parts[-1] = [" " + w for w in parts[-1]]
-        missing = [p for p in set().union(*(x for x in parts if x)) if p not in self.memo and len(p) <= self.memo.longest]
-        if len(self.memo) + len(missing) > self.memo.limit:
-            self.memo.clear()
-        self.memo.update(zip(missing, self._fill(missing)))
-        out = []
-        for t, x in zip(texts, parts):
-            if x is None:  # empty, or with marks of its own
-                ids, ends = self.encode(t)
-                out.append((np.asarray(ids, np.int64), ends, b",".join([b"%d" % i for i in ids]), self.decode(ids)))
-                continue
-            packed, decimals, decoded = zip(*map(self.memo.__getitem__, x), strict=True)
-            ids = np.frombuffer(b"".join(packed), "<u4")
-            out.append((ids, np.cumsum(self.plain[ids]) - 1, b",".join(decimals), b"".join(decoded)[1:].decode("utf-8", "replace")))
-        return out
-
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(id, start, end) per piece, in bytes of the original UTF-8 text."""
-        ids, ends = self.encode(text)
+        ids, ends = self.encode_all([text])[0]
         return list(zip(ids, [0, *ends[:-1].tolist()], ends.tolist()))
 
     def decode(self, ids: list[int]) -> str:
@@ -169,9 +132,6 @@ class Pieces:
         return raw.decode("utf-8", "replace")
 
 
-_PARTS = re.compile(r" +[^ ]*")
-
-
 @lru_cache(maxsize=2)
 def pieces(name: str = PIECE_BPE) -> Pieces:
     return Pieces(name)
@@ -186,16 +146,17 @@ def encode_decode(docs: DataFrame, name: str = PIECE_BPE, full: bool = True) ->
     in source bytes (little-endian unsigned 32-bit integers) and the decoded
     text; else the SHA-256 of the ids (decimals joined by commas) and of the
     decoded text, made beside the encoder so that they needn't leave it."""
-    sha = lambda x: hashlib.sha256(x).hexdigest()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        settle()
-        got = pieces(name).encode_all(b.column("text").to_pylist())
-        out = [b.column("doc_id").cast(pa.int64()), pa.array([len(x[0]) for x in got], pa.int64())]
+        p = pieces(name)
+        got = p.encode_all(b.column("text").to_pylist())
+        decoded = [p.decode(x) for x, _ in got]
+        out = [b.column("doc_id").cast(pa.int64()), pa.array([len(x) for x, _ in got], pa.int64())]
         if full:
-            out += [pa.array([x[0].astype(np.int32) for x in got], pa.list_(pa.int32())), pa.array([x[1].astype("<u4").tobytes() for x in got], pa.binary()), pa.array([x[3] for x in got], pa.string())]
+            out += [pa.array([x for x, _ in got], pa.list_(pa.int32())), pa.array([e.astype("<u4").tobytes() for _, e in got], pa.binary()), pa.array(decoded, pa.string())]
             return pa.record_batch(out, names=["doc_id", "n_tokens", "ids", "span_ends", "decoded"])
-        out += [pa.array([sha(x[2]) for x in got], pa.string()), pa.array([sha(x[3].encode()) for x in got], pa.string())]
+        out += [pa.array([sha(",".join(map(str, x))) for x, _ in got], pa.string()), pa.array(map(sha, decoded), pa.string())]
         return pa.record_batch(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return arrow_map(texts_of(docs), run, FULL if full else DIGESTS)
