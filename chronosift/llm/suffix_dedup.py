@@ -5,7 +5,7 @@ smaller doc_id goes. Not all suffixes are sorted, only those that can matter:
 
 1. Anchors. In every SPAN-byte window the GRAM-byte string of least hash is an
    anchor; equal windows have the same anchor at the same place, so windows fall
-   into runs by their anchor, one run in about 18 bytes. Anchor hashes are dealt
+   into runs by their anchor, one run in about 14 bytes. Anchor hashes are dealt
    into buckets and those of a single document are dropped.
 2. Suffixes at the remaining anchors, with what their run's windows cover, are
    range-partitioned by their leading bytes with sampled splitters. Before that
@@ -41,11 +41,11 @@ from chronosift.llm.common import slices, texts_of
 from chronosift.llm.shingles import mix
 from chronosift.session import stored
 
-SPAN, GRAM = 50, 16
+SPAN, GRAM = 50, 24
 #: Places of a gram within a window.
 PLACES = SPAN - GRAM + 1
 #: Bytes of text per pack of documents, about; bytes hashed at a time; windows compared at a time.
-PACK_BYTES, BLOCK, WINDOWS = 16 << 20, 1 << 20, 400_000
+PACK_BYTES, BLOCK, WINDOWS = 12 << 20, 1 << 20, 300_000
 SAMPLE = 256
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -74,7 +74,7 @@ class Anchors:
     def __init__(self, texts: list[bytes]):
         sizes = np.array([len(t) for t in texts], np.int64)
         self.begin = np.cumsum(sizes) - sizes
-        self.buf = np.frombuffer(b"".join(texts) + bytes(SPAN + 16), np.uint8)
+        self.buf = np.frombuffer(b"".join(texts) + bytes(SPAN + 32), np.uint8)
         total = int(sizes.sum())
         windows = np.maximum(sizes - SPAN + 1, 0)
         self.doc = np.zeros(0, np.int64)
@@ -83,8 +83,8 @@ class Anchors:
         if not windows.sum():
             return
         n = total + SPAN
-        words = _load(self.buf, n + 8)
-        h = mix(words[:n] * np.uint64(0x9E3779B97F4A7C15) + words[8 : n + 8] * np.uint64(0xC2B2AE3D27D4EB4F))
+        words = _load(self.buf, n + 16)
+        h = mix(words[:n] * np.uint64(0x9E3779B97F4A7C15) + words[8 : n + 8] * np.uint64(0xC2B2AE3D27D4EB4F) + words[16:] * np.uint64(0x165667B19E3779F9))
         least = _slide(h, PLACES, np.minimum)[:total]
         valid = np.zeros(total, bool)
         own = np.repeat(np.arange(len(texts)), windows)
@@ -271,6 +271,19 @@ def _words(buf: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return np.stack([flat[at + s] for s in steps], 1).astype(np.uint64)
 
 
+def _settled(r: np.ndarray, flat: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """Which runs have an equal one in a smaller document, and each run's bytes."""
+    size = r["size"].astype(np.int64)
+    at = np.cumsum(size) - size
+    texts = [flat[b : b + s] for b, s in zip(at.tolist(), size.tolist())]
+    docs, lefts, first = r["doc"].tolist(), r["left"].tolist(), {}
+    keys = list(zip(texts, lefts))
+    for k, d in zip(keys, docs):
+        if first.setdefault(k, d) > d:
+            first[k] = d
+    return np.fromiter(map(first.__getitem__, keys), np.int64, len(keys)) < r["doc"], texts
+
+
 def route(packed: pa.Table, keys: np.ndarray, splitters: np.ndarray, buckets: int) -> pa.Table:
     """Runs of shared anchors of one pack: those that another document of the
     pack decides become covered spans, the others go to their range's bucket."""
@@ -293,33 +306,33 @@ def route(packed: pa.Table, keys: np.ndarray, splitters: np.ndarray, buckets: in
     empty = pa.table([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary())], names=["bucket", "runs", "bytes", "pack", "spans"])
     if not sum(map(len, runs)):
         return empty
-    r, flat, lead = np.concatenate(runs), b"".join(data), np.concatenate(leads)
-    size = r["size"].astype(np.int64)
-    at = np.cumsum(size) - size
+    r, lead = np.concatenate(runs), np.concatenate(leads)
     # equal runs within the pack: only those of the smallest document go on
-    first: dict[tuple, int] = {}
-    docs, texts, lefts = r["doc"].tolist(), [flat[b : b + s] for b, s in zip(at.tolist(), size.tolist())], r["left"].tolist()
-    for x, l, d in zip(texts, lefts, docs):
-        if first.setdefault((x, l), d) > d:
-            first[x, l] = d
-    covered = np.fromiter((first[x, l] < d for x, l, d in zip(texts, lefts, docs)), bool, len(docs))
+    covered, texts = _settled(r, b"".join(data))
     pack = packed.column("pack")[0].as_py()
     rows = []
     c = r[covered]
     if len(c):
         rows.append((-1, None, None, pack, _merge(c["doc"], c["start"], c["start"] + c["size"]).tobytes()))
-    left = np.flatnonzero(~covered)
+    left, squeeze = np.flatnonzero(~covered), zstandard.ZstdCompressor(level=3)
     for b, w in _groups(np.searchsorted(splitters, lead[left], side="right").astype(np.int64)):
         pick = left[w]
-        rows.append((b, r[pick].tobytes(), b"".join([texts[i] for i in pick.tolist()]), None, None))
+        rows.append((b, squeeze.compress(r[pick].tobytes()), squeeze.compress(b"".join([texts[i] for i in pick.tolist()])), None, None))
     c = list(zip(*rows))
     return pa.table([pa.array(x, t) for x, t in zip(c, (pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()))], names=empty.column_names)
 
 
 def resolve(table: pa.Table, packs: int) -> pa.Table:
     """One range bucket: sort, compare, and return covered spans by pack."""
-    r = np.frombuffer(b"".join(table.column("runs").to_pylist()), _RUN)
-    buf = np.frombuffer(b"".join(table.column("bytes").to_pylist()) + bytes(8), np.uint8)
+    expand = zstandard.ZstdDecompressor()
+    plain = lambda c: b"".join(map(expand.decompress, table.column(c).to_pylist()))
+    r = np.frombuffer(plain("runs"), _RUN)
+    covered, texts = _settled(r, plain("bytes"))
+    done = r[covered]
+    found: list[np.ndarray] = [_merge(done["doc"], done["start"], done["start"] + done["size"])]
+    keep = np.flatnonzero(~covered)
+    r, buf = r[keep], np.frombuffer(b"".join([texts[i] for i in keep.tolist()]) + bytes(8), np.uint8)
+    del texts
     size = r["size"].astype(np.int64)
     at = np.cumsum(size) - size
     order, same = multikey_order(_words(buf, at + r["left"], GRAM))
@@ -328,7 +341,6 @@ def resolve(table: pa.Table, packs: int) -> pa.Table:
     d = r["doc"][order]
     several = np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts)
     order, group = order[several[group]], group[several[group]]
-    found: list[np.ndarray] = []
     n_windows = size[order] - SPAN + 1
     # whole groups, about WINDOWS windows at a time
     ends = np.flatnonzero(np.concatenate([group[1:] != group[:-1], [True]])) + 1 if len(group) else []
@@ -349,7 +361,7 @@ def resolve(table: pa.Table, packs: int) -> pa.Table:
         if len(hit):
             s = r["start"][run[hit]] + offset[hit]
             found.append(_merge(r["doc"][run[hit]], s, s + SPAN))
-    spans = np.concatenate(found) if found else np.zeros(0, _SPANS)
+    spans = np.concatenate(found)
     rows = [(p, spans[w].tobytes()) for p, w in _groups(_pack_of(spans["doc"], packs))]
     c = list(zip(*rows)) if rows else [(), ()]
     return pa.table([pa.array(c[0], pa.int32()), pa.array(c[1], pa.binary())], names=["pack", "spans"])
