@@ -6,9 +6,9 @@ each order representatives are sorted by signature; those that share at least
 LEAST leading values form a region, and within it a document's neighbours in the
 order - those with the longest common prefix - are its candidates. Depth adapts
 by itself: where a region is dense its neighbours agree to greater depth. Links
-are confirmed on the full shingle sets, in two steps: close neighbours of the
-first orders, then all remaining candidates between different components (within
-a component a further link changes nothing).
+are confirmed on the full shingle sets, in steps: close neighbours of the first
+orders, then all remaining candidates between different components (within a
+component a further link changes nothing).
 
 A pair at similarity s is in one region of an order with probability s ** LEAST;
 at 0.75 it is in none of the 32 orders with probability 2.4e-8.
@@ -39,8 +39,9 @@ WORDS = 5
 #: Similarity threshold as a fraction of whole numbers: 100 * |A n B| >= 75 * |A u B|.
 PERCENT = 75
 ORDERS, DEPTH, LEAST = 32, 5, 3
-#: Orders and distance of the first step; distance of the second.
-FIRST_ORDERS, FIRST_REACH, REACH = 8, 1, 4
+#: Farthest neighbours in an order. Steps of confirmation: (orders, distance) up to which candidates are due.
+REACH = 4
+STEPS = ((2, 1), (ORDERS, REACH))
 
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(0, 2**63, ORDERS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,16 +76,18 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def _pairs(rows: list[tuple], row: tuple, reach: int) -> Iterator[tuple[int, int, int, int]]:
-    """Candidates of a row with those before it in its region: order, distance, ids."""
-    order, key, doc = row
-    for d, (o, k, other) in enumerate(reversed(rows), 1):
+    """Candidates of a row with those before it in its region: order, distance,
+    ids. The smaller set must have PERCENT of the larger one's size."""
+    order, key, doc, n = row
+    for d, (o, k, other, m) in enumerate(reversed(rows), 1):
         if d > reach or o != order or k[: 4 * LEAST] != key[: 4 * LEAST]:
             return
-        yield order, d, min(doc, other), max(doc, other)
+        if 100 * min(m, n) >= PERCENT * max(m, n):
+            yield order, d, min(doc, other), max(doc, other)
 
 
 def candidates(reps: DataFrame, parts: int) -> DataFrame:
-    """(ord, dist, a, b) of neighbours in the sorted orders; reps: doc_id, sig."""
+    """(ord, dist, a, b) of neighbours in the sorted orders; reps: doc_id, sig, n_shingles."""
     width = 4 * DEPTH
 
     def spread(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -92,10 +95,11 @@ def candidates(reps: DataFrame, parts: int) -> DataFrame:
         flat = b"".join(b.column("sig").to_pylist())
         keys = [flat[at : at + width] for at in range(0, len(flat), width)]
         return pa.record_batch(
-            [pa.array(np.tile(np.arange(ORDERS, dtype=np.int32), len(ids))), pa.array(keys, pa.binary()), pa.array(np.repeat(ids, ORDERS))], names=["ord", "key", "doc_id"]
+            [pa.array(np.tile(np.arange(ORDERS, dtype=np.int32), len(ids))), pa.array(keys, pa.binary()), pa.array(np.repeat(ids, ORDERS)), pa.array(np.repeat(b.column("n_shingles").to_numpy(), ORDERS))],
+            names=["ord", "key", "doc_id", "n"],
         )
 
-    rows = arrow_map(reps.select("doc_id", "sig"), spread, "ord int, key binary, doc_id long", "sig")
+    rows = arrow_map(reps.select("doc_id", "sig", "n_shingles"), spread, "ord int, key binary, doc_id long, n long", "sig")
     dealt = rows.repartitionByRange(parts, "ord", "key", "doc_id").sortWithinPartitions("ord", "key", "doc_id")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,15 +108,15 @@ def candidates(reps: DataFrame, parts: int) -> DataFrame:
         seen = 0
         for b in batches:
             out, edges = [], []
-            for row in zip(b.column("ord").to_pylist(), b.column("key").to_pylist(), b.column("doc_id").to_pylist()):
+            for row in zip(b.column("ord").to_pylist(), b.column("key").to_pylist(), b.column("doc_id").to_pylist(), b.column("n").to_pylist()):
                 if last and last[-1][1][: 4 * LEAST] == row[1][: 4 * LEAST]:
                     out += _pairs(last, row, REACH)
                 if seen < REACH:
-                    edges.append((row[0], 0, row[2], 0, row[1]))
+                    edges.append((row[0], 0, row[2], row[3], row[1]))
                 last.append(row)
                 seen += 1
             yield _batch([(*p, None) for p in out] + edges)
-        yield _batch([(o, -1, d, 0, k) for o, k, d in last])
+        yield _batch([(o, -1, d, n, k) for o, k, d, n in last])
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         o, d, a, b, k = zip(*rows) if rows else ((), (), (), (), ())
@@ -120,7 +124,7 @@ def candidates(reps: DataFrame, parts: int) -> DataFrame:
 
     found = stored(dealt.mapInArrow(scan, "ord int, dist int, a long, b long, key binary"), "candidates")
     # regions that two partitions share: a few edge rows of each partition
-    edges = sorted({(r.ord, bytes(r.key), r.a) for r in found.where("dist <= 0").collect()})
+    edges = sorted({(r.ord, bytes(r.key), r.a, r.b) for r in found.where("dist <= 0").collect()})
     more = [p for i, row in enumerate(edges) for p in _pairs(edges[max(0, i - REACH) : i], row, REACH)]
     across = found.sparkSession.createDataFrame(more, "ord int, dist int, a long, b long")
     return found.where("dist > 0").select("ord", "dist", "a", "b").unionByName(across)
@@ -130,10 +134,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that are similar enough on their full sets (doc_id, items)."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b"))
-    # sizes alone exclude many: the smaller set must have 75 % of the larger one's
-    sized = pairs.join(sets.select(F.col("doc_id").alias("a"), F.octet_length("items").alias("na")), "a").join(sets.select(F.col("doc_id").alias("b"), F.octet_length("items").alias("nb")), "b")
-    sized = sized.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).select("a", "b")
-    both = sized.join(left, "a").join(right, "b")
+    both = pairs.join(left, "a").join(right, "b")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -150,9 +151,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
     spark = docs.sparkSession
     f = stored(features(docs), "features")
-    classes = stored(f.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    classes = stored(f.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cand = candidates(classes.select(F.col("rep").alias("doc_id"), "sig"), parts)
+    cand = candidates(classes.select(F.col("rep").alias("doc_id"), "sig", "n_shingles"), parts)
     cand = stored(cand.groupBy("a", "b").agg(F.min("ord").alias("ord"), F.min("dist").alias("dist")).where("a != b"), "pairs")
     ids = cand.select(F.col("a").alias("doc_id")).union(cand.select("b")).distinct()
 
@@ -160,16 +161,22 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         items = [s.astype("<u8").tobytes() for s in shingle_sets(b.column("text").to_pylist(), WORDS)]
         return pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(items, pa.binary())], names=["doc_id", "items"])
 
-    asked = texts_of(docs).join(ids, "doc_id", "left_semi")
+    # the ids grow with the corpus: merged, never broadcast
+    asked = texts_of(docs).join(ids.hint("merge"), "doc_id", "left_semi")
     sets = stored(arrow_map(asked, make, "doc_id long, items binary").dropDuplicates(["doc_id"]), "sets")
-    first = F.expr(f"ord < {FIRST_ORDERS} and dist <= {FIRST_REACH}")
-    links = stored(confirmed(cand.where(first).select("a", "b"), sets), "confirmed")
-    comp = stored(components(links), "components")
-    of = lambda side: comp.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
-    rest = cand.where(~first).select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = stored(confirmed(rest, sets), "confirmed")
-    comp = stored(components(links.unionByName(more)), "components")
+    links = comp = None
+    due = F.lit(False)
+    for orders, reach in STEPS:
+        now = (F.col("ord") < orders) & (F.col("dist") <= reach)
+        rest = cand.where(now & ~due).select("a", "b")
+        due = due | now
+        if comp is not None:
+            of = lambda side: comp.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))  # noqa: B023, E731
+            rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        new = stored(confirmed(rest, sets), "confirmed")
+        # what is connected already needs no more than its star
+        links = new if comp is None else new.unionByName(comp.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        comp = stored(components(links), "components")
     owner = classes.select("fp", "rep").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     owner = owner.select("fp", F.coalesce("component", "rep").alias("class_component"))
     out = f.select("doc_id", "n_shingles", "fp").join(owner, "fp", "left")
