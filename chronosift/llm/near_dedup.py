@@ -10,6 +10,12 @@ are confirmed on the full shingle sets, in steps: close neighbours of the first
 orders, then all remaining candidates between different components (within a
 component a further link changes nothing).
 
+A region of more than REACH + 1 documents has pairs that are no neighbours. If
+such a region still holds several components, it goes on exactly: regions with
+common documents form a crowd, and all pairs of a crowd between different
+components are compared on their full sets, in salted blocks. So every pair that
+shares a region is linked if it is similar enough.
+
 A pair at similarity s is in one region of an order with probability s ** LEAST;
 at 0.75 it is in none of the 32 orders with probability 2.4e-8.
 
@@ -42,6 +48,8 @@ ORDERS, DEPTH, LEAST = 32, 5, 3
 #: Farthest neighbours in an order. Steps of confirmation: (orders, distance) up to which candidates are due.
 REACH = 4
 STEPS = ((2, 1), (ORDERS, REACH))
+#: Documents and shingles in a block of a crowd, about; shingles compared at a time.
+BLOCK_ROWS, BLOCK_ITEMS, SLAB = 1000, 1 << 20, 4096
 
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(0, 2**63, ORDERS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,9 +94,11 @@ def _pairs(rows: list[tuple], row: tuple, reach: int) -> Iterator[tuple[int, int
             yield order, d, min(doc, other), max(doc, other)
 
 
-def candidates(reps: DataFrame, parts: int) -> DataFrame:
-    """(ord, dist, a, b) of neighbours in the sorted orders; reps: doc_id, sig, n_shingles."""
-    width = 4 * DEPTH
+def candidates(reps: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(ord, dist, a, b) of neighbours in the sorted orders, and (ord, region,
+    doc_id, n_shingles) of all rows in regions that may hold more than REACH + 1;
+    reps: doc_id, sig, n_shingles."""
+    width, shared = 4 * DEPTH, 4 * LEAST
 
     def spread(b: pa.RecordBatch) -> pa.RecordBatch:
         ids = b.column("doc_id").to_numpy()
@@ -103,9 +113,10 @@ def candidates(reps: DataFrame, parts: int) -> DataFrame:
     dealt = rows.repartitionByRange(parts, "ord", "key", "doc_id").sortWithinPartitions("ord", "key", "doc_id")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidates within the partition, and its edge rows (dist 0: first, -1: last)."""
+        """Candidates within the partition, its edge rows (dist 0: first, -1: last) and the rows of its crowded regions (dist -2)."""
         last: deque = deque(maxlen=REACH)
         seen = 0
+        region, held, crowded = None, [], False
         for b in batches:
             out, edges = [], []
             for row in zip(b.column("ord").to_pylist(), b.column("key").to_pylist(), b.column("doc_id").to_pylist(), b.column("n").to_pylist()):
@@ -113,10 +124,17 @@ def candidates(reps: DataFrame, parts: int) -> DataFrame:
                     out += _pairs(last, row, REACH)
                 if seen < REACH:
                     edges.append((row[0], 0, row[2], row[3], row[1]))
+                if region != (row[0], row[1][:shared]):
+                    # the first and the last region of a partition may go on in another
+                    crowded, held, region = region is None, [], (row[0], row[1][:shared])
+                (edges if crowded else held).append((row[0], -2, row[2], row[3], row[1][:shared]))
+                if len(held) > REACH + 1:
+                    edges += held
+                    crowded, held = True, []
                 last.append(row)
                 seen += 1
             yield _batch([(*p, None) for p in out] + edges)
-        yield _batch([(o, -1, d, n, k) for o, k, d, n in last])
+        yield _batch([(o, -1, d, n, k) for o, k, d, n in last] + held)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         o, d, a, b, k = zip(*rows) if rows else ((), (), (), (), ())
@@ -124,10 +142,11 @@ def candidates(reps: DataFrame, parts: int) -> DataFrame:
 
     found = stored(dealt.mapInArrow(scan, "ord int, dist int, a long, b long, key binary"), "candidates")
     # regions that two partitions share: a few edge rows of each partition
-    edges = sorted({(r.ord, bytes(r.key), r.a, r.b) for r in found.where("dist <= 0").collect()})
+    edges = sorted({(r.ord, bytes(r.key), r.a, r.b) for r in found.where("dist in (0, -1)").collect()})
     more = [p for i, row in enumerate(edges) for p in _pairs(edges[max(0, i - REACH) : i], row, REACH)]
     across = found.sparkSession.createDataFrame(more, "ord int, dist int, a long, b long")
-    return found.where("dist > 0").select("ord", "dist", "a", "b").unionByName(across)
+    members = found.where("dist = -2").select("ord", F.col("key").alias("region"), F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
+    return found.where("dist > 0").select("ord", "dist", "a", "b").unionByName(across), members
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -147,15 +166,79 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_map(both, run, "a long, b long", "items_a")
 
 
+def _links(t: pa.Table) -> pa.Table:
+    """Similar pairs of two blocks of a crowd, enough of them to join the components that any pair joins."""
+    ids, block = t.column("doc_id").to_numpy(), t.column("block").to_numpy()
+    _, comp = np.unique(t.column("component").to_numpy(), return_inverse=True)
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    out: list[tuple[int, int]] = []
+    if comp.any() and block.min() == t.column("i")[0].as_py() and block.max() == t.column("j")[0].as_py():
+        sets = [np.frombuffer(x, "<u8") for x in t.column("items").to_pylist()]
+        n = np.array([len(s) for s in sets], np.int64)
+        _, item, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row, often = np.repeat(np.arange(len(sets)), n), times > 1
+        row, item = row[often[item]], (np.cumsum(often) - 1)[item[often[item]]]
+        order = np.argsort(item, kind="stable")
+        row, item = row[order], item[order]
+        common = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int(often.sum()), SLAB):
+            lo, hi = np.searchsorted(item, [at, at + SLAB])
+            has = np.zeros((len(sets), SLAB), np.float32)
+            has[row[lo:hi], item[lo:hi] - at] = 1
+            common += has[left] @ has[right].T
+        both = common.astype(np.int64)
+        near = (100 * both >= PERCENT * (n[left][:, None] + n[right] - both)) & (comp[left][:, None] != comp[right])
+        p, q = (side[at] for side, at in zip((left, right), np.nonzero(near)))
+        _, first = np.unique(np.minimum(comp[p], comp[q]) * len(sets) + np.maximum(comp[p], comp[q]), return_index=True)
+        top = list(range(len(sets)))
+
+        def find(x: int) -> int:
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        for x, y in zip(p[first].tolist(), q[first].tolist()):
+            u, v = find(int(comp[x])), find(int(comp[y]))
+            if u != v:
+                top[u] = v
+                out.append((int(ids[x]), int(ids[y])))
+    return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+
+def crowd_links(members: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the components (id, component) that a crowded region
+    holds; None where each such region is within one component."""
+    of = comp.select(F.col("id").alias("doc_id"), "component")
+    m = stored(members.join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "crowded")
+    by = ["ord", "region"]
+    regions = m.groupBy(by).agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("first"))
+    regions = stored(regions.where(f"n > {REACH + 1} and lo < hi").select(*by, "first"), "regions")
+    if not regions.head(1):
+        return None
+    group = components(m.join(regions, by).select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    rows = m.select("doc_id", "component", "n_shingles").distinct().join(group.select(F.col("id").alias("doc_id"), F.col("component").alias("crowd")), "doc_id")
+    rows = stored(rows, "crowds")
+    # the largest component of a crowd meets only the rest: its own pairs are linked already
+    size = rows.groupBy("crowd", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("items"))
+    need = lambda n, items: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(items / BLOCK_ITEMS))
+    plan = size.groupBy("crowd").agg(F.max(F.struct("n", "component", "items")).alias("main"), F.sum("n").alias("n"), F.sum("items").alias("items"))
+    plan = plan.select("crowd", F.col("main.component").alias("main"), need(F.col("main.n"), F.col("main.items")).alias("mains"), need(F.col("n") - F.col("main.n"), F.col("items") - F.col("main.items")).alias("rests"))
+    is_main, salt = F.col("component") == F.col("main"), F.xxhash64("doc_id")
+    rows = rows.join(plan, "crowd").where("rests > 0").withColumn("block", F.when(is_main, F.pmod(salt, F.col("mains"))).otherwise(F.col("mains") + F.pmod(salt, F.col("rests"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(is_main, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("rests") - 1)))
+    rows = rows.select("crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component")
+    return rows.join(sets, "doc_id").groupBy("crowd", "i", "j").applyInArrow(_links, "a long, b long")
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
     spark = docs.sparkSession
     f = stored(features(docs), "features")
     classes = stored(f.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cand = candidates(classes.select(F.col("rep").alias("doc_id"), "sig", "n_shingles"), parts)
+    cand, members = candidates(classes.select(F.col("rep").alias("doc_id"), "sig", "n_shingles"), parts)
     cand = stored(cand.groupBy("a", "b").agg(F.min("ord").alias("ord"), F.min("dist").alias("dist")).where("a != b"), "pairs")
-    ids = cand.select(F.col("a").alias("doc_id")).union(cand.select("b")).distinct()
+    ids = cand.select(F.col("a").alias("doc_id")).union(cand.select("b")).union(members.select("doc_id")).distinct()
 
     def make(b: pa.RecordBatch) -> pa.RecordBatch:
         items = [s.astype("<u8").tobytes() for s in shingle_sets(b.column("text").to_pylist(), WORDS)]
@@ -177,6 +260,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         # what is connected already needs no more than its star
         links = new if comp is None else new.unionByName(comp.select(F.col("id").alias("a"), F.col("component").alias("b")))
         comp = stored(components(links), "components")
+    more = crowd_links(members, comp, sets)
+    if more is not None:
+        links = stored(more, "confirmed").unionByName(comp.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        comp = stored(components(links), "components")
     owner = classes.select("fp", "rep").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     owner = owner.select("fp", F.coalesce("component", "rep").alias("class_component"))
     out = f.select("doc_id", "n_shingles", "fp").join(owner, "fp", "left")

@@ -32,6 +32,18 @@ def test_near_dedup_chain_of_edits(spark):
     assert got == near_components(rows)
 
 
+def test_near_dedup_in_a_template_group(spark):
+    """Pairs at 0.77 among many documents of one template at 0.73: too many neighbours for a fixed reach."""
+    template, rows = words(50, 300), []
+    for i in range(240):
+        rows.append((i, f"{template} {' '.join(f'own{i}x{k}' for k in range(54))}", "en", "s", 0))
+    for i in range(30):
+        rows.append((1000 + i, " ".join(rows[i][1].split()[:308]) + " " + " ".join(f"late{i}x{k}" for k in range(46)), "en", "s", 0))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_dedup(frame(spark, rows)).collect()}
+    assert got == near_components(rows)
+    assert all(got[1000 + i][1] == i for i in range(30)) and all(got[i][2] for i in range(240))
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(1, 2), (7, 2), (300, 300)]
     d = spark.createDataFrame(links, "a long, b long")
