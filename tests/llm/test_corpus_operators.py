@@ -215,6 +215,41 @@ def test_lm_gradients():
         assert (up - down) / 2e-2 == pytest.approx(g[k][at], rel=0.1, abs=2e-4), k
 
 
+def test_lm_tells_rare_ids_apart_by_context():
+    """Two ids of one class, each after its own context: both levels are distributions and learn which one follows."""
+    counts = np.full(400, 5)
+    v = lm.Vocabulary.of_counts(counts)
+    m = lm.Attention(v.n_classes, vocabulary=v)
+    k = v.n_classes - 1
+    a, b = v.order[v.edges[k]], v.order[v.edges[k] + 1]
+    side = np.arange(64) % 2
+    x = np.repeat(side[:, None], lm.WINDOW, 1)
+    ids = np.where(x == 0, a, b)
+    w = np.ones(x.shape, np.float32)
+    rng = np.random.default_rng(6)
+    m.p["u"] += rng.normal(0, 0.3, m.p["u"].shape).astype(np.float32)
+    t, g = v.class_of[ids], m.gradients(x, v.class_of[ids], w, ids)
+
+    def loss():
+        y = m.body(x)[-1].reshape(-1, lm.DIM)
+        return -(m.chosen(y, t.ravel()) + m.chosen_id(y, ids.ravel())).mean()
+
+    for name in ("u", "q", "o", "w1", "pos"):
+        at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
+        m.p[name][at] += 1e-2
+        up = loss()
+        m.p[name][at] -= 2e-2
+        down = loss()
+        m.p[name][at] += 1e-2
+        assert (up - down) / 2e-2 == pytest.approx(g[name][at], rel=0.1, abs=2e-4), name
+    m.fit(x, t, w, passes=60, batch=16, rate=2e-2, ids=ids)
+    y = m.body(x)[-1][:, -1]
+    every = np.arange(v.edges[k], v.edges[k + 1])
+    p = np.exp([m.chosen_id(y[:2], np.array([i, i])) for i in v.order[every]])
+    assert np.allclose(p.sum(0), 1, atol=1e-4)
+    assert p[0, 0] > 0.8 > 0.2 > p[1, 0] and p[1, 1] > 0.8 > 0.2 > p[0, 1]
+
+
 def test_pipeline_by_hand(spark, tmp_path):
     """Each stage's decisions hold: what it drops is what its operator says."""
     import corpus_pipeline as P
