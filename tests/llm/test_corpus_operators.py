@@ -173,6 +173,74 @@ def test_lm_base_and_model(spark):
     assert lm.lm_scores(empty(spark)).count() == 0
 
 
+def naive_score(s, text: str) -> float:
+    """Window by window and id by id, in plain double precision."""
+    p, v = {k: a.astype(float) for k, a in s.model.p.items()}, s.vocabulary
+    ids = s.ids([text])[0].tolist()
+    starts, first = lm.layout(len(ids))
+    total, scored = 0.0, set()
+    for start, f in zip(starts.tolist(), first.tolist()):
+        places = range(start, min(len(ids), start + lm.WINDOW))
+        h = np.array([p["e"][s.model.start if i == 0 else v.embedding_of[ids[i - 1]]] + p["pos"][i - start] for i in places])
+        q, k, val = h @ p["q"], h @ p["k"], h @ p["v"]
+        for row, i in enumerate(places):
+            if row < f:
+                continue
+            a = np.exp([q[row] @ k[j] / lm.DIM**0.5 for j in range(row + 1)])
+            y = h[row] + (a / a.sum()) @ val[: row + 1] @ p["o"]
+            classes = np.exp(np.maximum(y @ p["w1"] + p["b1"], 0) @ p["w2"] + y @ p["w3"] + p["b"])
+            c = v.class_of[ids[i]]
+            lo, hi = v.edges[c], v.edges[c + 1]
+            inside = np.exp(p["u"][lo:hi] @ y + v.log_within[v.order[lo:hi]] * np.log(10))
+            total += np.log10(classes[c] / classes.sum() * inside[v.rank[ids[i]] - lo] / inside.sum())
+            assert i not in scored
+            scored.add(i)
+    assert len(scored) == len(ids)
+    return total
+
+
+def small_scorer() -> lm.Scorer:
+    texts = [words(i, 40) for i in range(12)]
+    plain = lm.Scorer(lm.Vocabulary.of_counts(np.ones(lm.vocabulary_size(lm.WORD_BPE) + 1, int)), lm.Attention(1))
+    counts = sum(np.bincount(x, minlength=plain.end + 1) for x in plain.ids(texts))
+    v = lm.Vocabulary.of_counts(counts)
+    s = lm.Scorer(v, lm.Attention(v.n_classes, vocabulary=v))
+    return s.start_from(np.vstack([w for i, t in enumerate(texts) for w in s.segments(t, i, 1)]))
+
+
+def test_lm_score_is_that_of_a_naive_model():
+    s = small_scorer()
+    texts = ["", "x", words(3, 5), words(4, 90), words(5, 200) + " 日本語 ñ", ROWS[12][1]]
+    assert s.scores(texts) == pytest.approx([naive_score(s, t) for t in texts], rel=1e-4)
+    assert s.scores(texts[::-1])[::-1] == pytest.approx(s.scores(texts), rel=1e-5)
+
+
+def test_lm_segments_cover_every_text_in_the_end():
+    """With a share of one, every position but the first after each cut is learned from; other shares take their part of all segments."""
+    s = small_scorer()
+    text = words(8, 500)
+    every = np.vstack(s.segments(text, 5, 1))
+    real = every[:, -lm.WINDOW :].astype(bool)
+    got = every[:, lm.WINDOW : 2 * lm.WINDOW][real]
+    assert set(got.tolist()) == set(s.ids([text])[0].tolist()) and len(got) >= len(s.ids([text])[0])
+    n = [sum(map(len, s.segments(text, k, 8))) for k in range(200)]
+    assert 0.6 < sum(n) / 200 / (len(every) / 8) < 1.6
+
+
+def test_lm_learns_from_all_training_documents(spark):
+    """The pass improves on the start, and its result doesn't depend on how rows are dealt to one worker."""
+    import copy
+
+    rows = [(i, words(i % 60, 120), None, None, 0) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    s = small_scorer()
+    texts = [words(i, 120) for i in range(20)]
+    before = s.scores(texts).sum()
+    learned = lm.learn(d, copy.deepcopy(s), 3, 2)
+    assert learned.scores(texts).sum() > before + 10
+    assert lm.learn(d.where("false"), copy.deepcopy(s), 3, 2).scores(texts).sum() == pytest.approx(before)
+
+
 def test_lm_windows_score_each_position_once():
     for n in (1, 31, 32, 33, 56, 57, 500):
         starts, first, room = lm.batch_windows(np.array([n, 3]))
@@ -199,7 +267,7 @@ def test_lm_gradients():
     rng = np.random.default_rng(4)
     x, t = rng.integers(0, 40, (4, lm.WINDOW)), rng.integers(0, 12, (4, lm.WINDOW))
     w = np.ones(x.shape, np.float32)
-    g = m.gradients(x, t, w)
+    g, _ = m.gradients(x, t, w)
 
     def loss():
         out, _ = m.forward(x)
@@ -228,10 +296,15 @@ def test_lm_tells_rare_ids_apart_by_context():
     w = np.ones(x.shape, np.float32)
     rng = np.random.default_rng(6)
     m.p["u"] += rng.normal(0, 0.3, m.p["u"].shape).astype(np.float32)
-    t, g = v.class_of[ids], m.gradients(x, v.class_of[ids], w, ids)
+    t = v.class_of[ids]
+    g, du = m.gradients(x, t, w, ids)
+    g["u"] = np.zeros_like(m.p["u"])
+    for (lo, hi), part in du.items():
+        g["u"][lo:hi] += part
 
     def loss():
-        y = m.body(x)[-1].reshape(-1, lm.DIM)
+        m.table = None
+        y = m.body(x).reshape(-1, lm.DIM)
         return -(m.chosen(y, t.ravel()) + m.chosen_id(y, ids.ravel())).mean()
 
     for name in ("u", "q", "o", "w1", "pos"):
@@ -243,7 +316,7 @@ def test_lm_tells_rare_ids_apart_by_context():
         m.p[name][at] += 1e-2
         assert (up - down) / 2e-2 == pytest.approx(g[name][at], rel=0.1, abs=2e-4), name
     m.fit(x, t, w, passes=60, batch=16, rate=2e-2, ids=ids)
-    y = m.body(x)[-1][:, -1]
+    y = m.body(x)[:, -1]
     every = np.arange(v.edges[k], v.edges[k + 1])
     p = np.exp([m.chosen_id(y[:2], np.array([i, i])) for i in v.order[every]])
     assert np.allclose(p.sum(0), 1, atol=1e-4)
