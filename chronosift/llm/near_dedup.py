@@ -1,7 +1,7 @@
 """Near duplicates by an LSH forest with exact confirmation.
 
-Documents with equal shingle sets form a class, represented by its smallest
-doc_id. Each representative has ORDERS signatures of DEPTH minimum hashes. In
+Documents with equal shingle sets form a class, represented by the text of its
+smallest doc_id. Each representative has ORDERS signatures of DEPTH minimum hashes. In
 each order representatives are sorted by signature; those that share at least
 LEAST leading values form a region, and within it a document's neighbours in the
 order - those with the longest common prefix - are its candidates. Depth adapts
@@ -21,8 +21,10 @@ at 0.75 it is in none of the 32 orders with probability 2.4e-8.
 
 Cases: null, empty and white-space texts have the empty set and no links; short
 texts are one shingle; exact copies join by their class, never by pairs;
-repeated rows are copies; an empty table gives an empty result; further columns
-are ignored; very long texts are hashed whole.
+repeated rows are copies, and rows that share a doc_id are one node, linked with
+whatever any of their texts is similar to; rows without a doc_id are never
+linked: they are kept with a null component; an empty table gives an empty
+result; further columns are ignored; very long texts are hashed whole.
 """
 
 from __future__ import annotations
@@ -66,6 +68,11 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def fingerprint(items: np.ndarray) -> bytes:
+    """128 bits of a sorted shingle set."""
+    return hashlib.blake2b(items.astype("<u8").tobytes(), digest_size=16).digest()
+
+
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, fp (fingerprint of the set), sig (null for empty sets)."""
 
@@ -74,7 +81,7 @@ def features(docs: DataFrame) -> DataFrame:
         full = [s for s in sets if len(s)]
         sigs = iter(signatures(full)) if full else iter(())
         sig = [next(sigs).tobytes() if len(s) else None for s in sets]
-        fp = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        fp = [fingerprint(s) for s in sets]
         return pa.record_batch(
             [b.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())],
             names=["doc_id", "n_shingles", "fp", "sig"],
@@ -234,19 +241,28 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
     spark = docs.sparkSession
     f = stored(features(docs), "features")
-    classes = stored(f.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
+    known = f.where("n_shingles > 0 and doc_id is not null")
+    # a class has a number of its own: a doc_id may have several texts
+    classes = known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cand, members = candidates(classes.select(F.col("rep").alias("doc_id"), "sig", "n_shingles"), parts)
+    cand, members = candidates(classes.select(F.col("node").alias("doc_id"), "sig", "n_shingles"), parts)
     cand = stored(cand.groupBy("a", "b").agg(F.min("ord").alias("ord"), F.min("dist").alias("dist")).where("a != b"), "pairs")
-    ids = cand.select(F.col("a").alias("doc_id")).union(cand.select("b")).union(members.select("doc_id")).distinct()
+    ids = cand.select(F.col("a").alias("node")).union(cand.select("b")).union(members.select("doc_id")).distinct()
+    asked = classes.select("node", "fp", "rep").join(ids.hint("merge"), "node", "left_semi")
 
     def make(b: pa.RecordBatch) -> pa.RecordBatch:
-        items = [s.astype("<u8").tobytes() for s in shingle_sets(b.column("text").to_pylist(), WORDS)]
-        return pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(items, pa.binary())], names=["doc_id", "items"])
+        sets = shingle_sets(b.column("text").to_pylist(), WORDS)
+        return pa.record_batch([pa.array(map(fingerprint, sets), pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["fp", "items"])
 
     # the ids grow with the corpus: merged, never broadcast
-    asked = texts_of(docs).join(ids.hint("merge"), "doc_id", "left_semi")
-    sets = stored(arrow_map(asked, make, "doc_id long, items binary").dropDuplicates(["doc_id"]), "sets")
+    texts = texts_of(docs).join(asked.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    sets = arrow_map(texts, make, "fp binary, items binary").join(asked.select("fp", "node").hint("merge"), "fp")
+    sets = stored(sets.select(F.col("node").alias("doc_id"), "items").dropDuplicates(["doc_id"]), "sets")
+    # classes that share a doc_id are joined by it
+    same = known.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("doc_id")
+    same = known.select("doc_id", "fp").distinct().join(same.hint("merge"), "doc_id", "left_semi").join(classes.select("fp", "node"), "fp")
+    same = same.join(same.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b").where("a != b")
     links = comp = None
     due = F.lit(False)
     for orders, reach in STEPS:
@@ -256,7 +272,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         if comp is not None:
             of = lambda side: comp.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))  # noqa: B023, E731
             rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        new = stored(confirmed(rest, sets), "confirmed")
+        new = confirmed(rest, sets)
+        new = stored(new if comp is not None else new.unionByName(same), "confirmed")
         # what is connected already needs no more than its star
         links = new if comp is None else new.unionByName(comp.select(F.col("id").alias("a"), F.col("component").alias("b")))
         comp = stored(components(links), "components")
@@ -264,8 +281,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     if more is not None:
         links = stored(more, "confirmed").unionByName(comp.select(F.col("id").alias("a"), F.col("component").alias("b")))
         comp = stored(components(links), "components")
-    owner = classes.select("fp", "rep").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    owner = owner.select("fp", F.coalesce("component", "rep").alias("class_component"))
-    out = f.select("doc_id", "n_shingles", "fp").join(owner, "fp", "left")
-    c = F.when(F.col("n_shingles") > 0, F.col("class_component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", c.alias("component_id"), (F.col("doc_id") == c).alias("kept"))
+    owner = classes.select("fp", "rep", F.col("node").alias("id")).join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    smallest = owner.groupBy("component").agg(F.min("rep").alias("component_id"))
+    owner = owner.join(smallest, "component").select("fp", "component_id")
+    out = f.join(owner, "fp", "left")
+    c = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    c = F.when(F.col("doc_id").isNotNull(), c)
+    return out.select("doc_id", "n_shingles", c.alias("component_id"), F.col("doc_id").eqNullSafe(c).alias("kept"))
