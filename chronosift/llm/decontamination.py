@@ -5,7 +5,8 @@ Texts and benchmark items are reduced to their lower-cased letters and digits
 set of patterns: its whole compact form if short, else overlapping pieces of
 PATTERN bytes. A pattern of length m occurs within e edits, e = m * EDIT_PERCENT
 / 100, only where a diagonal band holds at least m - q + 1 - q * e shared q-grams
-(the lemma). Bands of the document's diagonals overlap by half, so that every
+(the lemma). Patterns too short for that bound with q = Q have shorter grams, so
+every pattern has a bound of one at least; patterns of one q share an index. Bands of the document's diagonals overlap by half, so that every
 occurrence lies within one; bands that meet the bound are retained, and verified
 by an alignment banded to the diagonals of the region.
 
@@ -14,9 +15,12 @@ against MAX_BENCHMARK_BYTES, beyond which it is taken in blocks, one pass each,
 so that any benchmark works and no broadcast grows.
 
 Cases: null and empty texts are clean; items without letters or digits are
-ignored; items shorter than q must occur literally; repeated items and rows give
-the same result; empty tables give clean documents; very long texts are scanned
-whole; further columns are ignored.
+ignored; of ties the smallest item_id is named; repeated items and rows, also of
+one doc_id, and null ids are each handled alone and give the same result; empty
+tables give clean documents; very long texts are scanned whole; further columns
+are ignored. A verbatim part of an item is found wherever it holds a whole
+pattern, which any PATTERN + PATTERN_STEP compact bytes of a long item do; less
+than that, or part of an item shorter than PATTERN, is no contamination.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from chronosift.llm.common import arrow_map, texts_of
 
 Q = 8
 EDIT_PERCENT = 8
-PATTERN, PATTERN_STEP = 160, 80
+PATTERN, PATTERN_STEP = 96, 24
 #: Compact benchmark bytes of one pass.
 MAX_BENCHMARK_BYTES = 8 << 20
 _DROP = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -52,20 +56,27 @@ def patterns_of(data: bytes) -> list[bytes]:
     return [data[s : s + PATTERN] for s in starts]
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """All q-grams as 64-bit integers."""
-    if len(data) < Q:
+def grams(data: np.ndarray, q: int = Q) -> np.ndarray:
+    """All q-grams (q up to 8) as 64-bit integers."""
+    if len(data) < q:
         return np.zeros(0, np.uint64)
-    return np.ndarray((len(data) - Q + 1,), "<u8", data.tobytes(), 0, (1,)).astype(np.uint64)
+    wide = np.ndarray((len(data) - q + 1,), "<u8", data.tobytes() + bytes(8), 0, (1,)).astype(np.uint64)
+    return wide & np.uint64((1 << 8 * q) - 1)
 
 
 def budget(m: int) -> int:
     return m * EDIT_PERCENT // 100
 
 
+def gram_size(m: int) -> int:
+    """Q, or less where the lemma's bound needs it."""
+    return min(Q, m // (budget(m) + 1))
+
+
 def bound(m: int) -> int:
     """Shared q-grams that an occurrence within the budget has at least."""
-    return m - Q + 1 - Q * budget(m)
+    q = gram_size(m)
+    return m - q + 1 - q * budget(m)
 
 
 def banded(pattern: np.ndarray, region: np.ndarray, e: int) -> tuple[int, int]:
@@ -96,25 +107,45 @@ def banded(pattern: np.ndarray, region: np.ndarray, e: int) -> tuple[int, int]:
 
 
 class Index:
-    """q-grams of all patterns, and what is looked for."""
+    """What is looked for: patterns by the size of their grams."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
-        self.items: list[int] = []
-        self.patterns: list[np.ndarray] = []
-        self.short: dict[bytes, int] = {}
+        least: dict[bytes, int] = {}
         for item, data in items:
             for p in patterns_of(data):
-                if bound(len(p)) < 1:
-                    self.short[p] = min(item, self.short.get(p, item))
-                else:
-                    self.items.append(item)
-                    self.patterns.append(np.frombuffer(p, np.uint8))
-        own = [grams(p) for p in self.patterns]
-        flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
+                least[p] = min(item, least.get(p, item))
+        self.parts = [_Part(q, [(i, p) for p, i in least.items() if gram_size(len(p)) == q]) for q in sorted({gram_size(len(p)) for p in least})]
+        # a pattern that several items share stands for all of them
+        self.sharing: dict[bytes, list[int]] = {}
+        for item, data in items:
+            for p in set(patterns_of(data)):
+                self.sharing.setdefault(p, []).append(item)
+
+    def matches(self, text: str) -> list[tuple[int, int, int]]:
+        """(item, edits, end of the occurrence in the compact form), the least edits of each item."""
+        data = compact(text)
+        best: dict[int, tuple[int, int]] = {}
+        doc = np.frombuffer(data, np.uint8)
+        for part in self.parts:
+            for pattern, edits, end in part.matches(doc):
+                for item in self.sharing[pattern]:
+                    best[item] = min(best.get(item, (99999, 0)), (edits, end))
+        return sorted((i, e, at) for i, (e, at) in best.items())
+
+
+class _Part:
+    """The q-grams of all patterns of one q."""
+
+    def __init__(self, q: int, patterns: list[tuple[int, bytes]]):
+        self.q = q
+        self.raw = [p for _, p in patterns]
+        self.patterns = [np.frombuffer(p, np.uint8) for p in self.raw]
+        own = [grams(p, q) for p in self.patterns]
+        flat = np.concatenate(own)
         order = np.argsort(flat, kind="stable")
         self.grams = flat[order]
-        self.pattern_of = np.repeat(np.arange(len(own)), [len(g) for g in own])[order] if own else order
-        self.place_of = np.concatenate([np.arange(len(g)) for g in own])[order] if own else order
+        self.pattern_of = np.repeat(np.arange(len(own)), [len(g) for g in own])[order]
+        self.place_of = np.concatenate([np.arange(len(g)) for g in own])[order]
         # a table of bits by hash: most of a document's q-grams stop here
         self.bits = 22
         self.table = np.zeros(1 << self.bits, bool)
@@ -126,30 +157,21 @@ class Index:
     def _hash(self, g: np.ndarray) -> np.ndarray:
         return (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
-    def matches(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, edits, end of the occurrence in the compact form), the least edits of each item."""
-        data = compact(text)
-        best: dict[int, tuple[int, int]] = {}
-        for p, item in self.short.items():
-            if (at := data.find(p)) >= 0:
-                best[item] = min(best.get(item, (99999, 0)), (0, at + len(p)))
-        if self.patterns and len(data) >= Q:
-            doc = np.frombuffer(data, np.uint8)
-            for pattern, diagonal, span in self._regions(doc):
-                m, e = int(self.length[pattern]), int(self.e[pattern])
-                start = max(0, diagonal - e)
-                region = doc[start : diagonal + span + m + e]
-                if len(region) < m - e:
-                    continue
-                edits, end = banded(self.patterns[pattern], region, e)
-                if edits <= e:
-                    item = self.items[pattern]
-                    best[item] = min(best.get(item, (99999, 0)), (edits, start + end))
-        return sorted((i, e, at) for i, (e, at) in best.items())
+    def matches(self, doc: np.ndarray) -> Iterator[tuple[bytes, int, int]]:
+        """(pattern, edits, end) of occurrences within the budget."""
+        for pattern, diagonal, span in self._regions(doc):
+            m, e = int(self.length[pattern]), int(self.e[pattern])
+            start = max(0, diagonal - e)
+            region = doc[start : diagonal + span + m + e]
+            if len(region) < m - e:
+                continue
+            edits, end = banded(self.patterns[pattern], region, e)
+            if edits <= e:
+                yield self.raw[pattern], edits, start + end
 
     def _regions(self, doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(pattern, first diagonal, diagonals) of the bands that meet the bound."""
-        g = grams(doc)
+        g = grams(doc, self.q)
         at = np.flatnonzero(self.table[self._hash(g)])
         if not len(at):
             return
@@ -163,7 +185,7 @@ class Index:
         shift = PATTERN
         diagonal = place - self.place_of[which] + shift
         e = self.e[pattern]
-        width = 2 * (e + 1)  # an occurrence spans e + 1 diagonals; bands begin every e + 1
+        # an occurrence spans e + 1 diagonals; bands of twice as many begin every e + 1
         first = diagonal // (e + 1)
         top = int(first.max()) + 2
         # a shared q-gram counts in the two bands that hold its diagonal; one place of the document counts once per band
