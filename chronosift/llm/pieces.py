@@ -4,8 +4,12 @@ The normaliser follows the model's compiled character map (a double-array trie
 over UTF-8 byte strings with a replacement each): at every position the longest
 key wins, else one character stays. Every normalised byte remembers the source
 byte it came from, so pieces project to spans of the original text.
-Cases: null and empty texts have no ids; the empty text decodes to itself;
-repeated rows and further columns change nothing.
+Every text takes this way, also where the model's map is empty (that of
+piece_bpe_32k.model is): then no byte can begin a key, and the walk has one run.
+Cases: null and empty texts have no ids and no spans; the empty text decodes to
+itself; very long texts are encoded whole; repeated rows, also of one doc_id, and
+null ids are encoded each; further columns change nothing; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +36,15 @@ class CharacterMap:
         n = int.from_bytes(blob[:4], "little") if blob else 0
         self.units = np.frombuffer(blob, "<u4", n // 4, 4).tolist() if n else []
         self.strings = blob[4 + n :]
+        # bytes that a key can begin with: all others pass in runs
+        first = [b for b in range(256) if self._begins(b)]
+        self.first = re.compile(b"[" + b"".join(re.escape(bytes([b])) for b in first) + b"]") if first else re.compile(b"(?!)")
+
+    def _begins(self, byte: int) -> bool:
+        if not self.units:
+            return False
+        place = ((self.units[0] >> 10) << ((self.units[0] & 512) >> 6)) ^ byte
+        return place < len(self.units) and self.units[place] & 0x800000FF == byte
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest key at `at`, and its replacement."""
@@ -53,25 +66,31 @@ class CharacterMap:
                 found = i + 1 - at, self.strings[begin : self.strings.index(b"\0", begin)]
         return found
 
-    def normalise(self, data: bytes) -> tuple[bytes, list[int]]:
+    def normalise(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each the source position it begins at;
         one more entry gives the end."""
-        if not self.units:
-            return data, list(range(len(data) + 1))
-        out, source, at = bytearray(), [], 0
+        out: list[bytes] = []
+        source: list[np.ndarray] = []
+        at = 0
         while at < len(data):
-            hit = self.longest(data, at)
+            start = self.first.search(data, at)
+            stop = start.start() if start else len(data)
+            out.append(data[at:stop])
+            source.append(np.arange(at, stop))
+            if stop == len(data):
+                break
+            hit = self.longest(data, stop)
             if hit is None:
                 n = 1
-                while at + n < len(data) and data[at + n] & 0xC0 == 0x80:
+                while stop + n < len(data) and data[stop + n] & 0xC0 == 0x80:
                     n += 1
-                hit = n, data[at : at + n]
-                source += range(at, at + n)
+                hit = n, data[stop : stop + n]
+                source.append(np.arange(stop, stop + n))
             else:
-                source += [at] * len(hit[1])
-            out += hit[1]
-            at += hit[0]
-        return bytes(out), [*source, len(data)]
+                source.append(np.full(len(hit[1]), stop))
+            out.append(hit[1])
+            at = stop + hit[0]
+        return b"".join(out), np.concatenate([*source, [len(data)]])
 
 
 class Pieces:
@@ -92,32 +111,27 @@ class Pieces:
         self.map = CharacterMap(spec.precompiled_charsmap)
         self.bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type == 3 else p.piece.replace(MARK, " ").encode() for p in model.pieces]
         self.byte_piece = [p.type == 6 for p in model.pieces]
-        #: Bytes of a piece where a mark is three bytes, and where it is one.
+        #: Bytes of a piece in the normalised text.
         self.marked = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in model.pieces], np.int64)
-        self.plain = np.array([len(x) for x in self.bytes], np.int64)
 
     def encode_all(self, texts: list[str]) -> list[tuple[list[int], np.ndarray]]:
         """Per text: ids, and per piece the end of its span in the bytes of the
         original text; spans follow each other without gaps, the added mark has
         none."""
-        found = self.sp.encode(texts, num_threads=1)
-        plain = not self.map.units  # without marks in the text every byte stands for itself
-        return [(x, self.plain[x].cumsum() - 1) if plain and x and MARK not in t else self._project(t, x) for t, x in zip(texts, found)]
+        return [(x, self._ends(t.encode(), x)) for t, x in zip(texts, self.sp.encode(texts, num_threads=1))]
 
-    def _project(self, text: str, ids: list[int]) -> tuple[list[int], np.ndarray]:
-        """Spans by the alignment of the normalised text."""
+    def _ends(self, data: bytes, ids: list[int]) -> np.ndarray:
+        """Ends of the pieces' spans by the alignment of the normalised text,
+        in which a mark of three bytes stands for each space and one in front."""
         if not ids:
-            return [], np.zeros(0, np.int64)
-        norm, source = self.map.normalise(text.encode())
-        places, at = [0, 0, 0], 0  # three bytes of the added mark
-        for part in re.split(b"( )", norm):
-            places += [source[at]] * 3 if part == b" " else source[at : at + len(part)]
-            at += len(part)
-        places.append(source[-1])
+            return np.zeros(0, np.int64)
+        norm, source = self.map.normalise(data)
+        wide = np.where(np.frombuffer(norm, np.uint8) == 32, 3, 1)
+        places = np.concatenate([[0, 0, 0], np.repeat(source[:-1], wide), source[-1:]])
         ends = np.cumsum(self.marked[ids])
         if ends[-1] != len(places) - 1:
             raise ValueError(f"pieces cover {ends[-1]} of {len(places) - 1} normalised bytes")
-        return ids, np.asarray(places)[ends]
+        return places[ends]
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(id, start, end) per piece, in bytes of the original UTF-8 text."""
@@ -138,25 +152,27 @@ def pieces(name: str = PIECE_BPE) -> Pieces:
 
 
 FULL = "doc_id long, n_tokens long, ids array<int>, span_ends binary, decoded string"
-DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
 
 
 def encode_decode(docs: DataFrame, name: str = PIECE_BPE, full: bool = True) -> DataFrame:
     """Encode and decode every text. `full`: ids, the end of each piece's span
     in source bytes (little-endian unsigned 32-bit integers) and the decoded
-    text; else the SHA-256 of the ids (decimals joined by commas) and of the
-    decoded text, made beside the encoder so that they needn't leave it."""
+    text; else the SHA-256 of the ids (decimals joined by commas), of the decoded
+    text and of the span ends (those integers), made beside the encoder so that
+    they needn't leave it."""
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         p = pieces(name)
         got = p.encode_all(b.column("text").to_pylist())
         decoded = [p.decode(x) for x, _ in got]
+        ends = [e.astype("<u4").tobytes() for _, e in got]
         out = [b.column("doc_id").cast(pa.int64()), pa.array([len(x) for x, _ in got], pa.int64())]
         if full:
-            out += [pa.array([x for x, _ in got], pa.list_(pa.int32())), pa.array([e.astype("<u4").tobytes() for _, e in got], pa.binary()), pa.array(decoded, pa.string())]
+            out += [pa.array([x for x, _ in got], pa.list_(pa.int32())), pa.array(ends, pa.binary()), pa.array(decoded, pa.string())]
             return pa.record_batch(out, names=["doc_id", "n_tokens", "ids", "span_ends", "decoded"])
-        out += [pa.array([sha(",".join(map(str, x))) for x, _ in got], pa.string()), pa.array(map(sha, decoded), pa.string())]
-        return pa.record_batch(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        out += [pa.array([sha(",".join(map(str, x))) for x, _ in got], pa.string()), pa.array(map(sha, decoded), pa.string()), pa.array([hashlib.sha256(e).hexdigest() for e in ends], pa.string())]
+        return pa.record_batch(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
     return arrow_map(texts_of(docs), run, FULL if full else DIGESTS)
