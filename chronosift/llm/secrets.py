@@ -132,17 +132,20 @@ def postings(texts: DataFrame, trigrams: list[str]) -> DataFrame:
 
 def candidates(posts: DataFrame, rules: dict[str, frozenset], trigrams: list[str]) -> DataFrame:
     """doc_id and one Boolean per rule: postings intersected by the rule's query."""
-    if len(trigrams) > 62:
-        raise ValueError("more trigrams than bits")
-    bit = {t: 1 << i for i, t in enumerate(trigrams)}
-    masks = posts.groupBy("doc_id").agg(F.expr("bit_or(shiftleft(1L, trigram))").alias("mask"))
-    m = F.col("mask")
+    # as many words of 62 bits as the trigrams need
+    words = range(-(-len(trigrams) // 62))
+    place = {t: divmod(i, 62) for i, t in enumerate(trigrams)}
+    masks = posts.groupBy("doc_id").agg(F.lit(1).alias("one"), *[F.expr(f"bit_or(if(trigram div 62 = {w}, shiftleft(1L, trigram % 62), 0L))").alias(f"mask{w}") for w in words])
 
     def holds(q: frozenset) -> Column:
         out = F.lit(False)
         for c in sorted(q, key=sorted):
-            need = F.lit(sum(bit[t] for t in c)).cast("long")
-            out = out | (m.bitwiseAND(need) == need)
+            all_of = F.lit(True)
+            for w in words:
+                if bits := sum(1 << place[t][1] for t in c if place[t][0] == w):
+                    need = F.lit(bits).cast("long")
+                    all_of = all_of & (F.col(f"mask{w}").bitwiseAND(need) == need)
+            out = out | all_of
         return out
 
     got = masks.select("doc_id", *[holds(q).alias(k) for k, q in rules.items()])
@@ -179,7 +182,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     trigrams = sorted({x for q in indexed.values() for c in q for x in c})
     posts = stored(postings(t, trigrams), "postings", None)
     hits = candidates(posts, indexed, trigrams)
-    joined = t.join(hits, "doc_id", "left")
+    # rows without a doc_id share their postings: each is verified on its own text
+    hits = hits.withColumnRenamed("doc_id", "hit_id")
+    joined = t.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     parts = []
     for i, r in enumerate(rules):
