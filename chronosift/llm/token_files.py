@@ -6,14 +6,17 @@ ascending doc_id order:
     part, block     place of the block in the corpus
     n_docs, n_ids   documents and ids of the block
     bits            width of an id: the minimum for the vocabulary
+    low, high       smallest and largest doc_id of the block
     doc_ids         little-endian int64 per document
     offsets         little-endian int64 per document: its first id in the block
     payload         the ids, `bits` bits each, least significant bit first
 
 Any id is at bit `bits * i` of its payload, so a document or a single id is read
 without what stands before it. Cases: null and empty texts have only the end
-id; documents of one id may repeat and stay side by side; further columns are
-ignored; an empty table gives no blocks.
+id; documents of one id may repeat and stand side by side in the order of their
+texts, so the file is the same however often a task runs; documents without an
+id come first (NO_ID stands for it in the file); very long texts make a block of
+their own size; further columns are ignored; an empty table gives no blocks.
 """
 
 from __future__ import annotations
@@ -33,7 +36,9 @@ from chronosift.session import work_path
 END_ID = 2
 #: Ids of a block, at least (but for a part's last); a block ends with a document.
 BLOCK_IDS = 1 << 18
-BLOCKS = "part int, block int, n_docs long, n_ids long, bits int, doc_ids binary, offsets binary, payload binary"
+#: Stands in the file for a missing doc_id.
+NO_ID = -(1 << 63)
+BLOCKS = "part int, block int, n_docs long, n_ids long, bits int, low long, high long, doc_ids binary, offsets binary, payload binary"
 
 
 def bit_width(size: int) -> int:
@@ -69,9 +74,9 @@ def _block(part: int, block: int, doc_ids: list[int], ids: list[bytes], bits: in
     sizes = np.array([len(x) // 4 for x in ids], np.int64)
     offsets = np.cumsum(sizes) - sizes
     flat = np.frombuffer(b"".join(ids), "<u4")
-    values = (part, block, len(ids), len(flat), bits, np.asarray(doc_ids, "<i8").tobytes(), offsets.astype("<i8").tobytes(), pack(flat, bits))
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds)], names=["part", "block", "n_docs", "n_ids", "bits", "doc_ids", "offsets", "payload"])
+    values = (part, block, len(ids), len(flat), bits, doc_ids[0], doc_ids[-1], np.asarray(doc_ids, "<i8").tobytes(), offsets.astype("<i8").tobytes(), pack(flat, bits))
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds)], names=["part", "block", "n_docs", "n_ids", "bits", "low", "high", "doc_ids", "offsets", "payload"])
 
 
 def write(docs: DataFrame, path: str, name: str = WORD_BPE, end_id: int = END_ID, parts: int | None = None) -> None:
@@ -99,7 +104,8 @@ def write(docs: DataFrame, path: str, name: str = WORD_BPE, end_id: int = END_ID
         if ids:
             yield _block(part, block, doc_ids, ids, bits)
 
-    t = texts_of(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    t = texts_of(docs).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    t = t.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     t.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(path)
 
 
@@ -134,13 +140,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "part", "block", "at"],
                 )
 
-    return whole.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, block int, at long")
+    out = whole.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, block int, at long")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def ids_of(spark: SparkSession, path: str, doc_id: int) -> list[int]:
     """The ids of one document, unpacked alone (its end id included)."""
-    hits = spark.read.schema(BLOCKS).parquet(path)
-    for r in hits.where(F.instr(F.hex("doc_ids"), np.asarray([doc_id], "<i8").tobytes().hex().upper()) > 0).toLocalIterator():
+    hits = spark.read.schema(BLOCKS).parquet(path).where((F.col("low") <= doc_id) & (F.col("high") >= doc_id))
+    for r in hits.toLocalIterator():
         doc_ids, offsets = np.frombuffer(r.doc_ids, "<i8"), np.frombuffer(r.offsets, "<i8")
         for i in np.flatnonzero(doc_ids == doc_id):
             end = offsets[i + 1] if i + 1 < len(offsets) else r.n_ids
