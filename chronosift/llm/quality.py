@@ -28,8 +28,8 @@ from chronosift.llm.common import arrow_map, slices, texts_of
 CHUNK, STRIDE = 256, 192
 #: Bytes under a filter, bytes from one place to the next (every byte is under WIDTH / STEP places), number of filters, hidden units.
 WIDTH, STEP, FILTERS, HIDDEN = 6, 2, 16, 16
-#: Labelled rows that a fit uses at most, and chunks of one of them at most (evenly spaced).
-SAMPLE_DOCS, SAMPLE_CHUNKS = 2500, 64
+#: Labelled rows that a fit uses at most, each with all its chunks.
+SAMPLE_DOCS = 2500
 EPOCHS = 8
 #: Chunks held at a time.
 BLOCK = 256
@@ -189,12 +189,7 @@ def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            out = []
-            for t in b.column("text").to_pylist():
-                c = chunks_of(t.encode("utf-8", "replace"))
-                if len(c) > SAMPLE_CHUNKS:
-                    c = c[np.linspace(0, len(c) - 1, SAMPLE_CHUNKS).astype(int)]
-                out.append(c.tobytes())
+            out = [chunks_of(t.encode("utf-8", "replace")).tobytes() for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("doc_id").cast(pa.int64()), b.column("quality").cast(pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "quality", "chunks"])
 
     got = rows.mapInArrow(run, "doc_id long, quality int, chunks binary")
@@ -215,19 +210,26 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Net:
     return net
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score (probability of label 1), predicted; `keep`
-    names columns of docs that stay in front."""
-    net = fit(docs, labels, limit)
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
+def quality_scores(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score (probability of label 1), predicted."""
+    t = _scored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")), fit(docs, labels, limit))
+    return t.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of docs, with all their columns whatever their names, that score at least `threshold`."""
+    t = docs.select(F.coalesce("text", F.lit("")).alias("__text"), *[F.col(f"`{c}`").alias(f"__keep_{i}") for i, c in enumerate(docs.columns)])
+    good = _scored(t, fit(docs, labels, limit)).where(F.col("__score") >= threshold)
+    return good.select(*[F.col(f"__keep_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _scored(source: DataFrame, net: Net) -> DataFrame:
+    """The columns but `__text`, and `__score`."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         s = net.scores(b.column("__text").to_pylist())
-        more = [b.column(i) for i in range(2, b.num_columns)]
-        return pa.record_batch([b.column("doc_id"), *more, pa.array(s, pa.float64())], names=["doc_id", *b.schema.names[2:], "score"])
+        more = [n for n in b.schema.names if n != "__text"]
+        return pa.record_batch([*[b.column(n) for n in more], pa.array(s, pa.float64())], names=[*more, "__score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
-    out = arrow_map(source, run, f"{kinds}, score double", "__text")
-    return out.select(
-        "doc_id", *[F.col(f"__keep_{c}").alias(c) for c in keep], held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
-    )
+    return arrow_map(source, run, f"{kinds}, __score double", "__text")
