@@ -77,6 +77,8 @@ def test_pieces(spark):
         ids = sp.encode(t)
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids)))
+        ends = [x.end for x in sp.encode(t, return_type="proto").pieces] if t else []
+        assert got[i].spans_sha256 == hashlib.sha256(np.array(ends, "<u4").tobytes()).hexdigest()
     full = {r.doc_id: r for r in pieces.encode_decode(frame(spark)).collect()}
     assert full[12].ids == sp.encode(TEXTS[12]) and full[12].decoded == sp.decode(full[12].ids)
     assert pieces.encode_decode(empty(spark)).count() == 0
@@ -127,7 +129,7 @@ def test_longest_prefix_normalisation():
     data = "aﬁabcabé!".encode()
     out, source = m.normalise(data)
     assert out == b"afiYZX!"
-    assert source == [0, 1, 1, 4, 4, 7, 11, 12]
+    assert source.tolist() == [0, 1, 1, 4, 4, 7, 11, 12]
 
 
 def brute_spans(text):
@@ -149,6 +151,45 @@ def test_secrets(spark, con):
     assert secrets.secret_report(empty(spark)).count() == 0
 
 
+def odd_ids(spark):
+    rows = [(None, "AKIA" + "A" * 16), (None, "token=abcdef"), (7, "AKIA" + "B" * 20), (7, "plain words"), (8, "secret: abcdefg " * 3), (9, "x" * 200_000 + " " + "0a" * 20)]
+    return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 found", "2 mask0", "3 hit_id", "4 low", "5 part", "6 n_chars", "7 batch").repartition(3)
+
+
+def test_odd_ids(spark, tmp_path):
+    """Rows without an id, rows that share one, a long text, and clashing columns."""
+    got = sorted(tuple(r)[:4] for r in secrets.secret_report(odd_ids(spark)).where("doc_id is not null").collect())
+    assert got == [(7, 0, 0, 0), (7, 0, 1, 0), (8, 3, 0, 0), (9, 0, 0, 1)]
+    assert sorted((r.n_assign, r.n_access) for r in secrets.secret_report(odd_ids(spark)).where("doc_id is null").collect()) == [(0, 1), (1, 0)]
+    texts = sorted(((r.doc_id is not None, r.doc_id or 0, r.text) for r in odd_ids(spark).collect()))
+    path = f"file://{tmp_path}/odd"
+    token_files.write(odd_ids(spark), path, parts=2)
+    rows = token_files.read(spark, path).orderBy("start").collect()
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in rows] == [x[:2] for x in texts]
+    assert [r.ids_crc32 for r in rows] == [zlib.crc32(np.array([*ids_of(x[2]), 2], "<u4").tobytes()) for x in texts]
+    for f in (token_counts.token_counts, pieces.encode_decode):
+        assert f(odd_ids(spark)).count() == 6
+    d = exact_dedup.dedup(odd_ids(spark)).collect()
+    assert len(d) == 6 and all(r.kept and r.group_size == 1 for r in d)
+
+
+def test_token_file_of_many_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 500)
+    path = f"file://{tmp_path}/many"
+    token_files.write(frame(spark), path, parts=1)
+    assert spark.read.parquet(path).count() > 3
+    rows = token_files.read(spark, path).orderBy("start").collect()
+    assert [r.start for r in rows] == np.cumsum([0, *[r.n_tokens for r in rows[:-1]]]).tolist()
+    assert all(token_files.ids_of(spark, path, i) == [*ids_of(TEXTS[i]), 2] for i in (0, 12, 17))
+
+
+def test_more_trigrams_than_a_word_has_bits(spark):
+    r = secrets.BASE + (secrets.Rule("long", "".join(chr(97 + i % 26) + str(i) for i in range(40))),)
+    d = spark.createDataFrame([(1, "a " + "".join(chr(97 + i % 26) + str(i) for i in range(40))), (2, "a0b1c2"), (3, "AKIA" + "A" * 16)], "doc_id long, text string")
+    got = {x.doc_id: x for x in secrets.secret_report(d, r).collect()}
+    assert got[1].spans.startswith("long:2:") and got[2].spans == "" and got[3].n_access == 1
+
+
 def test_trigram_queries():
     q = secrets.trigram_query
     assert q("abcd") == frozenset([frozenset(["abc", "bcd"])])
@@ -163,6 +204,15 @@ def test_exact_dedup(spark, con):
     assert exact_dedup.dedup(empty(spark)).count() == 0
 
 
+def test_index_is_kept_over_calls_and_sized(spark):
+    index = exact_dedup.DigestIndex(spark, rows=exact_dedup.BUCKET_ROWS * 9 + 1)
+    assert index.buckets == 10 and exact_dedup.DigestIndex(spark, index.path, index.name).buckets == 10
+    before = spark.sql("show tables").count()
+    exact_dedup.dedup(frame(spark)).collect()
+    assert spark.sql("show tables").count() == before
+    index.drop()
+
+
 def test_index_grows(spark):
     index = exact_dedup.DigestIndex(spark)
     rows = corpus()
