@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,11 +30,15 @@ def get_session(master: str | None = None, app: str = "chronosift", **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, as named in spark.checkpoint.dir.
 
-    Where that setting is absent (tests, a local run) a temporary folder is
-    chosen once and stored in the session.
+    Where that setting is absent and all runs on one machine (tests, a local
+    run) a temporary folder is chosen once and stored in the session; on a
+    cluster executors would not see it, so the setting is required there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
         base = "file://" + tempfile.mkdtemp(prefix="chronosift-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -41,7 +46,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table in the shared folder."""
-    return f"{shared_dir(spark)}/chronosift/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/chronosift/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; results that still read them are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/chronosift/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
