@@ -69,14 +69,14 @@ def normalize_cmdline(x: Column | str) -> Column:
     null and empty become unknown."""
     t = F.lower(c(x))
     for pattern, mask in (
-        ("(?U)\\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\b", "<UUID>"),
-        ("(?U)\\b(?:[0-9]{1,3}\\.){3}[0-9]{1,3}\\b", "<IP>"),
-        ("(?U)\\b(?:0x)?[0-9a-f]{8,}\\b", "<HEX>"),
+        ("[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<UUID>"),
+        ("(?U)\\b\\d{1,3}(\\.\\d{1,3}){3}\\b", "<IP>"),
+        ("(?U)\\b[0-9a-f]{8,}\\b", "<HEX>"),
         ("(?U)\\b\\d+\\b", "<NUM>"),
     ):
         t = F.regexp_replace(t, pattern, mask)
-    path = lambda w: w.contains("/") | (w.contains("\\") & ~w.startswith("-")) | w.rlike("^[a-z]:")
-    words = F.filter(F.split(F.trim(t), "\\s+"), lambda w: w != "")
+    path = lambda w: w.contains("/") | (w.contains("\\") & ~w.startswith("-")) | w.rlike(r"^[a-z]:\\")
+    words = F.filter(F.split(t, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
     out = F.array_join(F.transform(words, lambda w: F.when(path(w), F.lit("<PATH>")).otherwise(w)), " ")
     return F.when(F.coalesce(c(x), F.lit("")) == "", F.lit("unknown")).otherwise(out)
 

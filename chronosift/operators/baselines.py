@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronosift.functions.scalar import KNOTS
+from chronosift.operators.ranges import running_counts
 from chronosift.operators.windowing import guard_bounds
 
 
@@ -50,17 +51,32 @@ def melt(df: DataFrame, features: list[str]) -> DataFrame:
 QUANTILES = ("p25", "p50", "p75", "p90", "p95", "p99", "p999")
 
 
+def exact_quantiles(long: DataFrame, probabilities: list[float]) -> DataFrame:
+    """long: feature, value. Per feature `q`, the exact interpolated quantiles.
+
+    The rows of rank p * (n - 1), rounded down and up, are found by counts per
+    distinct value; no task holds more than a range of a feature's values."""
+    c = long.where("value IS NOT NULL").groupBy("feature", "value").agg(F.count("*").alias("n"))
+    c = running_counts(c, ["feature"], "value", {"n": "upto"})
+    place = lambda p: F.lit(float(p)) * (F.col("n_total") - 1)
+    wanted = F.array(*[F.struct(F.lit(2 * i + up).alias("i"), (F.ceil(place(p)) if up else F.floor(place(p))).alias("at")) for i, p in enumerate(probabilities) for up in (0, 1)])
+    hit = F.filter(wanted, lambda w: (w["at"] >= F.col("upto") - F.col("n")) & (w["at"] < F.col("upto")))
+    # at most two rows per probability and feature
+    rows = c.withColumn("w", F.explode(hit)).groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("w.i", "value"))).alias("m"), F.max("n_total").alias("n_total"))
+    low, high = (lambda i: F.col("m")[F.lit(2 * i)]), (lambda i: F.col("m")[F.lit(2 * i + 1)])
+    return rows.select("feature", F.array(*[low(i) + (high(i) - low(i)) * (place(p) - F.floor(place(p))) for i, p in enumerate(probabilities)]).alias("q"))
+
+
 def robust_stats(df: DataFrame, features: list[str], standard: tuple[str, ...] = ()) -> DataFrame:
     """Per feature: n, mean, sample deviation, exact quantiles, unscaled MAD,
     IQR and the calibration method."""
     long = melt(df, features)
-    base = long.groupBy("feature").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.percentile("value", F.array(*[F.lit(k) for k in KNOTS])).alias("q")
-    )
-    base = base.select("feature", "n", "mean", "std", *[F.element_at("q", i + 1).alias(c) for i, c in enumerate(QUANTILES)])
-    # one row per feature: a list of names, not data
-    dev = long.join(F.broadcast(base.select("feature", "p50")), "feature").groupBy("feature").agg(F.percentile(F.abs(F.col("value") - F.col("p50")), F.lit(0.5)).alias("mad"))
-    out = base.join(F.broadcast(dev), "feature")
+    base = long.groupBy("feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    # from here on one row per feature: a list of names, not data
+    base = base.join(F.broadcast(exact_quantiles(long, list(KNOTS))), "feature")
+    base = base.select("feature", "n", "mean", "std", *[F.col("q")[i].alias(c) for i, c in enumerate(QUANTILES)])
+    dev = long.join(F.broadcast(base.select("feature", "p50")), "feature").select("feature", F.abs(F.col("value") - F.col("p50")).alias("value"))
+    out = base.join(F.broadcast(exact_quantiles(dev, [0.5]).select("feature", F.col("q")[0].alias("mad"))), "feature")
     method = F.when(F.col("feature").isin(list(standard)), "standard").otherwise("robust") if standard else F.lit("robust")
     return out.withColumn("iqr", F.col("p75") - F.col("p25")).withColumn("calibration_method", method)
 

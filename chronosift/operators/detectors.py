@@ -9,10 +9,11 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronosift.operators.baselines import melt
+from chronosift.operators.baselines import exact_quantiles, melt
+from chronosift.operators.ranges import running_counts
+from chronosift.session import stored
 
 
 def greatest(cols: list[Column]) -> Column:
@@ -23,9 +24,12 @@ def greatest(cols: list[Column]) -> Column:
 def stat_params(train: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
     """Median and MAD per feature (MAD below 1e-8 counts as 1)."""
     long = melt(train, features)
-    med = long.groupBy("feature").agg(F.percentile("value", F.lit(0.5)).alias("m"))
-    mad = long.join(F.broadcast(med), "feature").groupBy("feature").agg(F.first("m").alias("m"), F.percentile(F.abs(F.col("value") - F.col("m")), F.lit(0.5)).alias("d"))
-    return {r.feature: (r.m, r.d if r.d >= 1e-8 else 1.0) for r in mad.collect()}
+    med = exact_quantiles(long, [0.5]).select("feature", F.col("q")[0].alias("m"))
+    # one row per feature
+    dev = long.join(F.broadcast(med), "feature").select("feature", F.abs(F.col("value") - F.col("m")).alias("value"))
+    mad = exact_quantiles(dev, [0.5]).select("feature", F.col("q")[0].alias("d")).join(F.broadcast(med), "feature")
+    got = {r.feature: (r.m, r.d if r.d >= 1e-8 else 1.0) for r in mad.collect()}
+    return {f: got[f] for f in features if f in got}
 
 
 def stat_score(df: DataFrame, params: dict[str, tuple[float, float]]) -> DataFrame:
@@ -58,7 +62,9 @@ def rarity_score(df: DataFrame, tables: dict[str, DataFrame], total: int, penalt
 
 # ---- PCA reconstruction ----
 class Pca:
-    """z-scores on the first 80 % of rows; components up to 95 % of variance; score = mean squared reconstruction error."""
+    """z-scores; components up to 95 % of variance; score = mean squared
+    reconstruction error. All training rows count, by sums of products; a caller
+    that wants the first 80 % passes those."""
 
     def __init__(self, features: list[str], share: float = 0.95):
         self.features, self.share = features, share
@@ -264,36 +270,23 @@ class SequenceModel:
 
 
 # ---- calibration and ensembles ----
-def ecdf_table(train_scores: DataFrame, column: str = "raw_score") -> DataFrame:
-    """score, at_most: how many training scores are at most this one, per
-    distinct score. Sums run within ranges and over the ranges' totals."""
+def ecdf_table(train_scores: DataFrame, column: str = "raw_score", more: DataFrame | None = None) -> DataFrame:
+    """score, at_most, total: how many training scores are at most this one, per
+    distinct score of the training rows, and of `more` (score) where given. Sums
+    run within ranges of distinct scores and over the ranges' totals."""
     c = train_scores.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("score")).agg(F.count("*").alias("n"))
-    ranges = c.agg(F.percentile_approx("score", [i / 64 for i in range(1, 64)], 1000).alias("cuts"))
-    r = c.crossJoin(F.broadcast(ranges)).withColumn("r", F.size(F.filter(F.coalesce("cuts", F.array()), lambda x: x < F.col("score")))).drop("cuts")
-    totals = r.groupBy("r").agg(F.sum("n").alias("t"))  # at most 64 rows
-    before = totals.select("r", F.coalesce(F.sum("t").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("t").over(W.partitionBy()).alias("total"))
-    run = F.sum("n").over(W.partitionBy("r").orderBy("score").rowsBetween(W.unboundedPreceding, 0))
-    return r.withColumn("run", run).join(F.broadcast(before), "r").select("score", (F.col("run") + F.col("before")).alias("at_most"), "total")
+    if more is not None:
+        c = c.unionByName(more.where("score IS NOT NULL").select("score").distinct().withColumn("n", F.lit(0).cast("long"))).groupBy("score").agg(F.sum("n").alias("n"))
+    return running_counts(c, [], "score", {"n": "at_most"}).select("score", "at_most", F.col("n_total").alias("total"))
 
 
-def calibrate(df: DataFrame, train_scores: DataFrame, column: str = "raw_score", out: str = "evidence", knots: int = 0) -> DataFrame:
+def calibrate(df: DataFrame, train_scores: DataFrame, column: str = "raw_score", out: str = "evidence") -> DataFrame:
     """Evidence = share of training scores at most as high (right-continuous).
-    A range-count join: scores of both sides are merged in order, range by range."""
-    table = ecdf_table(train_scores, column)
-    cuts = table.agg(F.percentile_approx("score", [i / 64 for i in range(1, 64)], 1000).alias("cuts"))
-    part = lambda d, c: d.crossJoin(F.broadcast(cuts)).withColumn("__r", F.size(F.filter(F.coalesce("cuts", F.array()), lambda x: x < F.col(c)))).drop("cuts")
-    base = part(table, "score").select(F.col("__r"), F.col("score").alias("__s"), F.col("at_most").alias("__m"), F.lit(0).alias("__kind"))
-    tops = base.groupBy("__r").agg(F.max("__m").alias("__top"))
-    before = tops.select("__r", F.max("__top").over(W.orderBy("__r").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
-    every = df.sparkSession.range(65).select(F.col("id").cast("int").alias("__r"))
-    before = every.join(tops, "__r", "left").select("__r", F.max("__top").over(W.orderBy("__r").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
-    rows = part(df, column).withColumns({"__s": F.col(column), "__m": F.lit(None).cast("long"), "__kind": F.lit(1)})
-    both = rows.unionByName(base, allowMissingColumns=True)
-    w = W.partitionBy("__r").orderBy("__s", "__kind").rowsBetween(W.unboundedPreceding, 0)
-    both = both.withColumn("__c", F.max("__m").over(w)).where("__kind = 1").join(F.broadcast(before), "__r", "left")
-    total = table.agg(F.max("total").alias("__total"))
-    at_most = F.coalesce("__c", "__before", F.lit(0))
-    return both.crossJoin(F.broadcast(total)).withColumn(out, at_most / F.col("__total")).drop("__r", "__s", "__m", "__kind", "__c", "__before", "__total")
+    It is looked up per distinct score and joined back by equality, a join that
+    AQE splits where many rows share a score."""
+    table = stored(ecdf_table(train_scores, column, df.select(F.col(column).alias("score"))), "ecdf")
+    table = table.select(F.col("score").alias("__score"), (F.col("at_most") / F.col("total")).alias(out))
+    return df.join(table.hint("merge"), F.col(column) == F.col("__score"), "left").drop("__score")
 
 
 def ensemble(df: DataFrame, evidence: dict[str, str], strategy: str = "max", weights: dict[str, float] | None = None, thresholds: dict[str, float] | None = None, categories: dict[str, str] | None = None) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronosift.operators.baselines import exact_quantiles, melt
+from chronosift.operators.ranges import running_counts
+
 FLOOR, PEAK, GAP_S = 0.90, 0.95, 15
 
 
@@ -113,8 +116,9 @@ def attribute(events: DataFrame, flagged: DataFrame, cap: int = 100) -> DataFram
     names = ("user_name", "source_ip", "destination_ip", "host_name", "process_name", "event_category", "event_action", "event_outcome")
     value = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])
     w = W.partitionBy("window_id").orderBy("ts", "_id")
-    # the first `cap` per window; heavy windows are cut as groups of a bounded prefix
-    e = events.withColumn("value_of", value).withColumn("place", F.row_number().over(w))
+    # events of flagged windows only are ordered
+    hot = events.join(f.select("window_id").distinct().hint("merge"), "window_id", "left_semi")
+    e = hot.withColumn("value_of", value).withColumn("place", F.row_number().over(w))
     j = e.join(f, "window_id")
     keep = (
         ((F.col("kind") == "exact") & (F.col("value_of")[F.col("field")] == F.col("wanted")))
@@ -130,15 +134,13 @@ def attribute(events: DataFrame, flagged: DataFrame, cap: int = 100) -> DataFram
 
 def ks_statistic(base: DataFrame, new: DataFrame, column: str, group: str | None = None) -> DataFrame:
     """Two-sample distance of the empirical distributions. Distinct values are
-    counted first, so the ordered pass is over values, not rows."""
+    counted first, and running counts go by ranges of them."""
     keys = [group] if group else []
     tag = lambda d, k: d.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("v"), F.lit(1 - k).alias("a"), F.lit(k).alias("b"))
     c = tag(base, 0).unionByName(tag(new, 1)).groupBy(*keys, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    t = c.groupBy(*keys).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    run = c.withColumns({"ra": F.sum("a").over(w), "rb": F.sum("b").over(w)})
-    j = run.join(F.broadcast(t), keys) if keys else run.crossJoin(F.broadcast(t))
-    return j.groupBy(*keys).agg(F.max(F.abs(F.col("ra") / F.col("na") - F.col("rb") / F.col("nb"))).alias("d"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    run = running_counts(c, keys, "v", {"a": "ra", "b": "rb"})
+    apart = F.abs(F.col("ra") / F.nullif(F.col("a_total"), F.lit(0)) - F.col("rb") / F.nullif(F.col("b_total"), F.lit(0)))
+    return run.groupBy(*keys).agg(F.max(apart).alias("d"), F.max("a_total").alias("na"), F.max("b_total").alias("nb"))
 
 
 def kolmogorov_p(d: float, na: int, nb: int) -> float:
@@ -151,15 +153,21 @@ def kolmogorov_p(d: float, na: int, nb: int) -> float:
 
 
 def continuous_drift(base: DataFrame, new: DataFrame, features: list[str], p: float = 0.01, shift: float = 0.10) -> DataFrame:
-    """feature, ks, p_value, median_shift, status."""
+    """feature, ks, p_value, median_shift, status; all features in the same passes."""
+    b, n = melt(base, features), melt(new, features)
+    ks = ks_statistic(b, n, "value", "feature")
+    middle = lambda d, side: exact_quantiles(d, [0.5]).select("feature", F.col("q")[0].alias(f"{side}m")).join(d.groupBy("feature").agg(F.max("value").alias(f"{side}x")), "feature")
+    rows = {r.feature: r for r in ks.join(middle(b, "b"), "feature", "left").join(middle(n, "n"), "feature", "left").collect()}  # one row per feature
     out = []
     for f in features:
-        ks = ks_statistic(base, new, f).first()
-        b, n = (x.agg(F.percentile(f, F.lit(0.5)).alias("m"), F.max(F.col(f).cast("double")).alias("x")).first() for x in (base, new))
-        pv = kolmogorov_p(ks.d, ks.na, ks.nb) if ks.na and ks.nb else 1.0
-        moved = abs(n.m - b.m) / abs(b.m) if b.m else float(n.m != b.m)
-        status = "Population Drift" if pv < p and moved >= shift else "Individual Anomaly" if n.x > 2 * b.x else "No Drift"
-        out.append((f, float(ks.d), pv, float(moved), status))
+        r = rows.get(f)
+        if r is None or not r.na or not r.nb:  # one side has no value
+            out.append((f, None, 1.0, None, "No Drift"))
+            continue
+        pv = kolmogorov_p(r.d, r.na, r.nb)
+        moved = abs(r.nm - r.bm) / abs(r.bm) if r.bm else float(r.nm != r.bm)
+        status = "Population Drift" if pv < p and moved >= shift else "Individual Anomaly" if r.nx > 2 * r.bx else "No Drift"
+        out.append((f, float(r.d), pv, float(moved), status))
     return base.sparkSession.createDataFrame(out, "feature string, ks double, p_value double, median_shift double, status string")
 
 
@@ -179,11 +187,14 @@ def first_occurrences(base: DataFrame, new: DataFrame, keys: list[str], ts: str
     return fresh.join(known, keys, "left_anti").select(*keys, F.col(f"f.{ts}").alias("first_seen"), F.col(f"f.{tie}").alias("first_id"))
 
 
-def record_breakers(base: DataFrame, new: DataFrame, column: str, order: str, shard: Column) -> DataFrame:
-    """Rows that exceed the baseline's maximum and everything before them."""
+def record_breakers(base: DataFrame, new: DataFrame, column: str, order: str, shards: int = 1024) -> DataFrame:
+    """Rows that exceed the baseline's maximum and everything before them. The
+    order is cut into a fixed number of stretches, whatever the rows, whose
+    maxima (one row each) are what passes from stretch to stretch."""
     top = base.agg(F.max(column).alias("__top"))
     w = W.partitionBy("__p").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    d = new.withColumn("__p", shard)
+    cuts = new.agg(F.percentile_approx(order, [i / shards for i in range(1, shards)], 20 * shards).alias("__cuts"))
+    d = new.crossJoin(F.broadcast(cuts)).withColumn("__p", F.coalesce(F.size(F.filter("__cuts", lambda x: x < F.col(order))), F.lit(0))).drop("__cuts")
     tops = d.groupBy("__p").agg(F.max(column).alias("__m"))
     before = tops.select("__p", F.max("__m").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)).alias("__b"))
     d = d.withColumn("__in", F.max(column).over(w)).join(F.broadcast(before), "__p").crossJoin(F.broadcast(top))

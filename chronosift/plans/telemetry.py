@@ -61,20 +61,36 @@ def canonical_view(spark, sf_dir):
 
 
 @query(
-    EV + """SELECT id AS _id, t AS ts_us, lower(event_outcome) AS event_outcome, source_ip, destination_port, host_name, user_name,
-    CAST(CASE WHEN destination_port = 0 THEN NULL ELSE NULL END AS VARCHAR) AS reject_reason FROM ev"""
+    EV + """, h AS (SELECT *, CASE WHEN k % 10 = 0 THEN 'bad.ip' ELSE source_ip END AS sip, k % 11 = 0 AS untimed, k % 23 = 0 AS late, k % 19 = 0 AS numbered FROM ev)
+    SELECT CASE WHEN k % 7 = 0 AND NOT untimed AND NOT late THEN sha256(concat_ws('|', strftime(make_timestamp(CASE WHEN numbered THEN t // 1000000 * 1000000 ELSE t END), '%Y-%m-%d %H:%M:%S')
+      || CASE WHEN numbered OR t % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(t % 1000000 AS VARCHAR), 6, '0') END || '+00:00', host_name,
+      '[' || chr(39) || event_category || chr(39) || CASE WHEN k % 2 = 0 THEN ', ' || chr(39) || 'all' || chr(39) ELSE '' END || ']',
+      event_action, 'None', CASE WHEN k % 3 = 0 THEN '{"a": ' || k || '}' ELSE 'none' END)) WHEN k % 7 = 0 THEN '-' ELSE id END AS _id,
+    CASE WHEN untimed OR late THEN NULL WHEN numbered THEN t // 1000000 * 1000000 ELSE t END AS ts_us, lower(event_outcome) AS event_outcome, sip AS source_ip, destination_port, host_name, user_name,
+    CASE WHEN k % 3 = 0 THEN '{"a": ' || k || '}' END AS message, event_category || CASE WHEN k % 2 = 0 THEN ',all' ELSE '' END AS categories,
+    '{"count":' || k || CASE WHEN k % 2 = 0 THEN ',"deep":{"x":[1,"y"]}' ELSE '' END || ',"src_ip":"9.9.9.9"' || CASE WHEN untimed THEN '' ELSE ',"timestamp":"x"' END || CASE WHEN user_name IS NULL THEN ',"user":{}' ELSE '' END || '}' AS raw_extra,
+    CASE WHEN untimed THEN 'MISSING_TIMESTAMP' WHEN late THEN 'INVALID_TIMESTAMP' WHEN k % 10 = 0 THEN 'SCHEMA_ERROR' END AS reject_reason FROM h"""
 )
 def canonicalise_hits(spark, sf_dir):
-    """Raw hits made of the events, canonicalised again."""
+    """Raw hits made of the events, canonicalised again: nested and flat keys, lists, text that looks like an object, times as text and numbers, missing ids, rejects."""
     e = canonical_events(spark, sf_dir)
-    src = F.to_json(F.struct(
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("@timestamp"), F.struct(F.upper("event_outcome").alias("outcome"), F.col("event_action").alias("action")).alias("event"),
-        F.struct(F.col("source_ip").alias("ip")).alias("source"), F.struct(F.col("destination_port").alias("port")).alias("destination"), F.struct(F.col("host_name").alias("name")).alias("host"),
-        F.struct(F.col("user_name").alias("name")).alias("user"), F.col("k").alias("extra_key"),
+    iso, seconds = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.floor(F.unix_micros("ts") / 1_000_000).cast("string")
+    time = F.when(F.expr("k % 19 = 0"), seconds).otherwise(F.concat(F.lit('"'), iso, F.lit('"')))
+    stamp = F.when(F.expr("k % 11 = 0"), "").when(F.expr("k % 23 = 0"), '"@timestamp":"no time","timestamp":"x",').otherwise(F.concat(F.lit('"@timestamp":'), time, F.lit(',"timestamp":"x",')))
+    named = F.to_json(F.struct(
+        F.struct(F.upper("event_outcome").alias("outcome"), F.col("event_action").alias("action"), F.when(F.expr("k % 2 = 0"), F.array("event_category", F.lit("all"))).otherwise(F.array("event_category")).alias("category")).alias("event"),
+        F.struct(F.when(F.expr("k % 10 = 0"), "bad.ip").otherwise(F.col("source_ip")).alias("ip")).alias("source"), F.struct(F.col("destination_port").alias("port")).alias("destination"),
+        F.struct(F.col("host_name").alias("name")).alias("host"), F.struct(F.col("user_name").alias("name")).alias("user"), F.lit("9.9.9.9").alias("src_ip"), F.col("k").alias("count"),
+        F.when(F.expr("k % 2 = 0"), F.parse_json(F.lit('{"x":[1,"y"]}'))).alias("deep"), F.when(F.expr("k % 3 = 0"), F.concat(F.lit('{"a": '), F.col("k").cast("string"), F.lit("}"))).alias("message"),
     ))
-    hits = e.select(F.concat(F.lit('{"_id":"'), "_id", F.lit('","_source":'), src, F.lit("}")).alias("value"))
+    own = F.when(F.expr("k % 7 = 0"), "").otherwise(F.concat(F.lit('"_id":"'), F.col("_id"), F.lit('",')))
+    hits = e.select(F.concat(F.lit("{"), own, F.lit('"_source":{'), stamp, F.substring(named, 2, 1 << 20), F.lit("}")).alias("value"))
     c = C.canonicalise(hits, now=F.lit("2030-01-01").cast("timestamp"))
-    return c.select("_id", F.unix_micros("@timestamp").alias("ts_us"), "event_outcome", "source_ip", "destination_port", "host_name", "user_name", "reject_reason")
+    timed = ~F.coalesce(F.col("reject_reason").isin("MISSING_TIMESTAMP", "INVALID_TIMESTAMP"), F.lit(False))
+    return c.select(
+        F.when(timed | (F.length("_id") < 64), F.col("_id")).otherwise("-").alias("_id"), F.when(timed, F.unix_micros("@timestamp")).alias("ts_us"), "event_outcome", "source_ip", "destination_port", "host_name", "user_name",
+        "message", F.array_join("event_category", ",").alias("categories"), "raw_extra", "reject_reason",
+    )
 
 
 @query(EV + "SELECT event_id, w AS window_id FROM ev")
@@ -213,16 +229,36 @@ def ip_predicates(spark, sf_dir):
     return e.select("event_id", "ip", S.valid_ip("ip").alias("valid"), S.is_internal("ip").alias("internal"))
 
 
-@query(EV + "SELECT event_id, '<PATH> -n <NUM> <IP>' AS pattern FROM ev")
+_COMMANDS = (
+    r"'/bin/run  -N ' || event_id || ' 10.0.0.' || k % 50", r"'C:~Tools~x.exe -a~b k:' || k || ' a:b c:~'", r"'sha 0xDEADBEEF' || k || ' deadbeef' || k % 10 || ' cafe'",
+    r"'id_123e4567-e89b-12d3-a456-4266141740' || lpad(CAST(k % 90 + 10 AS STRING), 2, '0') || '  end '", r"''", r"'ping 1.2.3.4.5 10.1.1.' || k || ' 0x1f ' || event_id || 'ms'",
+)
+_COMMAND = "translate(CASE event_id % 6 " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(_COMMANDS)) + " END, '~', chr(92))"
+_MASKS = (("[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<UUID>"), (r"\b\d{1,3}(\.\d{1,3}){3}\b", "<IP>"), (r"\b[0-9a-f]{8,}\b", "<HEX>"), (r"\b\d+\b", "<NUM>"))
+
+
+def _masked_sql() -> str:
+    x = "lower(cmd)"
+    for pattern, mask in _MASKS:
+        x = f"regexp_replace({x}, '{pattern}', '{mask}', 'g')"
+    token = r"CASE WHEN contains(w, '/') OR (contains(w, chr(92)) AND NOT starts_with(w, '-')) OR regexp_matches(w, '^[a-z]:\\') THEN '<PATH>' ELSE w END"
+    return f"CASE WHEN cmd = '' THEN 'unknown' ELSE array_to_string(list_transform(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> ''), lambda w: {token}), ' ') END"
+
+
+@query(EV + f", c AS (SELECT event_id, {_COMMAND} AS cmd FROM ev) SELECT event_id, {_masked_sql()} AS pattern FROM c")
 def cmdline_patterns(spark, sf_dir):
-    e = hourly(spark, sf_dir)
-    return e.select("event_id", S.normalize_cmdline(F.concat(F.lit("/bin/run  -N "), F.col("event_id"), F.lit(" 10.0.0."), F.expr("k % 50"))).alias("pattern"))
+    """Paths, switches, addresses, hashes, numbers and identifiers, with and without word boundaries."""
+    e = canonical_events(spark, sf_dir)
+    return e.select("event_id", S.normalize_cmdline(F.expr(_COMMAND)).alias("pattern"))
 
 
-@query(EV + """SELECT event_id, sha256(concat_ws('|', CAST(t AS VARCHAR), host_name, event_category, event_action, process_name, coalesce(lower(trim(user_name)), ''))) AS made_id FROM ev""")
+@query(
+    EV + """SELECT event_id, sha256(concat_ws('|', strftime(make_timestamp(t), '%Y-%m-%d %H:%M:%S') || CASE WHEN t % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(t % 1000000 AS VARCHAR), 6, '0') END || '+00:00',
+    host_name, '[' || chr(39) || event_category || chr(39) || ', ' || chr(39) || 'x"y' || chr(39) || ']', coalesce(event_action, 'None'), coalesce(process_parent_name, 'None'), coalesce(lower(trim(user_name)), 'none'))) AS made_id FROM ev"""
+)
 def deterministic_ids(spark, sf_dir):
     e = canonical_events(spark, sf_dir)
-    return e.select("event_id", C.deterministic_id(F.unix_micros("ts"), F.col("host_name"), F.col("event_category"), F.col("event_action"), F.col("process_name"), F.col("user_name")).alias("made_id"))
+    return e.select("event_id", C.deterministic_id(F.col("ts"), F.col("host_name"), F.array("event_category", F.lit('x"y')), F.col("event_action"), F.col("process_parent_name"), F.upper("user_name")).alias("made_id"))
 
 
 # ---- features on hourly windows ----
@@ -346,12 +382,11 @@ for _h, _size in X.ROLLING.items():
 
 # ---- baselines ----
 _NOVEL = {f.name: f.spec for f in X.REGISTRY.all_features() if f.stage == "novel"}
-_BASE, _EVAL = f"t < {SPLIT_S}000000 AND event_id % 3 = 0", f"t >= {SPLIT_S}000000"
+_BASE, _EVAL = f"t < {SPLIT_S}000000", f"t >= {SPLIT_S}000000"
 
 
 def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    a, b = WN.temporal_split(hourly(spark, sf_dir), "ts", SPLIT)
-    return a.where("event_id % 3 = 0"), b
+    return WN.temporal_split(hourly(spark, sf_dir), "ts", SPLIT)
 
 
 def _novel_sql() -> str:
@@ -605,15 +640,17 @@ def model_only_candidates(spark, sf_dir):
 _FLAGGED = ("user_name='user_3'", "login_volume", "event_count")
 
 
-@query(EH + """, fw AS (SELECT w FROM ev GROUP BY w HAVING w % 24 = 5), o AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY t, id) AS place FROM ev JOIN fw USING (w)),
-    h AS (SELECT w, id, 'user_name=''user_3''' AS feature, 'exact_match' AS method FROM o WHERE user_name = 'user_3' UNION ALL SELECT w, id, 'login_volume', 'subset_filter' FROM o WHERE event_category = 'authentication'
-    UNION ALL SELECT w, id, 'event_count', 'global_distribution' FROM o WHERE place <= 5)
+@query(_EVID + f""", {_ENS}, fw AS (SELECT DISTINCT w FROM en WHERE ensemble_evidence >= 0.95), o AS (SELECT ev.*, row_number() OVER (PARTITION BY w ORDER BY t, id) AS place FROM ev SEMI JOIN fw USING (w)),
+    h AS (SELECT w, id, 'user_name=' || chr(39) || 'user_3' || chr(39) AS feature, 'exact_match' AS method FROM o WHERE user_name = 'user_3' UNION ALL SELECT w, id, 'login_volume', 'subset_filter' FROM o WHERE event_category = 'authentication'
+    UNION ALL SELECT w, id, 'event_count', 'global_distribution' FROM o WHERE place <= 100)
     SELECT w AS window_id, id AS _id, array_to_string(list_sort(list_distinct(list(feature))), ',') AS features, array_to_string(list_sort(list_distinct(list(method))), '+') AS methods,
     CASE WHEN bool_or(method = 'global_distribution') THEN 'MEDIUM' ELSE 'HIGH' END AS confidence FROM h GROUP BY w, id""")
 def event_attribution(spark, sf_dir):
-    e = hourly(spark, sf_dir)
-    flagged = e.select("window_id").distinct().where("window_id % 24 = 5").select("window_id", F.explode(F.array(*[F.lit(f) for f in _FLAGGED])).alias("feature"))
-    return G.attribute(e, flagged, cap=5).select("window_id", "_id", _joined("features"), "methods", "confidence")
+    """All windows that the ensemble flags."""
+    e = canonical_events(spark, sf_dir).withColumn("window_id", WN.window_id("ts"))
+    hot = _ensembled(spark, sf_dir).where("ensemble_flagged").select(WN.window_id("ts").alias("window_id")).distinct()
+    flagged = hot.select("window_id", F.explode(F.array(*[F.lit(f) for f in _FLAGGED])).alias("feature"))
+    return G.attribute(e, flagged).select("window_id", "_id", _joined("features"), "methods", "confidence")
 
 
 @query("""WITH a AS (SELECT l_extendedprice AS v, 1 AS a, 0 AS b FROM lineitem WHERE l_shipdate < DATE '1995-06-17' UNION ALL SELECT l_extendedprice * 1.1, 0, 1 FROM lineitem WHERE l_shipdate >= DATE '1995-06-17'),
@@ -625,10 +662,27 @@ def drift_ks(spark, sf_dir):
     return r6(G.ks_statistic(old, new, "l_extendedprice"))
 
 
-@query()
+def _drift_sql() -> str:
+    """Distance, Kolmogorov's series, medians and status of value and k."""
+
+    def one(f: str) -> str:
+        n = "sqrt(na * nb / (na + nb))"
+        return f"""c_{f} AS (SELECT v, sum(a) AS a, sum(b) AS b FROM (SELECT CAST({f} AS DOUBLE) AS v, CAST(t < {SPLIT_S}000000 AS INT) AS a, CAST(t >= {SPLIT_S}000000 AS INT) AS b FROM ev WHERE {f} IS NOT NULL) GROUP BY v),
+        k_{f} AS (SELECT max(abs(ra / na - rb / nb)) AS ks, CAST(max(na) AS DOUBLE) AS na, CAST(max(nb) AS DOUBLE) AS nb FROM (SELECT sum(a) OVER (ORDER BY v) AS ra, sum(b) OVER (ORDER BY v) AS rb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM c_{f})),
+        x_{f} AS (SELECT ks, ks * ({n} + 0.12 + 0.11 / {n}) AS x FROM k_{f}),
+        p_{f} AS (SELECT any_value(ks) AS ks, CASE WHEN any_value(x) < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, sum(2 * CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * j * j * x * x)))) END AS pv FROM x_{f}, range(1, 101) r(j)),
+        m_{f} AS (SELECT quantile_cont(CAST({f} AS DOUBLE), 0.5) FILTER (t < {SPLIT_S}000000) AS bm, quantile_cont(CAST({f} AS DOUBLE), 0.5) FILTER (t >= {SPLIT_S}000000) AS nm,
+          max(CAST({f} AS DOUBLE)) FILTER (t < {SPLIT_S}000000) AS bx, max(CAST({f} AS DOUBLE)) FILTER (t >= {SPLIT_S}000000) AS nx FROM ev),
+        d_{f} AS (SELECT '{f}' AS feature, ks, pv, CASE WHEN bm <> 0 THEN abs(nm - bm) / abs(bm) ELSE CAST(nm <> bm AS DOUBLE) END AS shift, nx, bx FROM p_{f}, m_{f})"""
+
+    return EV + ", " + ", ".join(map(one, ("value", "k"))) + """ SELECT feature, round(ks, 6) AS ks, round(pv, 6) AS p_value, round(shift, 6) AS median_shift,
+        CASE WHEN pv < 0.01 AND shift >= 0.1 THEN 'Population Drift' WHEN nx > 2 * bx THEN 'Individual Anomaly' ELSE 'No Drift' END AS status FROM (SELECT * FROM d_value UNION ALL SELECT * FROM d_k)"""
+
+
+@query(_drift_sql())
 def drift_continuous(spark, sf_dir):
     base, new = _parts(spark, sf_dir)
-    return G.continuous_drift(base, new, ["value", "k"])
+    return r6(G.continuous_drift(base, new, ["value", "k"]))
 
 
 @query(EV + f""", b AS (SELECT DISTINCT event_category FROM ev WHERE t < {SPLIT_S}000000 AND event_category <> 'file'), n AS (SELECT * FROM ev WHERE {_EVAL})
@@ -650,7 +704,7 @@ def novelty_inventory(spark, sf_dir):
     SELECT event_id, round(value, 6) AS value, round(p, 6) AS previous_max FROM n WHERE value > p""")
 def record_breakers(spark, sf_dir):
     a, b = WN.temporal_split(canonical_events(spark, sf_dir).select("event_id", "ts", "value"), "ts", SPLIT)
-    r = G.record_breakers(a.withColumn("value", F.col("value") * 0.6), b, "value", "event_id", F.floor(F.col("event_id") / 500))
+    r = G.record_breakers(a.withColumn("value", F.col("value") * 0.6), b, "value", "event_id")
     return r6(r.select("event_id", "value", "previous_max"))
 
 
