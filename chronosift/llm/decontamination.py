@@ -37,7 +37,7 @@ from chronosift.llm.common import arrow_map, texts_of
 
 Q = 8
 EDIT_PERCENT = 8
-PATTERN, PATTERN_STEP = 96, 24
+PATTERN, PATTERN_STEP = 96, 48
 #: Compact benchmark bytes of one pass.
 MAX_BENCHMARK_BYTES = 8 << 20
 _DROP = bytes(b for b in range(128) if not chr(b).isalnum())
