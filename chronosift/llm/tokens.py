@@ -118,6 +118,8 @@ class PrefixCounts:
         self.states: dict[str, tuple] = {}
         self.limit = 2 * limit
         self.whole = library(name)
+        self.longest = max(self.reach.values())
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()))
 
     def _fits(self, pair: tuple[str, str]) -> bool:
         """Whether two tokens side by side stay as they are. Going back in
@@ -143,34 +145,40 @@ class PrefixCounts:
     def _of_word(self, word: str) -> list[int]:
         """word: byte-level characters of one pre-token; counts of its prefixes
         of 1, 2, ... characters. Words that begin alike share their states."""
-        vocab, fits, end, states, reach = self.vocab, self.fits, self.END, self.states, self.reach
+        states = self.states
         if len(states) > self.limit:
             states.clear()
         path, out = [("", 0, 0)], []
         for i in range(1, len(word) + 1):
-            state = states.get(prefix := word[:i])
-            if state is None:
-                inner = closed = None
-                for j in range(max(0, i - reach.get(word[i - 1], 1)), i):
-                    last, count, _ = path[j]
-                    if count is None:
-                        continue
-                    token = word[j:i]
-                    if closed is None and (t := token + end) in vocab and fits[(last, t)]:
-                        closed = count + 1
-                    if inner is None and token in vocab and fits[(last, token)]:
-                        inner = (token, count + 1)
-                    if inner and closed is not None:
-                        break
-                if closed is None:
-                    raise ValueError(f"no encoding of {prefix!r}")
-                state = (*(inner or ("", None)), closed)
-                if i <= 64:
-                    states[prefix] = state
+            if i > 64:
+                state = self._state(path, word, i)
+            elif (state := states.get(prefix := word[:i])) is None:
+                state = states[prefix] = self._state(path, word, i)
             path.append(state)
             out.append(state[2])
         return out
 
+    def _state(self, path: list[tuple], word: str, i: int, before: int = 0) -> tuple:
+        """State of a word's first i characters from those of its shorter
+        prefixes: the last token and the count if the word goes on, the count
+        if it ends. `word` may leave out its first `before` characters."""
+        vocab, fits, end = self.vocab, self.fits, self.END
+        inner = closed = None
+        for j in range(max(0, i - self.reach.get(word[i - before - 1], 1)), i):
+            last, count, _ = path[j]
+            if count is None:
+                continue
+            token = word[j - before : i - before]
+            if closed is None and (t := token + end) in vocab and fits[(last, t)]:
+                closed = count + 1
+            if inner is None and token in vocab and fits[(last, token)]:
+                inner = (token, count + 1)
+            if inner and closed is not None:
+                break
+        if closed is None:
+            raise ValueError(f"no encoding of {word!r}")
+        return (*(inner or ("", None)), closed)
+
     def of_chunk(self, chunk: str) -> bytes:
         """Changes of the token count from prefix to prefix of a chunk without
         spaces, one signed byte per character."""
@@ -205,15 +213,126 @@ class PrefixCounts:
 
     def _general(self, part: str) -> list[int]:
         """Any other characters: as words where normalisation keeps each
-        character apart and the library agrees, else prefix by prefix."""
+        character apart, else with special strings and composition followed
+        character by character. Where the library counts the whole otherwise
+        (other Unicode tables), prefix by prefix."""
+        total = len(self.whole.encode(part, add_special_tokens=False).ids)
         if len(part.lower()) == len(part) and "<|" not in part and unicodedata.is_normalized("NFC", part):
             got = self._words(part)
-            if len(got) == len(part) and got[-1] == len(self.whole.encode(part, add_special_tokens=False).ids):
+            if len(got) == len(part) and got[-1] == total:
                 return got
-        return self._by_library(part)
+        got = self._followed(part)
+        return got if got[-1] == total else self._by_library(part)
+
+    def _followed(self, part: str) -> list[int]:
+        """A special string counts once it is complete; until then its
+        characters go on from the text before it."""
+        counts: list[int] = []
+        done = at = 0
+        for m in self.special.finditer(part):
+            got = _Followed(self).counts(part[at : m.end() - 1])
+            counts += [done + c for c in got]
+            done += (got[m.start() - at - 1] if m.start() > at else 0) + 1
+            counts.append(done)
+            at = m.end()
+        return counts + [done + c for c in _Followed(self).counts(part[at:])]
 
     def _by_library(self, part: str) -> list[int]:
         return [len(self.whole.encode(part[: i + 1], add_special_tokens=False).ids) for i in range(len(part))]
 
 
+class _Followed:
+    """Token counts while a text grows by one character at a time.
+
+    A character either stands alone in the composed form (NFC) or joins those
+    from the last such character on; these are taken back and put on again in
+    their new form. For each composed lower-case character there is a state:
+    its word, how many symbols of the word are used, the count up to there. So
+    the cost is linear but for long runs of joining characters.
+    """
+
+    def __init__(self, of: PrefixCounts):
+        self.of = of
+        #: per character: (its word, symbols of the word so far, count so far)
+        self.stack: list[tuple[_Word, int, int]] = [(_Word("space", 0, None), 0, 0)]
+
+    def counts(self, text: str) -> list[int]:
+        out, joined, since = [], "", 1
+        for c in text:
+            if joined and (unicodedata.combining(c) or c in _joining()):
+                joined = unicodedata.normalize("NFC", joined + c)
+                del self.stack[since:]
+            else:
+                joined, since = unicodedata.normalize("NFC", c), len(self.stack)
+            for x in joined:
+                for y in x.lower():
+                    self._push(y)
+            out.append(self.stack[-1][2])
+        return out
+
+    def _push(self, c: str) -> None:
+        word, used, count = self.stack[-1]
+        kind = _kind(c)
+        if kind == "space":
+            self.stack.append((_Word(kind, count, None), 0, count))
+            return
+        if kind == "letter" and (whole := self._contraction(word, used, c)):
+            text, start = whole
+            w = _Word("closed", start, None)
+            n = self._extend(w, 0, text)
+            self.stack.append((w, n, start + w.path[n][2]))
+            return
+        if word.kind != kind or kind == "digit":
+            word, used = _Word(kind, count, word), 0
+        n = self._extend(word, used, c)
+        self.stack.append((word, n, word.start + word.path[n][2]))
+
+    def _contraction(self, word: _Word, used: int, c: str) -> tuple[str, int] | None:
+        """The contraction that `c` completes, and the count before it."""
+        if word.kind == "other" and used == 1 and word.symbols[0] == "'" and c in "stmd":
+            return "'" + c, word.start
+        p = word.previous
+        if word.kind == "letter" and used == 1 and p is not None and p.kind == "other" and len(self.stack) > 2 and self.stack[-2][1] == 1 and p.symbols[0] == "'":
+            if (text := word.symbols[0] + c) in ("re", "ve", "ll"):
+                return "'" + text, p.start
+        return None
+
+    def _extend(self, word: _Word, used: int, text: str) -> int:
+        """Puts characters behind the first `used` symbols of a word."""
+        del word.symbols[used:], word.path[used + 1 :]
+        for symbol in _alphabet(text):
+            word.symbols.append(symbol)
+            n = len(word.symbols)
+            before = max(0, n - self.of.longest)
+            word.path.append(self.of._state(word.path, "".join(word.symbols[before:]), n, before))
+        return len(word.symbols)
+
+
+class _Word:
+    """A word that grows: its kind, the count before it, the word before it,
+    its symbols and the state after each."""
+
+    __slots__ = ("kind", "start", "previous", "symbols", "path")
+
+    def __init__(self, kind: str, start: int, previous: _Word | None):
+        self.kind, self.start, self.previous = kind, start, previous
+        self.symbols: list[str] = []
+        self.path: list[tuple] = [("", 0, 0)]
+
+
+@lru_cache(maxsize=1 << 16)
+def _kind(c: str) -> str:
+    return "letter" if regex.match(r"\p{L}", c) else "digit" if regex.match(r"\p{N}", c) else "space" if regex.match(r"\s", c) else "other"
+
+
+@lru_cache(maxsize=1)
+def _joining() -> frozenset[str]:
+    """Characters that composition may join to the one before though they are
+    no marks: second parts of canonical decompositions, vowels and finals of
+    Hangul syllables."""
+    parts = (unicodedata.decomposition(chr(i)) for i in range(0x110000))
+    second = {chr(int(d.split()[1], 16)) for d in parts if " " in d and d[0] != "<"}
+    return frozenset(second | {*map(chr, range(0x1161, 0x1176)), *map(chr, range(0x11A8, 0x11C3))})
+
+
 _LINES = re.compile(r"[\t-\r]+|[^\t-\r]+")

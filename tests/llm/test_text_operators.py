@@ -1,5 +1,6 @@
 """Token operators, secrets and exact dedup against the libraries, SQL and brute force."""
 
+import random
 import hashlib
 import os
 import re
@@ -230,3 +231,37 @@ def test_queries_are_registered():
 
     names = e.queries()
     assert "pipeline" in names and {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in names if re.match(r"op\d", x)}
+
+
+def test_prefix_counts_follow_composition_and_special_strings():
+    from chronosift.llm.tokens import WORD_BPE, PrefixCounts
+
+    rng = random.Random(4)
+    parts = ["a", "e", "s", "t", "r", "l", "'", "É", "é", "e", "̂", "̣", "q̈", "中", "文", "漢", "Å", "İ", "ς", "1", "٣", "-", "<", "|", ">", " ", "　",
+             "가", "ᄀ", "ᅡ", "ᆨ", "<|endoftext|>", "<|startof", "'re", "'ll", "\U0001f600", "ཱི", "क़", "ে", "া"]
+    of = PrefixCounts(WORD_BPE)
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert of._followed(text) == of._by_library(text), ascii(text)
+
+
+def test_prefix_counts_of_a_long_chunk_that_composes_call_the_library_once(monkeypatch):
+    from chronosift.llm.tokens import WORD_BPE, PrefixCounts, library
+
+    of = PrefixCounts(WORD_BPE)
+    monkeypatch.setattr(of, "_by_library", None)
+    text = "中文éx" * 5000
+    table = of.of_chunk(text)
+    assert sum(x - 256 * (x > 127) for x in table) == len(library(WORD_BPE).encode(text, add_special_tokens=False).ids)
+
+
+def test_words_in_arrow_are_those_of_python():
+    import pyarrow as pa
+
+    from chronosift.llm import lm
+
+    texts = ["", " ", "a  b\tC\n", "\x0b x\x0cÄy z\r", "ab", "\x85q   r\x1cs", "É A\x00b"]
+    for a in (pa.array(texts), pa.array(["zz", *texts]).slice(1), pa.array([], pa.string()), pa.array(["", ""])):
+        words, n = lm.words_in(a)
+        each = [lm.words_of(x) for x in a.to_pylist()]
+        assert words.to_pylist() == [w for x in each for w in x] and n.tolist() == [*map(len, each)]
