@@ -11,6 +11,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import regex
@@ -108,11 +109,13 @@ class PrefixCounts:
         for pair, i in self.rank.items():
             if self.made.get(t := "".join(pair), 0) < 0 and t not in self.parts:
                 self.made[t], self.parts[t] = i, pair
-        self.reach: dict[str, int] = {}  # last character -> length of the longest token that ends in it
+        self.kinds: dict[str, int] = {}  # characters of a token -> 1 within a word, 2 at its end, 3 both
+        self.reach: dict[str, int] = {}  # last three characters -> length of the longest token that ends in them
         for v in self.vocab:
-            if v.endswith(self.END) and v != self.END:
-                v = v.removesuffix(self.END)
-            self.reach[v[-1]] = max(self.reach.get(v[-1], 1), len(v))
+            ends = v.endswith(self.END) and v != self.END
+            v = v.removesuffix(self.END) if ends else v
+            self.kinds[v] = self.kinds.get(v, 0) | (2 if ends else 1)
+            self.reach[v[-3:]] = max(self.reach.get(v[-3:], 2), len(v))
         self.fits = Memo(self._fits, 400_000, 10**9)
         self.of_word = Memo(self._of_word, limit)
         self.states: dict[str, tuple] = {}
@@ -142,10 +145,12 @@ class PrefixCounts:
             else:
                 until, b = rb + 1, parts[b][0]
 
-    def _of_word(self, word: str) -> list[int]:
-        """word: byte-level characters of one pre-token; counts of its prefixes
-        of 1, 2, ... characters. Words that begin alike share their states."""
-        states = self.states
+    def _of_word(self, chars: str) -> bytes:
+        """Changes of the count from prefix to prefix of one pre-token, a byte
+        per character. Words that begin alike share their states."""
+        if chars[0] == "'" and len(chars) > 1 and chars[1:].isalpha():  # a contraction's prefixes are other pre-tokens
+            return _changes(self._by_library(chars))
+        word, states = _alphabet(chars), self.states
         if len(states) > self.limit:
             states.clear()
         path, out = [("", 0, 0)], []
@@ -156,22 +161,24 @@ class PrefixCounts:
                 state = states[prefix] = self._state(path, word, i)
             path.append(state)
             out.append(state[2])
-        return out
+        if word is not chars:  # symbols are bytes; prefixes end with whole characters
+            out = [out[n - 1] for n in accumulate([len(c.encode()) for c in chars])]
+        return _changes(out)
 
     def _state(self, path: list[tuple], word: str, i: int, before: int = 0) -> tuple:
         """State of a word's first i characters from those of its shorter
         prefixes: the last token and the count if the word goes on, the count
         if it ends. `word` may leave out its first `before` characters."""
-        vocab, fits, end = self.vocab, self.fits, self.END
-        inner = closed = None
-        for j in range(max(0, i - self.reach.get(word[i - before - 1], 1)), i):
+        kinds, inner, closed, stop = self.kinds, None, None, i - before
+        for j in range(max(0, i - self.reach.get(word[max(0, stop - 3) : stop], 2)), i):
+            if not (kind := kinds.get(token := word[j - before : stop])):
+                continue
             last, count, _ = path[j]
             if count is None:
                 continue
-            token = word[j - before : i - before]
-            if closed is None and (t := token + end) in vocab and fits[(last, t)]:
+            if kind & 2 and closed is None and self.fits[(last, token + self.END)]:
                 closed = count + 1
-            if inner is None and token in vocab and fits[(last, token)]:
+            if kind & 1 and inner is None and self.fits[(last, token)]:
                 inner = (token, count + 1)
             if inner and closed is not None:
                 break
@@ -182,36 +189,14 @@ class PrefixCounts:
     def of_chunk(self, chunk: str) -> bytes:
         """Changes of the token count from prefix to prefix of a chunk without
         spaces, one signed byte per character."""
-        counts: list[int] = []
-        done = 0
-        for part in _LINES.findall(chunk):
-            if part[0] in SPACES:
-                got = [0] * len(part)
-            else:
-                got = self._words(part) if _PLAIN.match(part) else self._general(part)
-            counts += [done + c for c in got] if done else got
-            done = counts[-1]
-        return bytes([(b - a) & 255 for a, b in zip([0, *counts], counts)])
+        return b"".join([bytes(len(p)) if p[0] in SPACES else self._words(p) if _PLAIN.match(p) else self._general(p) for p in _LINES.findall(chunk)])
 
-    def _words(self, part: str) -> list[int]:
-        counts: list[int] = []
-        done = 0
-        for w in _SPLIT.findall(part.lower()):
-            if w[0] == "'" and len(w) > 1 and w[1:].isalpha():  # a contraction's prefixes are other pre-tokens
-                got = self._by_library(w)
-            elif w.isascii() and w.isprintable():
-                got = self.of_word[w]
-            else:  # symbols are bytes; prefixes end with whole characters
-                marks = self.of_word[_alphabet(w)]
-                got, at = [], -1
-                for c in w:
-                    at += len(c.encode())
-                    got.append(marks[at])
-            counts += [done + c for c in got] if done else got
-            done = counts[-1]
-        return counts
-
-    def _general(self, part: str) -> list[int]:
+    def _words(self, part: str) -> bytes:
+        """A word's first character adds what it counts alone, as what comes before is complete."""
+        words = _SPLIT.findall(part.lower())
+        return self.of_word[words[0]] if len(words) == 1 else b"".join(map(self.of_word.__getitem__, words))
+
+    def _general(self, part: str) -> bytes:
         """Any other characters: as words where normalisation keeps each
         character apart, else with special strings and composition followed
         character by character. Where the library counts the whole otherwise
@@ -219,10 +204,10 @@ class PrefixCounts:
         total = len(self.whole.encode(part, add_special_tokens=False).ids)
         if len(part.lower()) == len(part) and "<|" not in part and unicodedata.is_normalized("NFC", part):
             got = self._words(part)
-            if len(got) == len(part) and got[-1] == total:
+            if len(got) == len(part) and np.frombuffer(got, np.int8).sum(dtype=np.int64) == total:
                 return got
-        got = self._followed(part)
-        return got if got[-1] == total else self._by_library(part)
+        counts = self._followed(part)
+        return _changes(counts if counts[-1] == total else self._by_library(part))
 
     def _followed(self, part: str) -> list[int]:
         """A special string counts once it is complete; until then its
@@ -241,6 +226,10 @@ class PrefixCounts:
         return [len(self.whole.encode(part[: i + 1], add_special_tokens=False).ids) for i in range(len(part))]
 
 
+def _changes(counts: list[int]) -> bytes:
+    return bytes([(b - a) & 255 for a, b in zip([0, *counts], counts)])
+
+
 class _Followed:
     """Token counts while a text grows by one character at a time.
 
