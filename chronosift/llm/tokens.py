@@ -153,17 +153,19 @@ class PrefixCounts:
         word, states = _alphabet(chars), self.states
         if len(states) > self.limit:
             states.clear()
-        path, out = [("", 0, 0)], []
+        path, out, done = [("", 0, 0)], [], 0
         for i in range(1, len(word) + 1):
             if i > 64:
                 state = self._state(path, word, i)
             elif (state := states.get(prefix := word[:i])) is None:
                 state = states[prefix] = self._state(path, word, i)
             path.append(state)
-            out.append(state[2])
-        if word is not chars:  # symbols are bytes; prefixes end with whole characters
-            out = [out[n - 1] for n in accumulate([len(c.encode()) for c in chars])]
-        return _changes(out)
+            out.append(state[2] - done & 255)
+            done = state[2]
+        if word is chars:
+            return bytes(out)
+        # symbols are bytes; prefixes end with whole characters
+        return _changes([path[n][2] for n in accumulate([len(c.encode()) for c in chars])])
 
     def _state(self, path: list[tuple], word: str, i: int, before: int = 0) -> tuple:
         """State of a word's first i characters from those of its shorter
@@ -189,6 +191,8 @@ class PrefixCounts:
     def of_chunk(self, chunk: str) -> bytes:
         """Changes of the token count from prefix to prefix of a chunk without
         spaces, one signed byte per character."""
+        if chunk.isascii() and chunk.isalpha():
+            return self.of_word[chunk.lower()]
         return b"".join([bytes(len(p)) if p[0] in SPACES else self._words(p) if _PLAIN.match(p) else self._general(p) for p in _LINES.findall(chunk)])
 
     def _words(self, part: str) -> bytes:
