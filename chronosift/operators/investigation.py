@@ -91,15 +91,20 @@ def temporal_labels(ep: DataFrame, persist_s: int = 60) -> DataFrame:
     return out.select("episode_id", F.array_sort(F.filter(labels, lambda x: x.isNotNull())).alias("labels"))
 
 
-def model_only(ep: DataFrame, alerts: DataFrame, tolerance_s: int = 300) -> DataFrame:
+def model_only(ep: DataFrame, alerts: DataFrame, tolerance_s: int = 300, day_s: int = 86_400) -> DataFrame:
     """Episodes that no alert explains: none within the tolerance shares an
-    entity. alerts: alert_id, ts_s, entities. Entities and time slots make it an
-    equi-join: each side falls into slots of the tolerance's size."""
-    slot = max(1, tolerance_s)
-    e = entities(ep).select("episode_id", "entity", (F.col("episode_start_s") - tolerance_s).alias("lo"), (F.col("episode_end_s") + tolerance_s).alias("hi"))
-    e = e.withColumn("slot", F.explode(F.sequence(F.floor(F.col("lo") / slot), F.floor(F.col("hi") / slot))))
-    a = alerts.select(F.explode("entities").alias("entity"), "ts_s").withColumn("slot", F.floor(F.col("ts_s") / slot))
-    hit = e.join(a, ["entity", "slot"]).where((F.col("ts_s") >= F.col("lo")) & (F.col("ts_s") <= F.col("hi"))).select("episode_id").distinct()
+    entity. alerts: alert_id, ts_s, entities. An alert explains an episode if
+    an entity's latest alert up to the end isn't before the start. Latest alerts
+    are running maxima within an entity's days and over the days' maxima: a row
+    for each alert's entity and each episode's, however long the episode is."""
+    e = entities(ep).select("entity", "episode_id", (F.col("episode_start_s") - tolerance_s).alias("lo"), (F.col("episode_end_s") + tolerance_s).alias("at"), F.lit(None).alias("alert"))
+    a = alerts.select(F.explode("entities").alias("entity"), F.col("ts_s").alias("at")).where("entity IS NOT NULL").distinct()
+    both = e.unionByName(a.select("entity", F.lit(None).alias("episode_id"), F.lit(None).alias("lo"), "at", F.col("at").alias("alert"))).withColumn("__d", F.floor(F.col("at") / day_s))
+    within = W.partitionBy("entity", "__d").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    asked = both.withColumn("latest", F.max("alert").over(within)).where("episode_id IS NOT NULL")
+    days = both.groupBy("entity", "__d").agg(F.max("alert").alias("last"))
+    before = days.select("entity", "__d", F.max("last").over(W.partitionBy("entity").orderBy("__d").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    hit = asked.join(before.hint("merge"), ["entity", "__d"]).where(F.greatest("latest", "carried") >= F.col("lo")).select("episode_id").distinct()
     return ep.join(hit, "episode_id", "left_anti")
 
 

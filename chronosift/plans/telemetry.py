@@ -634,7 +634,8 @@ def _alerts(spark, sf_dir) -> DataFrame:
     SELECT episode_id FROM epi WHERE NOT EXISTS (SELECT 1 FROM al WHERE ts_s BETWEEN episode_start_s - 300 AND episode_end_s + 300
     AND (list_contains(list_concat(list_concat(users, ips), hosts), a) OR list_contains(list_concat(list_concat(users, ips), hosts), b)))""")
 def model_only_candidates(spark, sf_dir):
-    return G.model_only(stored(_episodes(spark, sf_dir), "episodes"), _alerts(spark, sf_dir)).select("episode_id")
+    # the trend, a value for each row of an episode, isn't needed here
+    return G.model_only(stored(_episodes(spark, sf_dir).drop("evidence_trend"), "episodes"), _alerts(spark, sf_dir)).select("episode_id")
 
 
 _FLAGGED = ("user_name='user_3'", "login_volume", "event_count")

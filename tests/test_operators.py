@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,21 @@ def test_model_only(spark):
     assert [r.episode_start_s for r in G.model_only(e, a).collect()] == [5000]
 
 
+def test_model_only_long_episodes(spark):
+    kind = "episode_id string, episode_start_s long, episode_end_s long, peak_evidence double, users array<string>, ips array<string>, hosts array<string>"
+    rng, names = np.random.default_rng(3), [f"n{i}" for i in range(6)]
+    starts = np.sort(rng.integers(0, 400_000, 60)).tolist()
+    rows = [(f"e{i}", s, s + int(rng.integers(0, 9000)), 1.0, rng.choice(names, 2).tolist(), [], []) for i, s in enumerate(starts)]
+    # more slots of the tolerance than an array holds
+    rows += [("age", 10**7, 10**12, 1.0, ["u", "n1"], [], []), ("quiet", 10**13, 10**13 + 10**12, 1.0, ["u", "n1"], [], [])]
+    alerts = [(str(i), int(t), [str(rng.choice(names)), None, ""]) for i, t in enumerate(rng.integers(0, 400_000, 150))] + [("u", 10**12 + 300, ["u"]), ("v", 10**13 - 301, ["n1"])]
+    a = spark.createDataFrame(alerts, "alert_id string, ts_s long, entities array<string>")
+    hit = lambda r: any(r[1] - 300 <= t <= r[2] + 300 and set(n) & set(r[4]) for _, t, n in alerts)
+    want = sorted(r[0] for r in rows if not hit(r))
+    assert "quiet" in want and "age" not in want and 5 < len(want) < 55
+    assert sorted(r.episode_id for r in G.model_only(spark.createDataFrame(rows, kind), a).collect()) == want
+
+
 def test_canonicalise(spark):
     hits = [
         {"_id": "1", "_source": {"@timestamp": "2025-07-01T00:00:00Z", "event": {"category": "auth", "outcome": "FAILURE"}, "source": {"ip": "1.2.3.4", "port": "80"}, "zzz": 1}},
