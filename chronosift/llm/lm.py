@@ -11,9 +11,8 @@ times share of the text at CLASS_COST, which balances the cost of both levels.
 
 Weights are fitted in two steps. A start is fitted on the driver with START_DOCS
 documents, whatever the input size. From there every worker passes over its part
-of all training documents and takes one segment in SHARE of each, chosen by
-hash, so what is learned grows with the corpus; the workers' weights are then
-averaged.
+of all training documents and learns from every position of their whole texts;
+the workers' weights are then averaged.
 
 A document is scored in overlapping windows, each position once: the first
 window scores all of its positions, later ones only those that the window before
@@ -57,8 +56,8 @@ SINGLE, LARGEST, EMBEDDED = 80, 4096, 2048
 CLASS_COST = 2.0
 #: Documents of the start, segments of each, passes over them.
 START_DOCS, START_SEGMENTS, START_PASSES = 1000, 8, 2
-#: Bytes of a segment of a training text, and one of how many segments a worker trains on; bytes of context before it.
-SEGMENT, SHARE, LEAD = 512, 16, 64
+#: Bytes of a segment of the start's texts; bytes of context before it.
+SEGMENT, LEAD = 512, 64
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 24 << 20
 #: Documents of a block whose words are looked up at a time; also bounded by bytes.
@@ -158,16 +157,26 @@ class Attention:
 
     def forward(self, x: np.ndarray) -> tuple:
         """x: (B, WINDOW) embedding numbers; probabilities of the classes after each position, and what the backward pass needs."""
+        out, rest = self._logits(x)
+        return _softmax(out).reshape(*x.shape, self.n), rest
+
+    def _logits(self, x: np.ndarray) -> tuple:
         p = self.p
         h = p["e"][x] + p["pos"]
-        q, k, v = h @ p["q"], h @ p["k"], h @ p["v"]
+        q, k, v = np.split(h @ np.hstack([p["q"], p["k"], p["v"]]), 3, axis=-1)
         s = self._attend(q * np.float32(DIM**-0.5), k)
         s /= s.sum(-1, keepdims=True)
         c = s @ v
         y = h + c @ p["o"]
-        z = np.maximum(y @ p["w1"] + p["b1"], 0)
-        out = z @ p["w2"] + y @ p["w3"] + p["b"]
-        return _softmax(out), (h, q, k, v, s, c, y, z)
+        a = self._head(y.reshape(-1, DIM))
+        return a @ np.vstack([p["w2"], p["w3"], p["b"]]), (h, q, k, v, s, c, y, a)
+
+    def _head(self, y: np.ndarray) -> np.ndarray:
+        """What the classes' logits are linear in: hidden values, y and 1."""
+        a = np.ones((len(y), HIDDEN + DIM + 1), np.float32)
+        np.maximum(y @ self.p["w1"] + self.p["b1"], 0, out=a[:, :HIDDEN])
+        a[:, HIDDEN:-1] = y
+        return a
 
     def _attend(self, q: np.ndarray, k: np.ndarray, bounded: bool = False) -> np.ndarray:
         """Unnormalised attention of every position to itself and those before it."""
@@ -200,11 +209,8 @@ class Attention:
     def chosen(self, y: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of one class at each position."""
         p = self.p
-        a = np.ones((len(y), HIDDEN + DIM + 1), np.float32)
-        np.maximum(y @ p["w1"] + p["b1"], 0, out=a[:, :HIDDEN])
-        a[:, HIDDEN:-1] = y
         top = self.top if self.table is not None else np.vstack([p["w2"], p["w3"], p["b"]])
-        return _log_softmax_at(a @ top, target)
+        return _log_softmax_at(self._head(y) @ top, target)
 
     def inside(self, y: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, slice, np.ndarray, np.ndarray]]:
         """For each class of several ids: some of its positions, its slice of
@@ -236,25 +242,22 @@ class Attention:
     def gradients(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray, ids: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], dict[tuple[int, int], np.ndarray]]:
         """Of the mean loss: of all arrays but `u`, and of the slices of `u` that the ids concern."""
         p = self.p
-        d, (h, q, k, v, s, c, y, z) = self.forward(x)
-        i, j = np.ogrid[: x.shape[0], :WINDOW]
-        d[i, j, target] -= 1
-        share = (weight / weight.sum()).astype(np.float32)
-        d *= share[..., None]
+        d, (h, q, k, v, s, c, y, a) = self._logits(x)
+        share = (weight / weight.sum()).astype(np.float32).ravel()
+        _errors(d, target.ravel(), share)
         flat = lambda a: a.reshape(-1, a.shape[-1])
-        g = {"w2": flat(z).T @ flat(d), "w3": flat(y).T @ flat(d), "b": flat(d).sum(0)}
-        dz = d @ p["w2"].T * (z > 0)
-        g["w1"], g["b1"] = flat(y).T @ flat(dz), flat(dz).sum(0)
-        dy = d @ p["w3"].T + dz @ p["w1"].T
+        top = a.T @ d
+        g = {"w2": top[:HIDDEN], "w3": top[HIDDEN:-1], "b": top[-1]}
+        da = d @ np.vstack([p["w2"], p["w3"]]).T
+        dz = da[:, :HIDDEN] * (a[:, :HIDDEN] > 0)
+        g["w1"], g["b1"] = flat(y).T @ dz, dz.sum(0)
+        dy = (da[:, HIDDEN:] + dz @ p["w1"].T).reshape(y.shape)
         du: dict[tuple[int, int], np.ndarray] = {}
         if ids is not None:
-            share = share.ravel()
             real = np.flatnonzero(share)
             ys, dys, part = flat(y)[real], np.zeros((len(real), DIM), np.float32), share[real]
             for rows, at, e, place in self.inside(ys, ids.ravel()[real]):
-                _softmax(e)
-                e[np.arange(len(rows)), place] -= 1
-                e *= part[rows][:, None]
+                _errors(e, place, part[rows])
                 key = (at.start, at.stop)
                 new = e.T @ ys[rows]
                 du[key] = du[key] + new if key in du else new
@@ -267,9 +270,9 @@ class Attention:
         ds -= (ds * s).sum(-1, keepdims=True)
         ds *= s
         ds *= np.float32(DIM**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["q"], g["k"], g["v"] = flat(h).T @ flat(dq), flat(h).T @ flat(dk), flat(h).T @ flat(dv)
-        dh = dy + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
+        below = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], -1)
+        g["q"], g["k"], g["v"] = np.split(flat(h).T @ flat(below), 3, axis=1)
+        dh = dy + below @ np.hstack([p["q"], p["k"], p["v"]]).T
         g["pos"] = dh.sum(0)
         rows, dh = x.ravel(), flat(dh)
         g["e"] = np.stack([np.bincount(rows, dh[:, n], len(p["e"])) for n in range(DIM)], 1).astype(np.float32)
@@ -326,6 +329,17 @@ def _softmax(out: np.ndarray) -> np.ndarray:
     return out
 
 
+def _errors(out: np.ndarray, target: np.ndarray, share: np.ndarray) -> None:
+    """In place: each row's softmax less 1 at its target, times its share. Rows
+    are moved as in `_log_softmax_at`."""
+    rows = np.arange(len(out))
+    if not (out.max(initial=0) < 80 and out[rows, target].min(initial=0) > -80):
+        out -= out.max(-1, keepdims=True)
+    np.exp(out, out=out)
+    out *= (share / (out @ np.ones(out.shape[1], np.float32)))[:, None]
+    out[rows, target] -= share
+
+
 def _log_softmax_at(out: np.ndarray, target: np.ndarray) -> np.ndarray:
     """One entry a row of the log-softmax; overwrites `out`. Rows are moved to
     a maximum of 0 only where single-precision powers of e need it: not if
@@ -358,6 +372,14 @@ def batch_windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return starts, np.where(nth > 0, WINDOW - FRESH, 0), lengths[doc] - nth * FRESH
 
 
+def side_by_side(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For documents of so many positions one after another: windows that hold
+    each position once, by their first place and how many they may reach."""
+    n = -(-lengths // WINDOW)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(np.cumsum(lengths) - lengths, n) + nth * WINDOW, np.repeat(lengths, n) - nth * WINDOW
+
+
 class Scorer:
     def __init__(self, vocabulary: Vocabulary, model: Attention, name: str = WORD_BPE):
         self.vocabulary, self.model, self.name = vocabulary, model, name
@@ -369,6 +391,21 @@ class Scorer:
         end = np.array([self.end], np.int64)
         return [np.concatenate([np.frombuffer(b"".join([memo[w.decode()] for w in words_of(t)]), "<u4").astype(np.int64), end]) for t in texts]
 
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after another, each text with the end in last
+        place, and how many each has; a distinct word is looked up once."""
+        memo = chunk_ids(self.name, 300_000)
+        words, n = words_in(texts)
+        words = words.dictionary_encode()
+        own = [memo[w.decode()] for w in words.dictionary.to_pylist()]
+        flat, size = np.frombuffer(b"".join(own), "<u4").astype(np.int64), np.array([len(x) // 4 for x in own], np.int64)
+        at = words.indices.to_numpy()
+        k = size[at]
+        ends = np.cumsum(k)
+        places = np.repeat((np.cumsum(size) - size)[at] - (ends - k), k) + np.arange(k.sum())
+        cuts = np.append(0, ends)[np.append(0, np.cumsum(n))]
+        return np.insert(flat[places], cuts[1:], self.end), np.diff(cuts) + 1
+
     def inputs(self, target: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Embedding numbers of what stands before each position."""
         x = np.empty(len(target), np.int64)
@@ -408,7 +445,7 @@ class Scorer:
         log_p /= np.log(10)
         return np.add.reduceat(log_p, np.cumsum(lengths) - lengths)
 
-    def segments(self, text: str, key: int, share: int = SHARE, most: int | None = None) -> list[np.ndarray]:
+    def segments(self, text: str, key: int, share: int, most: int | None = None) -> list[np.ndarray]:
         """Rows of WINDOW inputs, WINDOW target ids and WINDOW flags of real
         positions, of one segment of bytes in `share`, chosen by hash of `key`
         and the segment's number; each is cut into windows side by side. `most`
@@ -491,13 +528,15 @@ def start(docs: DataFrame, scorer: Scorer, limit: int = START_DOCS) -> Scorer:
     return scorer.start_from(np.frombuffer(b"".join(w for _, w in rows), "<i4").reshape(-1, 3 * WINDOW))
 
 
-def learn(docs: DataFrame, scorer: Scorer, workers: int, share: int = SHARE, rate: float = 2e-3) -> Scorer:
+def learn(docs: DataFrame, scorer: Scorer, workers: int, share: int = 1, rate: float = 2e-3) -> Scorer:
     """One pass over all training documents: every worker trains on from the
     given weights with its part of them, then the weights are averaged by the
-    positions seen. Arrays travel in chunks and are averaged in two steps, so
-    no task holds more than about the square root of the workers' copies."""
+    positions seen. Every position of every whole text is learned from once; a
+    caller that wants less takes one window in `share`. Arrays travel in chunks
+    and are averaged in two steps, so no task holds more than about the square
+    root of the workers' copies."""
     lanes = max(1, isqrt(workers))
-    t = texts_of(docs.where(~held_out()), F.xxhash64("doc_id", F.octet_length("text")).alias("key"))
+    t = texts_of(docs.where(~held_out()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -505,26 +544,18 @@ def learn(docs: DataFrame, scorer: Scorer, workers: int, share: int = SHARE, rat
         settle()
         m, v = scorer.model, scorer.vocabulary
         before = {k: a.copy() for k, a in m.p.items()}
-        to, rows, seen, batch = m.trainer(rate), [], 0, 128
-
-        def train(rows: np.ndarray) -> int:
-            rows = rows[np.random.default_rng(len(rows)).permutation(len(rows))]
-            for at in range(0, len(rows), batch):
-                x, ids, inside = np.split(rows[at : at + batch], 3, axis=1)
-                to.step(x, v.class_of[ids], inside.astype(np.float32), ids, (1 + to.t / 100) ** -0.5)
-            return int(rows[:, -WINDOW:].sum())
-
-        n = 0
+        to, seen, batch, steps = m.trainer(rate), 0, 128, np.arange(WINDOW)
         for b in slices(batches):
-            for text, key in zip(b.column("text").to_pylist(), b.column("key").to_pylist()):
-                got = scorer.segments(text, key, share)
-                rows += got
-                n += sum(map(len, got))
-                if n >= 32 * batch:
-                    seen += train(np.vstack(rows))
-                    rows, n = [], 0
-        if rows:
-            seen += train(np.vstack(rows))
+            ids, lengths = scorer.encoded(b.column("text"))
+            x = scorer.inputs(ids, lengths)
+            starts, room = side_by_side(lengths)
+            order = np.random.default_rng(len(starts)).permutation(len(starts))[::share]
+            for at in range(0, len(order), batch):
+                s, r = starts[order[at : at + batch], None], room[order[at : at + batch], None]
+                inside = steps < r
+                places = np.where(inside, s + steps, s)
+                to.step(x[places], v.class_of[ids[places]], inside.astype(np.float32), ids[places], (1 + to.t / 100) ** -0.5)
+                seen += int(inside.sum())
         if seen:
             lane = TaskContext.get().partitionId() % lanes
             for k, a in m.p.items():
@@ -623,7 +654,7 @@ class _Block:
         del self.words, self.parts
 
 
-def lm_scores(docs: DataFrame, name: str = WORD_BPE, limit: int = START_DOCS, share: int = SHARE) -> DataFrame:
+def lm_scores(docs: DataFrame, name: str = WORD_BPE, limit: int = START_DOCS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     t = texts_of(docs).withColumn("held_out", held_out())
@@ -638,7 +669,7 @@ def lm_scores(docs: DataFrame, name: str = WORD_BPE, limit: int = START_DOCS, sh
     ends = int(size["docs"])
     v = Vocabulary.of_counts(subword_counts(counts, ends, name))
     scorer = Scorer(v, Attention(v.n_classes, vocabulary=v), name)
-    scorer = learn(docs, start(docs, scorer, limit), workers, share)
+    scorer = learn(docs, start(docs, scorer, limit), workers)
     total, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
     below = float(np.log10(total + distinct + 1))
     end = float(np.log10(ends + 1.0))

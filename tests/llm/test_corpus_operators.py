@@ -271,6 +271,40 @@ def test_lm_is_a_distribution_and_causal():
     assert np.allclose(a[0, :20], b[0, :20], atol=1e-5) and not np.allclose(np.log(a[0, 20:]), np.log(b[0, 20:]), atol=1e-3)
 
 
+def unfitted_scorer(texts: list[str]) -> lm.Scorer:
+    plain = lm.Scorer(lm.Vocabulary.of_counts(np.ones(lm.vocabulary_size(lm.WORD_BPE) + 1, int)), lm.Attention(1))
+    v = lm.Vocabulary.of_counts(sum(np.bincount(x, minlength=plain.end + 1) for x in plain.ids(texts)))
+    return lm.Scorer(v, lm.Attention(v.n_classes, vocabulary=v))
+
+
+def test_lm_learns_from_every_position(spark):
+    """An embedding moves only if its id stands before a position that was learned from: all ids of all training texts do, wherever they stand."""
+    import copy
+
+    names = "time year people way day man thing woman life child world school state family student group country problem hand part place case week company system program question work night point home water room mother area money story".split()
+    rows = [(i, " ".join(["the"] * 150 + [w] + ["the"] * 450 + ["of", w, "of"] * 2)) for i, w in enumerate(names)]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    s = unfitted_scorer([t for _, t in rows])
+    before = s.model.p["e"].copy()
+    learned = lm.learn(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), copy.deepcopy(s), 3)
+    moved = set(np.flatnonzero((learned.model.p["e"] != before).any(1)).tolist())
+    inputs = lambda texts: {int(e) for t in texts for e in s.vocabulary.embedding_of[s.ids([t])[0][:-1]]}
+    assert 0 < len(held) < 12 and moved == inputs([t for i, t in rows if i not in held]) | {s.model.start}
+
+
+def test_lm_windows_side_by_side():
+    import pyarrow as pa
+
+    lengths = np.array([1, 32, 33, 100])
+    starts, room = lm.side_by_side(lengths)
+    places = [p for s, r in zip(starts, room) for p in range(s, s + min(r, lm.WINDOW))]
+    assert places == list(range(lengths.sum()))
+    texts = ["", "A b  a", "\u00e9t\u00e9 " * 30, " x "]
+    s = unfitted_scorer(texts)
+    ids, n = s.encoded(pa.array(texts))
+    assert n.tolist() == [len(x) for x in s.ids(texts)] and ids.tolist() == np.concatenate(s.ids(texts)).tolist()
+
+
 def test_lm_gradients():
     m = lm.Attention(12)
     rng = np.random.default_rng(4)
