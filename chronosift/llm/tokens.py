@@ -73,6 +73,8 @@ def chunk_ids(name: str, limit: int = 500_000) -> Memo:
     word = Memo(lambda w: b"".join([x.id.to_bytes(4, "little") for x in tokenize(_alphabet(w))]), limit)
 
     def compute(chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return word[chunk.lower()]
         if _PLAIN.match(chunk):
             words = _SPLIT.findall(chunk.lower())
             return word[words[0]] if len(words) == 1 else b"".join(map(word.__getitem__, words))
@@ -85,7 +87,11 @@ def chunk_ids(name: str, limit: int = 500_000) -> Memo:
 
 
 def encode(text: str, memo: Memo) -> bytes:
-    """All ids of a text as little-endian unsigned 32-bit integers."""
+    """All ids of a text as little-endian unsigned 32-bit integers. White space
+    of any kind parts the chunks: those around a line end would be new ones, as
+    many as pairs of words meet there."""
+    for c in SPACES[1:]:
+        text = text.replace(c, " ")
     return b"".join(map(memo.__getitem__, text.split(" ")))
 
 

@@ -50,6 +50,19 @@ def test_every_prefix(i):
         assert token_counts.longest_prefix(table, budget) == (max(ok) if ok else 0)
 
 
+def test_encode_parts_chunks_at_any_white_space():
+    """Chunks around line ends aren't looked up as chunks of their own, and ids are the library's."""
+    from chronosift.llm import tokens
+    from chronosift.llm.common import Memo
+
+    text = "One end.\nTwo\tends\r\nthree\x0b\x0cof  it <|endoftext|> it's\u00a0\u00e9t\u00e9\x1c\n"
+    library = tokens.chunk_ids(tokens.WORD_BPE)
+    memo = Memo(library.__getitem__)
+    ids = np.frombuffer(tokens.encode(text, memo), "<u4").tolist()
+    assert ids == tokens.library(tokens.WORD_BPE).encode(text, add_special_tokens=False).ids
+    assert {"One", "end.", "Two", "ends", "three", "of", "it"} <= set(memo) and not any(c in chunk for chunk in memo for c in " \t\n\x0b\x0c\r")
+
+
 def test_token_file_round_trip(spark, tmp_path):
     path = f"file://{tmp_path}/ids"
     got = {r.doc_id: r for r in token_files.round_trip(frame(spark), path).collect()}
