@@ -87,21 +87,25 @@ class Anchors:
         h = mix(words[:n] * np.uint64(0x9E3779B97F4A7C15) + words[8 : n + 8] * np.uint64(0xC2B2AE3D27D4EB4F) + words[16:] * np.uint64(0x165667B19E3779F9))
         least = _slide(h, PLACES, np.minimum)[:total]
         valid = np.zeros(total, bool)
-        own = np.repeat(np.arange(len(texts)), windows)
-        starts = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows) + self.begin[own]
-        valid[starts] = True
+        for at, n_windows in zip(self.begin.tolist(), windows.tolist()):
+            valid[at : at + n_windows] = True
+        starts = np.flatnonzero(valid)
         shown = np.where(valid, least, 0)
         high = _slide(np.concatenate([np.zeros(PLACES - 1, np.uint64), shown, np.zeros(PLACES, np.uint64)]), PLACES, np.maximum)
-        chosen = np.flatnonzero(h[: len(high)] == high)  # places that are least in some window
-        # each window's leftmost least place
-        k = np.searchsorted(chosen, starts)
-        want = least[starts]
-        while len(wrong := np.flatnonzero(h[chosen[k]] != want)):
+        least_in_some = h[: len(high)] == high
+        chosen = np.flatnonzero(least_in_some)
+        # each window's leftmost least place: the first chosen place in it, or one of the next
+        k = (np.cumsum(least_in_some, dtype=np.int32) - least_in_some)[:total][valid]
+        want = least[valid]
+        wrong = np.flatnonzero(h[chosen][k] != want)
+        while len(wrong):
             k[wrong] += 1
-        owner = chosen[k]
-        cut = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (own[1:] != own[:-1])]))
-        self.at, self.doc = owner[cut], own[cut]
-        self.first, self.last = starts[cut], starts[np.append(cut[1:], len(starts)) - 1]
+            wrong = wrong[h[chosen[k[wrong]]] != want[wrong]]
+        # an anchor lies within its window, so windows of two documents have different ones
+        cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        self.at, self.first = chosen[k[cut]], starts[cut]
+        self.last = starts[np.append(cut[1:], len(starts)) - 1]
+        self.doc = np.searchsorted(self.begin, self.first, "right") - 1
         self.hash = h[self.at]
 
 

@@ -305,6 +305,25 @@ def test_lm_windows_side_by_side():
     assert n.tolist() == [len(x) for x in s.ids(texts)] and ids.tolist() == np.concatenate(s.ids(texts)).tolist()
 
 
+def test_anchors_by_definition_without_a_search_per_window(monkeypatch):
+    """Each window's leftmost gram of least hash, in runs; constant bytes tie everywhere. What is searched for is runs, not windows."""
+    rng = random.Random(4)
+    texts = [b"", b"x" * 49, b"x" * 300, words(1, 60).encode(), b"", b"ab" * 90, bytes(rng.choices(b"ab", k=700)), words(2, 8).encode(), b""]
+    asked, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more, **named: asked.append(np.size(v)) or search(a, v, *more, **named))
+    a = suffix_dedup.Anchors(texts)
+    assert sum(asked) <= len(a.at)
+    value = {bytes(a.buf[p : p + 24]): h for p, h in zip(a.at.tolist(), a.hash.tolist())}
+    got = {}
+    for at, first, last, d in zip(a.at.tolist(), a.first.tolist(), a.last.tolist(), a.doc.tolist()):
+        got |= {(d, w - int(a.begin[d])): at - int(a.begin[d]) for w in range(first, last + 1)}
+    assert sorted(got) == [(d, w) for d, t in enumerate(texts) for w in range(len(t) - 49)]
+    for (d, w), at in got.items():
+        grams = [texts[d][p : p + 24] for p in range(w, w + 27)]
+        known = [value.get(g, 1 << 64) for g in grams]  # anchors have the least hashes; others' are larger within the window
+        assert at - w == known.index(min(known))
+
+
 def test_lm_gradients():
     m = lm.Attention(12)
     rng = np.random.default_rng(4)
