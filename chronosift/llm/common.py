@@ -21,13 +21,13 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that none holds more than `rows` or much more than SLICE_BYTES of `column`."""
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that none holds more than `rows` or much more than `size` bytes of `column`."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        step = max(1, min(rows, int(n * SLICE_BYTES / max(1, batch.column(column).nbytes))))
+        step = max(1, min(rows, int(n * size / max(1, batch.column(column).nbytes))))
         for at in range(0, n, step):
             yield batch.slice(at, step)
 

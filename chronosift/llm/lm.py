@@ -60,6 +60,9 @@ START_DOCS, START_SEGMENTS, START_PASSES = 1000, 8, 2
 SEGMENT, LEAD = 512, 64
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 24 << 20
+#: Words whose ids a worker keeps, and as many parts of words; bytes of text learned from at a time, about. Both bound
+#: what a Python worker holds beside the JVM.
+WORDS_KEPT, LEARN_BYTES = 60_000, 2 << 20
 #: Documents of a block whose words are looked up at a time; also bounded by bytes.
 BLOCK_ROWS = 10_000
 #: Tokens scored at a time, about; a longer text is scored whole.
@@ -387,14 +390,14 @@ class Scorer:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Subword ids with the end in last place."""
-        memo = chunk_ids(self.name, 300_000)
+        memo = chunk_ids(self.name, WORDS_KEPT)
         end = np.array([self.end], np.int64)
         return [np.concatenate([np.frombuffer(b"".join([memo[w.decode()] for w in words_of(t)]), "<u4").astype(np.int64), end]) for t in texts]
 
     def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another, each text with the end in last
         place, and how many each has; a distinct word is looked up once."""
-        memo = chunk_ids(self.name, 300_000)
+        memo = chunk_ids(self.name, WORDS_KEPT)
         words, n = words_in(texts)
         words = words.dictionary_encode()
         own = [memo[w.decode()] for w in words.dictionary.to_pylist()]
@@ -459,7 +462,7 @@ class Scorer:
         data = data.lower()
         if most is not None:
             picked = picked[:: max(1, -(-len(picked) // most))]
-        memo, out = chunk_ids(self.name, 300_000), []
+        memo, out = chunk_ids(self.name, WORDS_KEPT), []
         steps = np.arange(WINDOW)
         for i in picked:
             # a word belongs to the segment that it begins in; the words before it are context, or the document's start
@@ -545,7 +548,7 @@ def learn(docs: DataFrame, scorer: Scorer, workers: int, share: int = 1, rate: f
         m, v = scorer.model, scorer.vocabulary
         before = {k: a.copy() for k, a in m.p.items()}
         to, seen, batch, steps = m.trainer(rate), 0, 128, np.arange(WINDOW)
-        for b in slices(batches):
+        for b in slices(batches, size=LEARN_BYTES):
             ids, lengths = scorer.encoded(b.column("text"))
             x = scorer.inputs(ids, lengths)
             starts, room = side_by_side(lengths)
@@ -615,7 +618,7 @@ def with_ids(counts: DataFrame, name: str = WORD_BPE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
-        memo = chunk_ids(name, 300_000)
+        memo = chunk_ids(name, WORDS_KEPT)
         for b in slices(batches, "word"):
             yield pa.record_batch([b.column("word"), b.column("c"), pa.array([memo.compute(w.decode()) for w in b.column("word").to_pylist()], pa.binary())], names=["word", "c", "ids"])
 

@@ -292,6 +292,31 @@ def test_lm_learns_from_every_position(spark):
     assert 0 < len(held) < 12 and moved == inputs([t for i, t in rows if i not in held]) | {s.model.start}
 
 
+def test_lm_learns_within_bounded_memory(spark):
+    """A worker takes a few MB of text at a time and keeps a bounded number of words, however much its part holds."""
+    rng = random.Random(7)
+    rows = [(i, " ".join([f"{rng.getrandbits(40):x}" for _ in range(1200)] + ["the time"] * 5000)) for i in range(150)]
+    plain = unfitted_scorer(["the time"])
+
+    class Watched(lm.Scorer):
+        def encoded(self, texts):
+            import gc
+
+            from chronosift.llm.common import Memo
+
+            if texts.nbytes > 3 << 20:
+                raise ValueError(f"{texts.nbytes} bytes of text at a time")
+            out = super().encoded(texts)
+            if (kept := sum(len(x) for x in gc.get_objects() if isinstance(x, Memo))) > 130_000:
+                raise ValueError(f"{kept} words kept")
+            return out
+
+    s = Watched(plain.vocabulary, plain.model)
+    before = s.model.p["e"].copy()
+    learned = lm.learn(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), s, 1, 40)
+    assert (learned.model.p["e"] != before).any()
+
+
 def test_lm_windows_side_by_side():
     import pyarrow as pa
 
