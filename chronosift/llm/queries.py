@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronosift.llm import decontamination, exact_dedup, lm, near_dedup, pieces, quality, secrets, suffix_dedup, token_counts, token_files
+from chronosift.llm import decontamination, exact_dedup, filter_audit, lm, near_dedup, phrases, pieces, quality, secrets, suffix_dedup, token_counts, token_files, warc
 from chronosift.session import table
 
 
@@ -52,9 +52,30 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(_docs(spark, sf_dir), full=False)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_docs(spark, sf_dir))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = (
+    op1_quality, op2_lm_scores, op3_suffix_dedup, op4_near_dedup, op5_decontamination, op6_secrets, op7_token_counts, op8_exact_dedup, op9_token_files, op10_pieces,
+    op11_collocations, op12_filter_audit, op13_warc,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_lm_scores, op3_suffix_dedup, op4_near_dedup, op5_decontamination, op6_secrets, op7_token_counts, op8_exact_dedup, op9_token_files, op10_pieces)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_secrets": secrets.OP6_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {
+        "op6_secrets": secrets.OP6_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL,
+        "op11_collocations": phrases.OP11_SQL, "op12_filter_audit": filter_audit.OP12_SQL, "op13_warc": warc.OP13_SQL,
+    }
