@@ -8,11 +8,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronosift.operators.baselines import exact_quantiles, melt
+from chronosift.operators.learning import learned, training_shards
 from chronosift.operators.ranges import running_counts
+from chronosift.operators.sequence import SequenceModel  # noqa: F401
 from chronosift.session import stored
 
 
@@ -97,12 +101,50 @@ class Pca:
         return df.withColumn("raw_score", reduce(lambda a, b: a + b, [e * e for e in err]) / float(len(z)))
 
 
-# ---- models in numpy: fitted on a bounded sample, scored where the rows are ----
-def _sample(train: DataFrame, features: list[str], order: str, rows: int) -> np.ndarray:
-    """At most `rows` rows, by the hash of the order column."""
-    cols = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]
-    got = train.select(order, *cols).orderBy(F.xxhash64(order), order).limit(rows).toPandas().sort_values(order)
-    return got[features].to_numpy(float)
+# ---- models in numpy: fitted on all rows, scored where the rows are ----
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that scatters them (the finaliser of splitmix64)."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def tree_keys(rows: np.ndarray, trees: int, seed: int) -> np.ndarray:
+    """Rows' 64-bit hashes to one key per row and tree."""
+    with np.errstate(over="ignore"):
+        starts = _mixed(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    return _mixed(rows[:, None] ^ starts[None, :])
+
+
+def tree_samples(train: DataFrame, order: str, features: list[str], trees: int, size: int, seed: int) -> dict[int, np.ndarray]:
+    """Per tree a sample of `size` rows without replacement, drawn from all rows:
+    those with the smallest keys. Every task keeps its smallest, the smallest of
+    those are the tree's; what reaches the driver is trees * size rows."""
+    rows = train.select(F.xxhash64(order).alias("h"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(features)])
+    names = [f"f{i}" for i in range(len(features))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, kept = [np.zeros(0, np.uint64)] * trees, [np.zeros((0, len(names)))] * trees
+        for b in batches:
+            x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in names])
+            fresh = tree_keys(b.column("h").to_numpy(zero_copy_only=False).view(np.uint64), trees, seed)
+            for t in range(trees):
+                k, v = np.concatenate([keys[t], fresh[:, t]]), np.concatenate([kept[t], x])
+                least = np.lexsort((*v.T[::-1], k))[:size] if len(k) <= 4 * size else np.argpartition(k, size)[: size + 1]
+                if len(least) > size:  # rows of the largest key may tie
+                    least = np.flatnonzero(k <= k[least].max())
+                    least = least[np.lexsort((*v[least].T[::-1], k[least]))[:size]]
+                keys[t], kept[t] = k[least], v[least]
+        # as signed numbers in the same order
+        signed = (np.concatenate(keys) ^ np.uint64(1 << 63)).view(np.int64)
+        x = np.concatenate(kept)
+        yield pa.record_batch([pa.array(np.repeat(np.arange(trees, dtype=np.int32), [len(k) for k in keys])), pa.array(signed), *[pa.array(np.ascontiguousarray(c)) for c in x.T]], names=["tree", "key", *names])
+
+    least = rows.mapInArrow(run, "tree int, key long, " + ", ".join(f"{c} double" for c in names))
+    least = least.withColumn("at", F.row_number().over(W.partitionBy("tree").orderBy("key", *names))).where(F.col("at") <= size)
+    got = least.select("tree", "at", *names).toPandas().sort_values(["tree", "at"])
+    return {int(t): g[names].to_numpy(float) for t, g in got.groupby("tree")}
 
 
 class IsolationForest:
@@ -117,14 +159,14 @@ class IsolationForest:
             return 0.0
         return 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n if n > 2 else 1.0
 
-    def fit(self, train: DataFrame, order: str, rows: int = 20_000) -> IsolationForest:
-        x = _sample(train, self.features, order, rows)
+    def fit(self, train: DataFrame, order: str) -> IsolationForest:
+        samples = tree_samples(train, order, self.features, self.n, self.size, self.seed)
         rng = np.random.default_rng(self.seed)
-        self.psi = min(self.size, max(len(x), 1))
+        self.psi = max((len(x) for x in samples.values()), default=1)
         limit = int(np.ceil(np.log2(max(self.psi, 2))))
         self.trees = []
-        for _ in range(self.n):
-            own = x[rng.choice(len(x), self.psi, replace=False)] if len(x) else np.zeros((0, len(self.features)))
+        for t in range(self.n):
+            own = samples.get(t, np.zeros((0, len(self.features))))
             nodes: list[list[float]] = []  # feature, threshold, left, right, length at a leaf
             self._grow(own, 0, limit, rng, nodes)
             self.trees.append(np.array(nodes))
@@ -168,105 +210,69 @@ def _by_pandas(df: DataFrame, features: list[str], values) -> DataFrame:
     return df.withColumn("raw_score", score(*[F.col(c).cast("double") for c in features]))
 
 
-class Autoencoder:
-    """d - hidden - latent - hidden - d with ReLU, Adam and squared error, in numpy."""
+class _Dense:
+    """The autoencoder's layers (ReLU between them) over one flat vector of weights."""
+
+    def __init__(self, sizes: list[int]):
+        self.sizes, self.width = sizes, sizes[0]
+        self.size = sum(a * b + b for a, b in zip(sizes, sizes[1:]))
 
-    def __init__(self, features: list[str], hidden: int = 32, latent: int = 8, epochs: int = 30, seed: int = 42):
-        self.features, self.sizes, self.epochs, self.seed = features, [len(features), hidden, latent, hidden, len(features)], epochs, seed
+    def start(self, seed: int) -> np.ndarray:
+        rng = np.random.default_rng(seed)
+        return np.concatenate([p for a, b in zip(self.sizes, self.sizes[1:]) for p in (rng.normal(0, (2 / a) ** 0.5, a * b), np.zeros(b))])
 
-    def _forward(self, x: np.ndarray) -> list[np.ndarray]:
-        acts = [x]
-        for i, (w, b) in enumerate(self.layers):
+    def _layers(self, theta: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        out, at = [], 0
+        for a, b in zip(self.sizes, self.sizes[1:]):
+            out.append((theta[at : at + a * b].reshape(a, b), theta[at + a * b : at + a * b + b]))
+            at += a * b + b
+        return out
+
+    def _forward(self, theta: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+        acts, layers = [x], self._layers(theta)
+        for i, (w, b) in enumerate(layers):
             y = acts[-1] @ w + b
-            acts.append(np.maximum(y, 0) if i < len(self.layers) - 1 else y)
+            acts.append(np.maximum(y, 0) if i < len(layers) - 1 else y)
         return acts
 
-    def fit(self, train: DataFrame, order: str, rows: int = 20_000, rate: float = 1e-3) -> Autoencoder:
-        x = _sample(train, self.features, order, rows)
-        x = x[: max(1, int(len(x) * 0.8))]
-        rng = np.random.default_rng(self.seed)
-        self.mean, self.std = x.mean(0), np.where(x.std(0) < 1e-8, 1.0, x.std(0))
-        x = (x - self.mean) / self.std
-        self.layers = [[rng.normal(0, (2 / a) ** 0.5, (a, b)), np.zeros(b)] for a, b in zip(self.sizes, self.sizes[1:])]
-        m = [[np.zeros_like(p) for p in layer] for layer in self.layers]
-        s = [[np.zeros_like(p) for p in layer] for layer in self.layers]
-        t = 0
-        for _ in range(self.epochs):
-            for pick in np.array_split(rng.permutation(len(x)), max(1, len(x) // 256)):
-                acts = self._forward(x[pick])
-                d = 2 * (acts[-1] - x[pick]) / acts[-1].size
-                t += 1
-                for i in reversed(range(len(self.layers))):
-                    g = [acts[i].T @ d, d.sum(0)]
-                    d = (d @ self.layers[i][0].T) * (acts[i] > 0)
-                    for j in (0, 1):
-                        m[i][j] = 0.9 * m[i][j] + 0.1 * g[j]
-                        s[i][j] = 0.999 * s[i][j] + 0.001 * g[j] ** 2
-                        self.layers[i][j] = self.layers[i][j] - rate * (m[i][j] / (1 - 0.9**t)) / (np.sqrt(s[i][j] / (1 - 0.999**t)) + 1e-8)
-        return self
+    def examples(self, x: np.ndarray, shard: int = 0) -> np.ndarray:
+        return x
 
-    def values(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.mean) / self.std
-        return ((self._forward(z)[-1] - z) ** 2).mean(1)
+    def errors(self, theta: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return ((self._forward(theta, x)[-1] - x) ** 2).mean(1)
 
-    def score(self, df: DataFrame) -> DataFrame:
-        return _by_pandas(df, self.features, self.values)
+    def error(self, theta: np.ndarray, x: np.ndarray) -> float:
+        return float(self.errors(theta, x).sum())
 
+    def gradient(self, theta: np.ndarray, x: np.ndarray) -> np.ndarray:
+        acts, layers, out = self._forward(theta, x), self._layers(theta), []
+        d = 2 * (acts[-1] - x) / x.size
+        for i in reversed(range(len(layers))):
+            out += [d.sum(0), (acts[i].T @ d).ravel()]
+            d = (d @ layers[i][0].T) * (acts[i] > 0)
+        return np.concatenate(out[::-1])
 
-class SequenceModel:
-    """Predicts a window from the `length` windows before it by a recurrent net:
-    a fixed random recurrent layer whose readout is fitted by ridge regression.
-    Score = mean squared error; without a window before it the score is 0.
-    Contexts come from ordered frames with overlap, never from a whole grid in one task."""
-
-    def __init__(self, features: list[str], length: int = 12, units: int = 48, seed: int = 42):
-        self.features, self.length, self.units, self.seed = features, length, units, seed
-
-    def _state(self, seq: np.ndarray) -> np.ndarray:
-        h = np.zeros((len(seq), self.units))
-        for t in range(self.length):
-            h = np.where(np.isnan(seq[:, t, :1]), h, np.tanh(np.nan_to_num(seq[:, t]) @ self.w_in + h @ self.w_h))
-        return np.hstack([h, np.nan_to_num(seq[:, -1]), np.ones((len(seq), 1))])
-
-    def contexts(self, df: DataFrame, order: str) -> DataFrame:
-        from chronosift.operators.windowing import bucketed_frames
-
-        row = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.features])
-        add = lambda d, w: d.withColumn("__ctx", F.flatten(F.collect_list(row).over(w.rowsBetween(-self.length, -1))))
-        return bucketed_frames(df.withColumn("window_id", F.col(order)) if order != "window_id" else df, add, self.length)
-
-    def _unpack(self, ctx: pd.Series) -> np.ndarray:
-        d = len(self.features)
-        out = np.full((len(ctx), self.length, d), np.nan)
-        for i, v in enumerate(ctx):
-            v = np.asarray(v, float).reshape(-1, d)
-            if len(v):
-                out[i, self.length - len(v) :] = v
-        return (out - self.mean) / self.std
-
-    def fit(self, train: DataFrame, order: str = "window_id", rows: int = 10_000) -> SequenceModel:
-        c = self.contexts(train, order)
-        got = c.select(order, "__ctx", *[F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias(x) for x in self.features]).orderBy(F.xxhash64(order)).limit(rows).toPandas().sort_values(order)
-        y = got[self.features].to_numpy(float)
-        self.mean, self.std = y.mean(0), np.where(y.std(0) < 1e-8, 1.0, y.std(0))
-        rng = np.random.default_rng(self.seed)
-        d = len(self.features)
-        self.w_in = rng.normal(0, 0.5, (d, self.units))
-        w = rng.normal(0, 1, (self.units, self.units))
-        self.w_h = 0.8 * w / np.abs(np.linalg.eigvals(w)).max()
-        s = self._state(self._unpack(got["__ctx"]))
-        self.out = np.linalg.solve(s.T @ s + 1e-2 * np.eye(s.shape[1]), s.T @ ((y - self.mean) / self.std))
+
+class Autoencoder:
+    """d - hidden - latent - hidden - d with ReLU and squared error, learned from
+    the first `1 - later` of the rows, in order; the later ones choose among the
+    rounds' weights and end the rounds when they no longer get better."""
+
+    def __init__(self, features: list[str], hidden: int = 32, latent: int = 8, rounds: int = 30, rate: float = 1e-3, batch: int = 256, later: float = 0.2, patience: int = 5, seed: int = 42):
+        self.features, self.sizes = features, [len(features), hidden, latent, hidden, len(features)]
+        self.rounds, self.rate, self.batch, self.later, self.patience, self.seed = rounds, rate, batch, later, patience, seed
+
+    def fit(self, train: DataFrame, order: str) -> Autoencoder:
+        net = _Dense(self.sizes)
+        shards, self.mean, self.std = training_shards(train, order, self.features, 1 - self.later)
+        self.theta, self.history = learned(shards, net, net.start(self.seed), self.rounds, self.rate, self.batch, self.patience, self.seed)
         return self
 
-    def score(self, df: DataFrame, order: str = "window_id") -> DataFrame:
-        def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            for ctx, *cols in parts:
-                y = (np.column_stack([c.fillna(0.0).to_numpy(float) for c in cols]) - self.mean) / self.std
-                err = ((self._state(self._unpack(ctx)) @ self.out - y) ** 2).mean(1)
-                yield pd.Series(np.where([len(v) == 0 for v in ctx], 0.0, err))
+    def values(self, x: np.ndarray) -> np.ndarray:
+        return _Dense(self.sizes).errors(self.theta, (x - self.mean) / self.std)
 
-        udf = F.pandas_udf(run, "double")
-        return self.contexts(df, order).withColumn("raw_score", udf("__ctx", *[F.col(c).cast("double") for c in self.features])).drop("__ctx")
+    def score(self, df: DataFrame) -> DataFrame:
+        return _by_pandas(df, self.features, self.values)
 
 
 # ---- calibration and ensembles ----

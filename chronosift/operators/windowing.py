@@ -68,14 +68,14 @@ def contiguity_gaps(dense_windows: DataFrame) -> DataFrame:
     return dense_windows.join(following, "window_id", "left_anti").crossJoin(F.broadcast(last)).where("window_id < last").select("window_id")
 
 
-def bucketed_frames(df: DataFrame, add, reach: int = REACH, bucket: int = GRID_BUCKET) -> DataFrame:
+def bucketed_frames(df: DataFrame, add, reach: int = REACH, bucket: int = GRID_BUCKET, key: str = "window_id") -> DataFrame:
     """Apply `add(df, window)` over ordered windows, bucket by bucket: every
     bucket also gets the `reach` rows before it, whose own results are dropped,
     so no frame needs the whole grid in one task."""
-    b = F.floor(F.col("window_id") / bucket)
-    copies = F.array_distinct(F.array(b, F.floor((F.col("window_id") + reach) / bucket)))
+    b = F.floor(F.col(key) / bucket)
+    copies = F.array_distinct(F.array(b, F.floor((F.col(key) + reach) / bucket)))
     spread = df.withColumn("__b", F.explode(copies))
-    out = add(spread, W.partitionBy("__b").orderBy("window_id"))
+    out = add(spread, W.partitionBy("__b").orderBy(key))
     return out.where(F.col("__b") == b).drop("__b")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from chronosift.operators import detectors as D
 from chronosift.operators import features as X
 from chronosift.operators import investigation as G
 from chronosift.operators import profile as P
+from chronosift.operators import sequence as Q
 from chronosift.operators import windowing as WN
 from chronosift.plans.adapter import SPLIT, SPLIT_S, canonical_events, ev_sql
 from chronosift.session import stored, table
@@ -725,7 +727,7 @@ def daily_flag_rate(spark, sf_dir):
     return d.select(F.round("mean_pct", 5).alias("mean_pct"), F.round("std_pct", 5).alias("std_pct"), "stability")
 
 
-# ---- models in numpy: no SQL form ----
+# ---- models in numpy: SQL forms where weights are fixed or have a closed form ----
 _MODEL_FEATURES = ["event_count", "distinct_users", "distinct_ips", "distinct_hosts", "distinct_processes"]
 
 
@@ -741,6 +743,17 @@ def pca_detector(spark, sf_dir):
     return D.Pca(_MODEL_FEATURES).fit(train).score(rows).select("window_id", "raw_score")
 
 
+@query(
+    "WITH " + ev_sql(HOUR) + f""", {_DATASET}, {_GRID}, {_DENSE}, tr AS (SELECT * FROM d WHERE window_id < {SPLIT_S // HOUR}),
+    st AS (SELECT avg(event_count) AS m1, stddev_pop(event_count) AS s1, avg(distinct_users) AS m2, stddev_pop(distinct_users) AS s2, sign(corr(event_count, distinct_users)) AS sg FROM tr)
+    SELECT window_id, round(pow((event_count - m1) / s1 - sg * (distinct_users - m2) / s2, 2) / 4, 6) AS raw_score FROM d, st"""
+)
+def pca_two_features(spark, sf_dir):
+    """One of two components: what is left of two standardised features is their difference, or sum where they oppose."""
+    train, rows = _hour_rows(spark, sf_dir)
+    return r6(D.Pca(_MODEL_FEATURES[:2], 0.5).fit(train).score(rows).select("window_id", "raw_score"))
+
+
 @query()
 def isolation_forest(spark, sf_dir):
     train, rows = _hour_rows(spark, sf_dir)
@@ -757,3 +770,29 @@ def autoencoder(spark, sf_dir):
 def sequence_model(spark, sf_dir):
     train, rows = _hour_rows(spark, sf_dir)
     return D.SequenceModel(_MODEL_FEATURES).fit(train).score(rows).select("window_id", "raw_score")
+
+
+#: A network of one unit over one feature (event_count / 50): gates' weights of the feature, of the state, biases; readout.
+_UNIT = {"w": (0.9, -0.4, 0.7, 0.5), "u": (-0.3, 0.2, 0.6, 0.1), "b": (0.1, 0.8, -0.2, 0.3), "v": 1.3, "c": 0.25}
+_OVERLAP = 3
+
+
+def _unit_sql() -> str:
+    gate = lambda k, t: f"({_UNIT['w'][k]} * x{t} + {_UNIT['b'][k]}" + (f" + {_UNIT['u'][k]} * h{t - 1})" if t else ")")
+    sig = lambda x: f"1 / (1 + exp(-{x}))"
+    steps = "q AS (SELECT window_id AS i, " + ", ".join(f"lead(x, {t}) OVER (ORDER BY window_id) AS x{t}" for t in range(_OVERLAP + 1)) + " FROM z)"
+    before = "q"
+    for t in range(_OVERLAP):
+        steps += f", c{t}_ AS (SELECT *, " + (f"{sig(gate(1, t))} * c{t - 1} + " if t else "") + f"{sig(gate(0, t))} * tanh({gate(2, t)}) AS c{t} FROM {before}), h{t}_ AS (SELECT *, {sig(gate(3, t))} * tanh(c{t}) AS h{t} FROM c{t}_)"
+        before = f"h{t}_"
+    errors = " UNION ALL ".join(f"SELECT i + {t + 1} AS window_id, pow({_UNIT['v']} * h{t} + {_UNIT['c']} - x{t + 1}, 2) AS e FROM {before} WHERE x{_OVERLAP} IS NOT NULL" for t in range(_OVERLAP))
+    return f"z AS (SELECT window_id, event_count / 50.0 AS x FROM d), {steps}, e AS ({errors}), a AS (SELECT window_id, avg(e) AS e FROM e GROUP BY window_id) SELECT window_id, round(coalesce(e, 0), 6) AS raw_score FROM d LEFT JOIN a USING (window_id)"
+
+
+@query(EH + f", {_DATASET}, {_GRID}, {_DENSE}, {_unit_sql()}")
+def sequence_overlap(spark, sf_dir):
+    """Errors of overlapping sequences, averaged by the window they are of."""
+    net = Q.Lstm(1, 1, _OVERLAP)
+    theta = np.array([*_UNIT["w"], *_UNIT["u"], *_UNIT["b"], _UNIT["v"], _UNIT["c"]])
+    rows = _hour_rows(spark, sf_dir)[1].withColumn("x", F.col("event_count") / 50.0)
+    return r6(Q.overlapping_scores(rows, "window_id", ["x"], _OVERLAP, lambda s: net.errors(theta, s)).select("window_id", "raw_score"))

@@ -106,7 +106,7 @@ def test_detectors_find_the_outlier(spark):
     rows = [(i, float(i % 7), float(i % 5)) for i in range(400)] + [(400, 90.0, -40.0)]
     d = spark.createDataFrame(rows, "window_id long, a double, b double")
     train = d.where("window_id < 400")
-    for m in (D.Pca(["a", "b"], 0.5), D.IsolationForest(["a", "b"], trees=30), D.Autoencoder(["a", "b"], 8, 1, epochs=5), D.SequenceModel(["a", "b"])):
+    for m in (D.Pca(["a", "b"], 0.5), D.IsolationForest(["a", "b"], trees=30), D.Autoencoder(["a", "b"], 8, 1, rounds=5), D.SequenceModel(["a", "b"], rounds=4)):
         fitted = m.fit(train) if isinstance(m, (D.Pca, D.SequenceModel)) else m.fit(d if isinstance(m, D.IsolationForest) else train, "window_id")
         s = fitted.score(d)
         assert s.orderBy(F.desc("raw_score")).first().window_id == 400, type(m)
