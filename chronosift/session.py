@@ -55,11 +55,17 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-    """Write `df` to the shared folder and read it again: lineage is cut by a
-    table that survives lost executors."""
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table whose readers are all done."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def stored(df: DataFrame, name: str, by: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """Write `df` to the shared folder (to `path`, where its caller removes it)
+    and read it again: lineage is cut by a table that survives lost executors."""
     spark = df.sparkSession
-    path = work_path(spark, name)
+    path = path or work_path(spark, name)
     w = df.write
     if by:
         w = w.partitionBy(*by)
