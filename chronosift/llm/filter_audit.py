@@ -56,6 +56,7 @@ def failures(docs: DataFrame, copies: str = "E") -> tuple[DataFrame, str]:
     )
     own = stored(own, "masks")
     first = own.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
+    first = stored(first, "first-of-copies")  # a table of its own, so that the join can split a digest of many rows
     copy = F.when(F.col("first_id") < F.col("doc_id"), 1 << len(filters)).otherwise(0)
     return own.join(first.hint("merge"), "digest", "left").select("doc_id", "part", (F.col("mask") + copy).alias("mask")), letters
 
