@@ -41,8 +41,8 @@ from chronosift.session import stored, work_path
 FILE_BYTES = 256 << 20
 #: Ranges at most so many bytes apart are read as one; a run ends when it has RUN_BYTES.
 GAP, RUN_BYTES = 64 << 10, 4 << 20
-#: Offsets of one file go to readers in spans of so many bytes.
-SPAN_BYTES = 32 << 20
+#: Offsets of one file go to readers in spans of so many bytes; so many bytes are a reader's share.
+SPAN_BYTES, TASK_BYTES = 8 << 20, 16 << 20
 LEAST_PAYLOAD = 100
 #: The capture time of records, which pages don't have.
 DATE = "2020-01-01T00:00:00Z"
@@ -70,7 +70,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     """One gzip member. The block is an HTTP response; a revisit's has no body."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", DATE)]
-    headers += [("WARC-Target-URI", _target(url))] * bool(url) + [("Page-ID", str(page_id))] * (page_id is not None)
+    headers += [("WARC-Target-URI", _target(url))] if url else []
+    headers += [("Page-ID", str(page_id))] if page_id is not None else []
     headers += [("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if revisit:
         headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("Refers-To-Page-ID", str(refers_to))]
@@ -108,7 +109,9 @@ def roles(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     """page_id, url, html, payload_bytes, payload_digest, refers_to (null for responses)."""
     html = F.coalesce("html", F.lit(""))
     d = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("payload_digest"))
-    first = d.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"))
+    first = d.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    # a table of its own, so that the join can split a payload of many rows
+    first = stored(first.where("n > 1 AND first_id IS NOT NULL").select("payload_digest", "first_id"), "first-payloads")
     later = F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id"))
     out = d.join(first.hint("merge"), "payload_digest", "left")
     return out.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(F.col("first_id").isNotNull() & later, F.col("first_id")).alias("refers_to"))
@@ -181,7 +184,9 @@ def read(spark: SparkSession, path: str, selected: DataFrame | None = None) -> D
     compared with its digest; a revisit's is null."""
     data = _qualified(spark, path) + "/data"
     rows = (index(spark, path) if selected is None else selected).select("file", "offset", "length")
-    rows = rows.withColumn("span", F.floor(F.col("offset") / SPAN_BYTES)).repartition("file", "span").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    # a fixed number of tasks: index rows are too small for Spark to tell what reading them costs
+    tasks = -(-(rows.agg(F.sum("length").alias("n")).first()["n"] or 0) // TASK_BYTES)
+    rows = rows.withColumn("span", F.floor(F.col("offset") / SPAN_BYTES)).repartition(max(tasks, 1), "file", "span").sortWithinPartitions("file", "offset").select("file", "offset", "length")
 
     def one(member: bytes) -> tuple:
         h, block = parse(member)
