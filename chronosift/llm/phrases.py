@@ -8,7 +8,7 @@ their ids. Adjacent ids are the next level's pairs. A pair's row keeps the ids o
 the two grams it was made of, so its cuts and the grams it contains are found by
 following parents, never by comparing strings. What moves is an entry of an
 array per distinct gram of a block, not a row per word of the corpus; the number
-of ranges follows the bytes of text, so a range has some three million entries
+of ranges follows the bytes of text, so a range has some two million entries
 whatever the corpus, and the most frequent gram has one entry per block.
 
 A gram that is frequent consists of frequent grams, so nothing is lost by naming
@@ -39,7 +39,7 @@ from chronosift.llm.common import slices
 from chronosift.session import remove, stored, work_path
 
 #: Tokens of a block, bytes of text handled at a time, and bytes of text whose grams are one range.
-BLOCK_TOKENS, CHUNK_BYTES, RANGE_BYTES = 2 << 20, 2 << 20, 32 << 20
+BLOCK_TOKENS, CHUNK_BYTES, RANGE_BYTES = 1 << 19, 2 << 20, 24 << 20
 #: Salts of the first ranking, so that a large language isn't ranked in one task alone.
 SALTS = 64
 ENDS = b".,;:!?\n\x0b\x0c\r"
