@@ -22,9 +22,12 @@ from pyspark.sql import functions as F
 
 from chronosift.llm.common import SPACES, texts_of
 from chronosift.session import stored, work_path
+from chronosift.sources.extraction import read_text, write_text
 
 #: Rows of a bucket that a new index is laid out for (some 100 bytes each), and the fewest buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 2_000_000, 8
+#: Ending of the file beside the index's folder that has its number of buckets.
+BUCKETS_FILE = ".buckets"
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -36,21 +39,35 @@ def digests(docs: DataFrame) -> DataFrame:
 class DigestIndex:
     """One row per digest: text_sha256, keep_id, batch (who added it). `name` is
     a table of the session's catalog, `path` its folder; both may exist already.
-    A new one has buckets for `rows` digests, a number fixed when it is made."""
+    A new one has buckets for `rows` digests, a number fixed when it is made and
+    kept beside the data, from where another session takes it; another number
+    than that is refused."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, name: str | None = None, rows: int = 0, buckets: int | None = None):
         self.spark = spark
-        self.path = path or work_path(spark, "digest-index")
+        self.path = (path or work_path(spark, "digest-index")).rstrip("/")
         self.name = name or f"digest_index_{uuid.uuid4().hex[:12]}"
-        self.buckets = buckets or max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
         if spark.catalog.tableExists(self.name):
             found = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}").collect()}
-            self.buckets = int(found["Num Buckets"])
+            self.path, self.buckets = found["Location"], int(found["Num Buckets"])
         else:
+            kept = read_text(spark, self.path + BUCKETS_FILE)
+            if kept is None and self._has_data():
+                raise ValueError(f"{self.path} has data but no file {BUCKETS_FILE}")
+            self.buckets = int(kept) if kept else buckets or max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
+            if kept is None:
+                write_text(spark, self.path + BUCKETS_FILE, str(self.buckets))
             spark.sql(
                 f"CREATE TABLE {self.name} (text_sha256 STRING, keep_id BIGINT, batch STRING) USING parquet "
                 f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
             )
+        if buckets not in (None, self.buckets):
+            raise ValueError(f"{self.path} has {self.buckets} buckets, not {buckets}")
+
+    def _has_data(self) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return fs.exists(p) and len(fs.listStatus(p)) > 0
 
     def rows(self) -> DataFrame:
         self.spark.catalog.refreshTable(self.name)
