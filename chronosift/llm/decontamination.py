@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronosift.llm.common import arrow_map, texts_of
+from chronosift.session import stored
 
 Q = 8
 EDIT_PERCENT = 8
 PATTERN, PATTERN_STEP = 96, 48
 #: Compact benchmark bytes of one pass.
 MAX_BENCHMARK_BYTES = 8 << 20
+#: Matches of q-grams taken at a time, and diagonals aligned at a time.
+PAIRS, REGION = 2 << 20, 1 << 20
 _DROP = bytes(b for b in range(128) if not chr(b).isalnum())
 
 
@@ -169,34 +173,53 @@ class _Part:
             if edits <= e:
                 yield self.raw[pattern], edits, start + end
 
-    def _regions(self, doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(pattern, first diagonal, diagonals) of the bands that meet the bound."""
-        g = grams(doc, self.q)
+    def _bands(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Number of a band (pattern * top + first) and the document's places
+        with a shared q-gram in it, for bands that have one. Places are taken
+        PAIRS matches at a time, and a gram that repeats in a pattern counts
+        once per band at once, so long runs of one character stay small."""
         at = np.flatnonzero(self.table[self._hash(g)])
-        if not len(at):
-            return
         low = np.searchsorted(self.grams, g[at], "left")
         n = np.searchsorted(self.grams, g[at], "right") - low
         at, low, n = at[n > 0], low[n > 0], n[n > 0]
-        if not len(at):
-            return
-        which = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        pattern, place = self.pattern_of[which], np.repeat(at, n)
-        shift = PATTERN
-        diagonal = place - self.place_of[which] + shift
-        e = self.e[pattern]
-        # an occurrence spans e + 1 diagonals; bands of twice as many begin every e + 1
-        first = diagonal // (e + 1)
-        top = int(first.max()) + 2
-        # a shared q-gram counts in the two bands that hold its diagonal; one place of the document counts once per band
-        bands = np.concatenate([pattern * top + first, pattern * top + np.maximum(first - 1, 0)])
-        places = np.concatenate([place, place])
-        pair = np.unique(bands * (len(doc) + 1) + places)
-        band, count = np.unique(pair // (len(doc) + 1), return_counts=True)
-        p = band // top
-        for b, k in zip(band[count >= self.bound[p]].tolist(), p[count >= self.bound[p]].tolist()):
+        top = (len(g) + 2 * PATTERN) // (int(self.e.min()) + 1) + 3
+        total, begin, found = np.cumsum(n), 0, []
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PAIRS, "right")))
+            own, first_of, k = at[begin:end], low[begin:end], n[begin:end]
+            begin = end
+            which = np.repeat(first_of - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            pattern, nth = self.pattern_of[which], np.repeat(np.arange(len(own)), k)
+            # an occurrence spans e + 1 diagonals; bands of twice as many begin every e + 1
+            band = pattern * top + (own[nth] - self.place_of[which] + PATTERN) // (self.e[pattern] + 1)
+            # the places of a gram in one pattern stand together, with falling diagonals
+            fresh = np.concatenate([[True], (band[1:] != band[:-1]) | (nth[1:] != nth[:-1])])
+            band, nth = band[fresh], nth[fresh]
+            # a shared q-gram counts in the two bands that hold its diagonal; one place of the document counts once per band
+            band = np.concatenate([band, np.where(band % top > 0, band - 1, band)])
+            pair = np.unique(band * len(own) + np.concatenate([nth, nth]))
+            found.append(np.unique(pair // len(own), return_counts=True))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), top
+        band, of = np.unique(np.concatenate([b for b, _ in found]), return_inverse=True)
+        count = np.zeros(len(band), np.int64)
+        np.add.at(count, of, np.concatenate([c for _, c in found]))
+        return band, count, top
+
+    def _regions(self, doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(pattern, first diagonal, diagonals) of the bands that meet the
+        bound; neighbouring ones are one region."""
+        band, count, top = self._bands(grams(doc, self.q))
+        band = band[count >= self.bound[band // top]]
+        at = 0
+        while at < len(band):
+            k = int(band[at] // top)
             w = int(self.e[k]) + 1
-            yield k, (b % top) * w - shift, 2 * w
+            end = at + 1
+            while end < len(band) and band[end] == band[end - 1] + 1 and band[end] // top == k and (end - at) * w < REGION:
+                end += 1
+            yield k, int(band[at] % top) * w - PATTERN, (end - at + 1) * w
+            at = end
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
@@ -216,25 +239,30 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, item_id (least edits, then smallest id; null if
     clean), edits, n_items (benchmark items found in the text)."""
-    passes = []
-    for items in _blocks(benchmark):
+    blocks, passes = _blocks(benchmark), []
+    first, second = next(blocks, None), next(blocks, None)
+    rows = texts_of(docs)
+    if second:  # each pass sees other items, and a row's results meet by a number of its own
+        rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "numbered-texts")
+    for items in chain([first] if first else [], [second] if second else [], blocks):
         index = Index(items)
 
-        def run(b: pa.RecordBatch, index: Index = index) -> pa.RecordBatch:
+        def run(b: pa.RecordBatch, index: Index = index, numbered: bool = second is not None) -> pa.RecordBatch:
             found = [index.matches(t) for t in b.column("text").to_pylist()]
             top = [min(((e, i) for i, e, _ in f), default=(None, None)) for f in found]
-            return pa.record_batch(
-                [b.column("doc_id").cast(pa.int64()), pa.array([i for _, i in top], pa.int64()), pa.array([e for e, _ in top], pa.int64()), pa.array(map(len, found), pa.int64())],
-                names=["doc_id", "item_id", "edits", "n_items"],
-            )
+            columns = {
+                "doc_id": b.column("doc_id").cast(pa.int64()), "item_id": pa.array([i for _, i in top], pa.int64()),
+                "edits": pa.array([e for e, _ in top], pa.int64()), "n_items": pa.array(map(len, found), pa.int64()),
+            }
+            return pa.record_batch(columns | ({"row": b.column("row")} if numbered else {}))
 
-        passes.append(arrow_map(texts_of(docs), run, "doc_id long, item_id long, edits long, n_items long"))
+        passes.append(arrow_map(rows, run, "doc_id long, item_id long, edits long, n_items long" + (", row long" if second else "")))
     if not passes:
         return docs.select(F.col("doc_id").cast("long"), F.lit(False).alias("contaminated"), F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("long").alias("edits"), F.lit(0).cast("long").alias("n_items"))
     if len(passes) == 1:
         out = passes[0]
-    else:  # each pass saw other items
+    else:
         best = F.min(F.when(F.col("item_id").isNotNull(), F.struct("edits", "item_id")))
-        out = reduce(DataFrame.unionByName, passes).groupBy("doc_id").agg(best.alias("best"), F.sum("n_items").alias("n_items"))
+        out = reduce(DataFrame.unionByName, passes).groupBy("row").agg(F.max("doc_id").alias("doc_id"), best.alias("best"), F.sum("n_items").alias("n_items"))
         out = out.select("doc_id", "best.item_id", "best.edits", "n_items")
     return out.select("doc_id", F.col("item_id").isNotNull().alias("contaminated"), "item_id", "edits", "n_items")

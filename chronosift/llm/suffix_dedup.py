@@ -22,8 +22,10 @@ smaller doc_id goes. Not all suffixes are sorted, only those that can matter:
 Texts travel compressed and in packs by a hash of doc_id, ids packed, so rows
 stay few. Cases: null and short texts lose nothing; matches never cross
 documents; repeats within one document stay; rows that share a doc_id are one
-text each, neither smaller than the other; an empty table gives an empty result;
-further columns are ignored; very long texts are taken whole.
+text each, neither smaller than the other; a missing doc_id is neither smaller
+nor larger than any other, so such rows lose nothing and take nothing; an empty
+table gives an empty result; further columns are ignored; very long texts are
+taken whole.
 """
 
 from __future__ import annotations
@@ -397,6 +399,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256,
     and with_text the remaining bytes."""
     spark = docs.sparkSession
+    lone, docs = texts_of(docs.where("doc_id IS NULL")), docs.where("doc_id IS NOT NULL")
     size = texts_of(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PACK_BYTES))
     shared = stored(shared_anchors(docs, n, n), "shared-anchors")
@@ -421,4 +424,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         return apply_spans(packed, own, with_text)
 
     schema = RESULT + (", kept binary" if with_text else "")
-    return by_pack(packed_texts(docs, n)).cogroup(by_pack(spans)).applyInArrow(finish, schema)
+    out = by_pack(packed_texts(docs, n)).cogroup(by_pack(spans)).applyInArrow(finish, schema)
+    none = F.lit(0).cast("long")
+    whole = lone.select(F.col("doc_id").cast("long"), F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.encode("text", "utf-8").alias("kept"))
+    return out.unionByName(whole.select(*out.columns))

@@ -1,10 +1,14 @@
 """Models and corpus-wide operators against brute force and held-out rows."""
 
+import hashlib
 import random
+import resource
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronosift.llm import components, decontamination, lm, near_dedup, quality, suffix_dedup
 
@@ -120,6 +124,54 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert got == {i: (i < 4, i if i < 4 else None) for i in range(6)}
 
 
+def test_decontamination_of_odd_rows_in_blocks(spark, monkeypatch):
+    """Rows that share an id, or have none, are judged alone whatever the benchmark's size."""
+    bench = spark.createDataFrame([(i, words(i, 20)) for i in range(4)], "item_id long, text string")
+    rows = [(7, words(0, 20)), (7, words(90, 20)), (7, words(3, 20) + " " + words(1, 20)), (None, words(2, 20)), (None, "clean")]
+    d = frame(spark, [(i, t, None, None, 0) for i, t in rows]).withColumn("row", F.lit(1))
+    one = sorted(map(str, decontamination.contamination(d, bench).collect()))
+    monkeypatch.setattr(decontamination, "MAX_BENCHMARK_BYTES", 10)
+    several = decontamination.contamination(d, bench)
+    assert sorted(map(str, several.collect())) == one and len(one) == 5
+    assert several.columns == ["doc_id", "contaminated", "item_id", "edits", "n_items"]
+
+
+@pytest.mark.parametrize("pairs,region", [(2 << 20, 1 << 20), (50, 1 << 20), (700, 40)])
+def test_runs_of_one_character_equal_brute_force(monkeypatch, pairs, region):
+    monkeypatch.setattr(decontamination, "PAIRS", pairs)
+    monkeypatch.setattr(decontamination, "REGION", region)
+    items = [(1, b"0" * 120), (2, b"0" * 60 + b"ab" * 40), (3, b"0" * 20), (4, decontamination.compact(words(3, 30)))]
+    index = decontamination.Index(items)
+    for text in ("0" * 400, "x" * 50 + "0" * 95 + "y" + "0" * 30, "0" * 60 + "ab" * 60 + "0" * 50, words(3, 30) + "0" * 19, "ab" * 200, "0" * 18 + "1"):
+        data, want = decontamination.compact(text), {}
+        for item, raw in items:
+            for p in decontamination.patterns_of(raw):
+                e = edits_within(p, data)
+                if e <= decontamination.budget(len(p)):
+                    want[item] = min(e, want.get(item, e))
+        assert {i: e for i, e, _ in index.matches(text)} == want, text
+
+
+def test_a_million_of_one_character():
+    index = decontamination.Index([(1, b"0" * 120)])
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    assert index.matches("0" * 1_000_000) == [(1, 0, 96)]
+    assert time.time() - began < 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
+def test_suffix_dedup_of_odd_ids(spark):
+    p = words(70, 20)
+    rows = [(3, p + " x"), (None, p + " y"), (None, p), (5, "z " + p), (5, "w " + p), (9, None), (None, None)]
+    d = frame(spark, [(i, t, None, None, 0) for i, t in rows]).withColumn("pack", F.lit(1)).withColumn("ids", F.lit("x")).withColumn("n_bytes", F.lit(2))
+    got = suffix_dedup.remove_repeats(d, with_text=True).collect()
+    want = repeats([(i, t) for i, t in rows if i not in (None, 5)])
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got if r.doc_id in (3, 9)} == want
+    assert sorted((r.n_removed, bytes(r.kept)) for r in got if r.doc_id == 5) == sorted((len(p.encode()), x) for x in (b"z ", b"w "))
+    none = sorted((r.n_removed, r.n_spans, bytes(r.kept).decode(), r.kept_sha256) for r in got if r.doc_id is None)
+    assert none == sorted((0, 0, t, hashlib.sha256(t.encode()).hexdigest()) for t in (p + " y", p, ""))
+    assert suffix_dedup.remove_repeats(d.where("doc_id IS NULL")).count() == 3
+
+
 def junk(i: int) -> str:
     return " ".join(w + "###" for w in words(i, 60).split()) if i % 2 else words(i, 60).upper().replace(" ", "!! ")
 
