@@ -1,7 +1,7 @@
 """The feature registry, compiled into few plans.
 
-Features are declared by name, group and stage; `compute` turns any selection
-into: one aggregation per window for counts and pair diversities, one melted
+Features are declared by name, group and stage; `compute` turns any selection, or
+all of them, into: one aggregation per window for counts and pair diversities, one melted
 two-level aggregation for single-field distributions, one ordered pass for
 inter-event times, joins to baselines for novelty, and ordered frames over the
 dense grid for lags and rolling statistics. Inputs are canonical events with
@@ -19,7 +19,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronosift.functions.scalar import connection_key, is_internal, normalize_cmdline, port_unk, unk, valid_ip
-from chronosift.operators.windowing import bucketed_frames
+from chronosift.operators.windowing import DISTINCT, bucketed_frames
+from chronosift.operators.windowing import dense as full
+from chronosift.session import stored
 
 KEY = "window_id"
 
@@ -64,19 +66,67 @@ class Registry:
     def non_causal_features(self) -> list[Feature]:
         return [f for f in self._features.values() if not f.causal]
 
-    def compute(self, events: DataFrame, names: list[str] | None = None, baselines: dict[str, DataFrame] | None = None, seconds: int = 5) -> DataFrame:
-        """One row per window that has events, with the features asked for."""
-        picked = [self.get(n) for n in (names or self.names())]
-        by = {s: [f for f in picked if f.stage == s] for s in ("flat", "melt", "iet", "novel")}
-        out = events.groupBy(KEY).agg(F.count("*").cast("double").alias("__n"), *[F.coalesce(f.build(), F.lit(0.0)).alias(f.name) for f in by["flat"]])
-        if by["melt"]:
-            out = out.join(_melted(events, by["melt"]), KEY)
-        if by["iet"]:
+    def stages(self, names: list[str] | None = None) -> dict[str, list[Feature]]:
+        """The features asked for by the stage that makes them, in stage order; a
+        name that is not registered, or has a stage that nothing makes, is an error."""
+        unknown = [n for n in names or [] if n not in self._features]
+        picked = list(self._features.values()) if names is None else [self._features[n] for n in names if n in self._features]
+        lost = [f.name for f in picked if f.stage not in STAGES]
+        if unknown or lost:
+            raise ValueError("; ".join([f"not registered: {', '.join(unknown)}"] * bool(unknown) + [f"no stage makes: {', '.join(lost)}"] * bool(lost)))
+        return {s: own for s in STAGES if (own := [f for f in picked if f.stage == s])}
+
+    def compute(self, events: DataFrame, names: list[str] | None = None, baselines: dict[str, DataFrame] | None = None, seconds: int = 5, dense: bool = False) -> DataFrame:
+        """One row per window that has events, or with `dense` per window between
+        the first and the last, with the features asked for (all without names).
+
+        The stages form a graph: one aggregation per window gives the flat
+        features and what lags and frames are made of; distributions, maps,
+        inter-event times and novelty are aggregations beside it, joined by
+        window; lags and rolling frames run over the dense grid of the first
+        one's result, which is stored where both sides of the graph need it;
+        calendar features are functions of the window's number."""
+        by = self.stages(names)
+        need = {s for s in by for s in (s, *STAGES[s])}
+        per_window = [F.coalesce(f.build(), F.lit(0.0)).alias(f.name) for f in by.get("flat", [])]
+        own = events.groupBy(KEY).agg(F.lit(1).alias("__some"), *per_window, *(_grid_columns() if "dense" in need else []))
+        if "dense" in need:
+            own = stored(own, "windows")
+        out = own.select(KEY, *[f.name for f in by.get("flat", [])])
+        for stage, make in (("melt", _melted), ("map", _maps)):
+            if stage in by:
+                out = out.join(make(events, by[stage]), KEY)
+        if "iet" in by:
             out = out.join(_inter_event(events), KEY)
-        if by["novel"]:
+        if "novel" in by:
             out = out.join(_novelty(events, by["novel"], baselines or {}), KEY)
-        have = [f.name for f in picked if f.stage in by]
-        return out.select(KEY, *have)
+        if "dense" in need or dense:
+            columns = _GRID if "dense" in need else []
+            grid = full(own.select(KEY, *[F.col(f"__g_{c}").alias(c) for c in columns]), [c for c in columns if c not in _TIMES])
+            grid = lag_features(grid) if "grid" in by else grid
+            grid = rolling_features(grid) if "rolling" in by else grid
+            kept = [f.name for s in ("grid", "rolling") for f in by.get(s, [])]
+            out = grid.select(KEY, *kept).join(out, KEY, "left" if dense else "inner")
+            zero = {"double": F.lit(0.0), "map<string,bigint>": F.map_from_entries(F.array().cast("array<struct<k:string,v:bigint>>"))}
+            out = out.select(*[F.coalesce(c, zero[t]).alias(c) if t in zero else c for c, t in out.dtypes])
+        if "calendar" in by:
+            at = F.timestamp_seconds(F.col(KEY) * seconds)
+            out = out.withColumns({"hour_of_day": _double(F.hour(at)), "is_weekend": _double(F.dayofweek(at).isin(1, 7).cast("int"))})
+        return out.select(KEY, *(names or [f.name for f in self._features.values()]))
+
+
+#: Stages, and what else each needs of a window.
+STAGES: dict[str, tuple[str, ...]] = {"flat": (), "melt": (), "map": (), "iet": (), "novel": (), "grid": ("dense",), "rolling": ("dense",), "calendar": ()}
+_ACTIVE = {"active_users": "user_name", "active_ips": "source_ip", "active_hosts": "host_name", "active_processes": "process_name"}
+_TIMES = ("first_us", "last_us")
+_GRID = ["event_count", *DISTINCT, *_ACTIVE, *_TIMES]
+
+
+def _grid_columns() -> list[Column]:
+    """What lags and frames are made of, per window."""
+    made = {"event_count": F.count("*"), "first_us": F.min(F.unix_micros("ts")), "last_us": F.max(F.unix_micros("ts"))}
+    made |= {n: F.size(F.collect_set(c)).cast("long") for n, c in DISTINCT.items()} | {n: F.size(F.collect_set(unk(c))).cast("long") for n, c in _ACTIVE.items()}
+    return [x.alias(f"__g_{n}") for n, x in made.items()]
 
 
 REGISTRY = Registry()
@@ -172,6 +222,18 @@ def category_counts(events: DataFrame, column: str) -> DataFrame:
     return events.groupBy(KEY, unk(column).alias("value")).agg(F.count("*").alias("n"))
 
 
+MAPS = {"category_count": "event_category", "action_count": "event_action", "outcome_count": "event_outcome"}
+
+
+def _maps(events: DataFrame, picked: list[Feature]) -> DataFrame:
+    """Value -> number of events for each map feature, by one melted aggregation."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(f.name).alias("field"), unk(MAPS[f.name]).alias("value")) for f in picked]))
+    counts = events.select(KEY, pairs.alias("p")).groupBy(KEY, "p.field", "p.value").agg(F.count("*").alias("n"))
+    entries = counts.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("field", "value", "n"))).alias("e"))
+    own = lambda f: F.transform(F.filter("e", lambda x: x["field"] == f.name), lambda x: F.struct(x["value"], x["n"]))
+    return entries.select(KEY, *[F.map_from_entries(own(f)).alias(f.name) for f in picked])
+
+
 def category_map(events: DataFrame, column: str) -> DataFrame:
     """The same as a map per window."""
     c = category_counts(events, column)
@@ -223,7 +285,7 @@ for _n in ("previous_window_event_count", "event_rate_change", *LAGS, "time_sinc
     REGISTRY.register(Feature(_n, "temporal", "grid"))
 for _n in ("hour_of_day", "is_weekend"):
     REGISTRY.register(Feature(_n, "builtin", "calendar"))
-for _n in ("category_count", "action_count", "outcome_count"):
+for _n in MAPS:
     REGISTRY.register(Feature(_n, "volume", "map"))
 ROLLING = {"30s": 6, "1m": 12, "5m": 60, "15m": 180}
 METRICS = ("event_count", "distinct_users", "distinct_ips", "distinct_hosts", "distinct_processes")

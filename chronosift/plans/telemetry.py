@@ -353,12 +353,15 @@ _LAGGED = (
 _CHANGES = {n: (b.replace("distinct_", "active_"), b) for n, b in X.LAGS.items()}
 
 
-@query(
-    EV + f", {_DATASET}, {_GRID}, {_DENSE}" + _LAGGED + """ SELECT window_id, CAST(coalesce(lag(event_count) OVER o, 0) AS DOUBLE) AS previous_window_event_count,
+_LAG_SQL = (
+    f", {_DATASET}, {_GRID}, {_DENSE}" + _LAGGED + """ SELECT window_id, CAST(coalesce(lag(event_count) OVER o, 0) AS DOUBLE) AS previous_window_event_count,
     CAST(coalesce(event_count - lag(event_count) OVER o, 0) AS DOUBLE) AS event_rate_change,
     round(CASE WHEN f IS NULL OR lag(l) OVER o IS NULL THEN 5.0 ELSE greatest(0, (f - lag(l) OVER o) / 1e6) END, 6) AS time_since_previous_activity, """
     + ", ".join(f"CAST(coalesce({a} - lag({b}) OVER o, 0) AS DOUBLE) AS {n}" for n, (a, b) in _CHANGES.items()) + " FROM x WINDOW o AS (ORDER BY window_id)"
 )
+
+
+@query(EV + _LAG_SQL)
 def temporal_lag_features(spark, sf_dir):
     e = canonical_events(spark, sf_dir).withColumn("window_id", WN.window_id("ts"))
     g = e.groupBy("window_id").agg(
@@ -369,6 +372,7 @@ def temporal_lag_features(spark, sf_dir):
     return r6(d.select("window_id", "previous_window_event_count", "event_rate_change", "time_since_previous_activity", *X.LAGS))
 
 
+_ROLL_SQL: dict[str, str] = {}
 for _h, _size in X.ROLLING.items():
 
     def _rolling(spark, sf_dir, h=_h, n=_size):
@@ -376,11 +380,12 @@ for _h, _size in X.ROLLING.items():
         return d.select("window_id", *[F.round(f"rolling_{m}_{s}_{h}", 5).alias(f"rolling_{m}_{s}_{h}") for m in X.METRICS for s in ("mean", "sum", "std")])
 
     QUERIES[f"rolling_{_h}"] = _rolling
-    SQL[f"rolling_{_h}"] = (
-        EV + f", {_DATASET}, {_GRID}, {_DENSE} SELECT window_id, "
+    _ROLL_SQL[_h] = (
+        f", {_DATASET}, {_GRID}, {_DENSE} SELECT window_id, "
         + ", ".join(f"round(CAST({fn}({m}) OVER o AS DOUBLE), 5) AS rolling_{m}_{s}_{_h}" for m in X.METRICS for s, fn in (("mean", "avg"), ("sum", "sum"), ("std", "stddev_pop")))
         + f" FROM d WINDOW o AS (ORDER BY window_id ROWS BETWEEN {_size - 1} PRECEDING AND CURRENT ROW)"
     )
+    SQL[f"rolling_{_h}"] = EV + _ROLL_SQL[_h]
 
 # ---- baselines ----
 _NOVEL = {f.name: f.spec for f in X.REGISTRY.all_features() if f.stage == "novel"}
@@ -391,13 +396,13 @@ def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return WN.temporal_split(hourly(spark, sf_dir), "ts", SPLIT)
 
 
-def _novel_sql() -> str:
+def _novel_sql(where: str = f" WHERE {_EVAL}") -> str:
     cols = []
     for n, f in _NOVEL.items():
         keys = ", ".join(f)
         known = f"({keys}) IN (SELECT ({keys}) FROM ev WHERE {_BASE} AND {' AND '.join(f'{c} IS NOT NULL' for c in f)})"
         cols.append(f"round(avg(CASE WHEN {' OR '.join(f'{c} IS NULL' for c in f)} THEN 1.0 WHEN {known} THEN 0.0 ELSE 1.0 END), 6) AS {n}")
-    return EH + f"SELECT w AS window_id, {', '.join(cols)} FROM ev WHERE {_EVAL} GROUP BY w"
+    return EH + f"SELECT w AS window_id, {', '.join(cols)} FROM ev{where} GROUP BY w"
 
 
 @query(_novel_sql())
@@ -406,6 +411,27 @@ def novelty_ratios(spark, sf_dir):
     return r6(X.REGISTRY.compute(new, list(_NOVEL), {n: B.distinct_values(base, *f) for n, f in _NOVEL.items()}))
 
 
+def _all_sql() -> str:
+    """Every feature on hourly windows, from the SQL of its group."""
+    parts = [SQL[f"{g}_features"] for g in ("volume", "users", "hosts", "ips", "processes", "network", "entropy", "hhi")]
+    parts += [EH + "SELECT w AS window_id, " + FLAT_SQL["distinct_users"] + " FROM ev GROUP BY w", SQL["inter_event_features"], _novel_sql(""), EH + _LAG_SQL, *[EH + x for x in _ROLL_SQL.values()]]
+    for name, column in X.MAPS.items():
+        parts.append(EH + f"SELECT w AS window_id, string_agg(v || '=' || n, ',' ORDER BY v) AS {name} FROM (SELECT w, {_u(column)} AS v, count(*) AS n FROM ev GROUP BY ALL) GROUP BY w")
+    joined = f"({parts[0]}) AS p0 " + " ".join(f"JOIN ({x}) AS p{i} USING (window_id)" for i, x in enumerate(parts[1:], 1))
+    day = "make_timestamp(window_id * 3600000000)"
+    return f"SELECT *, CAST(extract('hour' FROM {day}) AS DOUBLE) AS hour_of_day, CASE WHEN extract('dow' FROM {day}) IN (0, 6) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_weekend FROM {joined}"
+
+
+@query(_all_sql())
+def all_features(spark, sf_dir):
+    """The whole registry in one plan; maps as text."""
+    places = {"inter_event_mean": 4, "inter_event_variance": 2, "burstiness": 3} | {f.name: 5 for f in X.REGISTRY.by_group("rolling")}
+    base = _parts(spark, sf_dir)[0]
+    d = X.REGISTRY.compute(hourly(spark, sf_dir), None, {n: B.distinct_values(base, *f) for n, f in _NOVEL.items()}, HOUR)
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return d.select(*[text(c).alias(c) if c in X.MAPS else (F.round(c, places.get(c, 6)) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in d.dtypes])
+
+
 for _name, _keys in (("freq_user", ("user_name",)), ("freq_user_ip", ("user_name", "source_ip")), ("freq_host_process", ("host_name", "process_name")), ("freq_user_host", ("user_name", "host_name"))):
 
     def _freq(spark, sf_dir, keys=_keys):
