@@ -15,9 +15,10 @@ from chronosift.operators import base, investigation, profile, reports, windowin
 from chronosift.operators import detectors as D
 from chronosift.session import get_session
 from chronosift.sources import canonical, extraction, stores
+from chronosift.sources.versions import VersionedTable
 
 FEATURES = ["event_count", "distinct_users", "distinct_ips", "distinct_hosts", "distinct_processes"]
-MODELS = ("statistical", "pca", "isolation_forest")
+MODELS = ("statistical", "rarity", "pca", "isolation_forest", "autoencoder", "sequence")
 
 
 class Run:
@@ -26,15 +27,17 @@ class Run:
     def __init__(self, spark: SparkSession, s: conf.Settings, index: str):
         self.spark, self.s, self.index = spark, s, index
         self.root = f"{s.store_root.rstrip('/')}/{index}"
-        self.source = stores.JsonlSource(spark, s.source_root)
+        self.source = extraction.ReadOnly(stores.JsonlSource(spark, s.source_root), stores.OPERATIONS)
 
     def _put(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        extraction.replace_table(df, path)
-        return self.spark.read.parquet(path)
+        """A new version of a stage's table; a stop in between leaves the one before."""
+        t = VersionedTable(self.spark, f"{self.root}/{name}")
+        t.write(df, index=self.index)
+        t.vacuum()
+        return t.read()
 
     def _get(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        return VersionedTable(self.spark, f"{self.root}/{name}").read()
 
     def test_connection(self) -> dict:
         return {"connected": extraction.validate_connection(self.source, attempts=1)}

@@ -110,3 +110,11 @@ def lateness(events: DataFrame, arrival: list[Column], shard: Column, seconds: i
     end = (window_id("ts", seconds) + 1) * (seconds * 1_000_000)
     status = F.when(F.col("watermark_us") > end + allowed * 1_000_000, "LATE").otherwise("ON_TIME")
     return out.withColumn("status", status).drop("__t", "__p", "__m", "__before")
+
+
+def write_ordered(df: DataFrame, path: str, key: str = "window_id", files: int | None = None) -> None:
+    """Parquet in ascending order of `key`: files hold ranges of it and are sorted
+    within, so a reader of a range of windows passes over the other files by
+    their statistics. Without `files`, Spark settles their number by size."""
+    dealt = df.repartitionByRange(files, key) if files else df.repartitionByRange(key)
+    dealt.sortWithinPartitions(key).write.parquet(path)

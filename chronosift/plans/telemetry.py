@@ -14,11 +14,13 @@ from chronosift.operators import baselines as B
 from chronosift.operators import detectors as D
 from chronosift.operators import features as X
 from chronosift.operators import investigation as G
+from chronosift.operators import novelty as N
 from chronosift.operators import profile as P
 from chronosift.operators import sequence as Q
 from chronosift.operators import windowing as WN
+from chronosift.operators.frequencies import FrequencyTables, duplicates
 from chronosift.plans.adapter import SPLIT, SPLIT_S, canonical_events, ev_sql
-from chronosift.session import stored, table
+from chronosift.session import stored, table, work_path
 from chronosift.sources import canonical as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -441,6 +443,38 @@ for _name, _keys in (("freq_user", ("user_name",)), ("freq_user_ip", ("user_name
     SQL[_name] = EV + f"SELECT {', '.join(_keys)}, count(*) AS n FROM ev WHERE {' AND '.join(f'{k} IS NOT NULL' for k in _keys)} GROUP BY ALL"
 
 
+@query(EV + "SELECT process_name, '/usr/bin/run' || k % 3 || ' -n ' || k % 40 AS process_command_line, count(*) AS n FROM ev GROUP BY ALL")
+def freq_incremental(spark, sf_dir):
+    """Process and command line over batches by day of the week, some given twice, summed again after a compaction between them."""
+    e = canonical_events(spark, sf_dir).withColumn("process_command_line", F.expr("concat('/usr/bin/run', k % 3, ' -n ', k % 40)"))
+    t = FrequencyTables(spark, work_path(spark, "frequencies"), {"process_command": ("process_name", "process_command_line")})
+    for day in (1, 2, 2, 3, 4, 1, 5, 6, 7, 7):
+        t.append(e.where(F.dayofweek("ts") == day), f"day-{day}")
+        if day == 4:
+            t.compact("process_command")
+    return t.totals("process_command")
+
+
+@query(EV + """, c AS (SELECT id, t // 1000000 AS s, event_id, 0 AS again FROM ev UNION ALL SELECT id, t // 1000000, event_id, 1 FROM ev WHERE event_id % 6 = 0 UNION ALL SELECT id, t // 1000000 + 1, event_id, 2 FROM ev WHERE event_id % 9 = 0
+    UNION ALL SELECT NULL, t // 1000000, event_id, 3 FROM ev WHERE event_id % 4 = 0)
+    SELECT event_id, again, id IS NOT NULL AND row_number() OVER (PARTITION BY id, s ORDER BY again) > 1 AS duplicate FROM c""")
+def duplicate_flags(spark, sf_dir):
+    """All rows stay; those whose id and raw time came before are flagged."""
+    e = canonical_events(spark, sf_dir).select("_id", F.floor(F.unix_micros("ts") / 1_000_000).alias("raw_timestamp"), "event_id")
+    part = lambda d, n: d.withColumn("again", F.lit(n))
+    rows = part(e, 0).unionByName(part(e.where("event_id % 6 = 0"), 1)).unionByName(part(e.where("event_id % 9 = 0").withColumn("raw_timestamp", F.col("raw_timestamp") + 1), 2))
+    rows = rows.unionByName(part(e.where("event_id % 4 = 0").withColumn("_id", F.lit(None).cast("string")), 3))
+    return duplicates(rows, ["_id", "raw_timestamp"], ["again"]).select("event_id", "again", "duplicate")
+
+
+@query(EV + f", {_DATASET} SELECT *, {_CALENDAR} FROM g")
+def ordered_windows(spark, sf_dir):
+    """The window dataset written in order and read again."""
+    path = work_path(spark, "ordered")
+    WN.write_ordered(WN.window_dataset(canonical_events(spark, sf_dir)), path, files=8)
+    return spark.read.parquet(path)
+
+
 @query(EV + "SELECT h AS hour_of_day, coalesce(n, 0) AS n FROM (SELECT unnest(range(24)) AS h) LEFT JOIN (SELECT CAST(extract('hour' FROM ts) AS BIGINT) AS h, count(*) AS n FROM ev GROUP BY 1) USING (h)")
 def hour_histogram(spark, sf_dir):
     return B.hour_histogram(canonical_events(spark, sf_dir))
@@ -729,6 +763,33 @@ def novelty_inventory(spark, sf_dir):
     return f.select("user_name", "host_name", F.unix_micros("first_seen").alias("first_us"))
 
 
+#: Six hours are the baseline of the inventory, so that users, hosts, pairs and hours are left to be new.
+_EARLY, _EARLY_US = "2024-01-01 06:00:00", 1704088800000000
+_INVENTORY = (
+    EV + f""", x AS (SELECT *, 'h' || (user_id_ * 31 + k) % 400 AS node, CAST(extract('hour' FROM ts) AS INT) AS hour FROM (SELECT *, CAST(coalesce(nullif(regexp_extract(user_name, '[0-9]+'), ''), '7') AS INT) AS user_id_ FROM ev)),
+    b AS (SELECT * FROM x WHERE t < {_EARLY_US}), n AS (SELECT * FROM x WHERE t >= {_EARLY_US}), top AS (SELECT max(value) AS v, max(k) AS k FROM b),
+    r AS (SELECT *, greatest((SELECT v FROM top), max(value) OVER o) AS pv, greatest((SELECT k FROM top), max(k) OVER o) AS pk FROM n WINDOW o AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT kind, entity, f.t AS first_us, f.id AS first_id, NULL::DOUBLE AS value, NULL::DOUBLE AS previous_max FROM (
+      SELECT 'new_user' AS kind, user_name AS entity, min({{t: t, id: id}}) AS f FROM n WHERE user_name IS NOT NULL AND user_name NOT IN (SELECT user_name FROM b WHERE user_name IS NOT NULL) GROUP BY ALL
+      UNION ALL SELECT 'new_host', node, min({{t: t, id: id}}) FROM n WHERE node NOT IN (SELECT node FROM b) GROUP BY ALL
+      UNION ALL SELECT 'new_relationship', user_name || ' -> ' || node, min({{t: t, id: id}}) FROM n WHERE user_name IS NOT NULL AND (user_name, node) NOT IN (SELECT (user_name, node) FROM b WHERE user_name IS NOT NULL) GROUP BY ALL
+      UNION ALL SELECT 'new_hour', CAST(hour AS VARCHAR), min({{t: t, id: id}}) FROM n WHERE hour NOT IN (SELECT hour FROM b) GROUP BY ALL
+      UNION ALL SELECT 'new_user_hour', user_name || ' @ ' || hour, min({{t: t, id: id}}) FROM n WHERE user_name IN (SELECT user_name FROM b) AND (user_name, hour) NOT IN (SELECT (user_name, hour) FROM b WHERE user_name IS NOT NULL) GROUP BY ALL)
+    UNION ALL SELECT 'record_value', CAST(event_id AS VARCHAR), t, id, round(value, 6), round(pv, 6) FROM r WHERE value > pv
+    UNION ALL SELECT 'record_k', CAST(event_id AS VARCHAR), t, id, k, pk FROM r WHERE k > pk"""
+)
+
+
+@query(_INVENTORY)
+def novelty_report(spark, sf_dir):
+    """Users, hosts, pairs, hours, hours of users, and records that the first hours don't have."""
+    number = F.coalesce(F.nullif(F.regexp_extract("user_name", "[0-9]+", 0), F.lit("")), F.lit("7")).cast("int")
+    e = canonical_events(spark, sf_dir).withColumn("node", F.concat(F.lit("h"), (number * 31 + F.col("k")) % 400))
+    base, new = WN.temporal_split(e, "ts", _EARLY)
+    found = N.inventory(base, new, "user_name", "node", {"value": "value", "k": "k"}, "event_id")
+    return r6(found.select("kind", "entity", F.unix_micros("first_seen").alias("first_us"), "first_id", "value", "previous_max"))
+
+
 @query(EV + f""", b AS (SELECT max(value) * 0.6 AS m FROM ev WHERE t < {SPLIT_S}000000), n AS (SELECT event_id, value, greatest(m, coalesce(max(value) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), m)) AS p FROM ev, b WHERE {_EVAL})
     SELECT event_id, round(value, 6) AS value, round(p, 6) AS previous_max FROM n WHERE value > p""")
 def record_breakers(spark, sf_dir):

@@ -6,6 +6,7 @@ from __future__ import annotations
 import json
 import random
 import time
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -13,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What a source may be asked for; anything else, writing above all, is refused.
+#: What a source may be asked for; what would change it is refused by name, and so is anything else.
 ALLOWED = frozenset({"ping", "list", "mapping", "search", "count", "read"})
+DENIED = frozenset({"index", "create", "update", "delete", "bulk", "reindex", "delete_by_query", "update_by_query", "put_mapping", "put_settings", "delete_index", "create_index"})
 
 
 class ReadOnlyViolation(PermissionError):
@@ -22,10 +24,31 @@ class ReadOnlyViolation(PermissionError):
 
 
 def allow(operation: str) -> None:
+    if operation in DENIED:
+        raise ReadOnlyViolation(f"{operation} would change the source")
     if operation not in ALLOWED:
         raise ReadOnlyViolation(operation)
 
 
+class ReadOnly:
+    """A source behind the lists: every call names its operation, by `operations`
+    (method -> operation) or by its own name, and is checked before it is made."""
+
+    def __init__(self, source, operations: dict[str, str] | None = None):
+        self._source, self._operations = source, operations or {}
+
+    def __getattr__(self, name: str):
+        target = getattr(self._source, name)
+        if not callable(target) or name.startswith("_"):
+            return target
+
+        def checked(*args, **kwargs):
+            allow(self._operations.get(name, name))
+            return target(*args, **kwargs)
+
+        return checked
+
+
 def retried(attempts: int = 5, base_s: float = 1.0, most_s: float = 30.0, on: tuple = (ConnectionError, TimeoutError), sleep: Callable = time.sleep):
     """Try again after base, 2 * base, 4 * base ... seconds (with some jitter) where one of `on` is raised."""
 
@@ -98,16 +121,24 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def rename_over(spark: SparkSession, source: str, target: str) -> None:
+    """Put one path in place of another in one step of the file system."""
+    fs_package, gateway = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    kind = getattr(fs_package, "Options$Rename")
+    over = gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    a, b = fs_package.Path(source), fs_package.Path(target)
+    fs_package.FileContext.getFileContext(b.toUri(), spark._jsc.hadoopConfiguration()).rename(a, b, over)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, whole or not at all: written beside its place, then renamed."""
-    fs, p = _fs(spark, path)
-    _, beside = _fs(spark, path + ".tmp")
+    """A small file, whole or not at all: written beside its place, then put
+    there in one step, so readers find the old text or the new one."""
+    fs, beside = _fs(spark, f"{path}.{uuid.uuid4().hex[:8]}.tmp")
     out = fs.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(p, False)
-    if not fs.rename(beside, p):
-        raise OSError(f"could not rename to {path}")
+    rename_over(spark, beside.toString(), path)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -117,16 +148,6 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     return spark.read.text(path, wholetext=True).first().value
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Parquet in place of what is there: written beside it, then renamed, so `df` may read `path` itself."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(path + ".tmp")
-    fs, p = _fs(spark, path)
-    fs.delete(p, True)
-    if not fs.rename(_fs(spark, path + ".tmp")[1], p):
-        raise OSError(f"could not rename to {path}")
-
-
 def scan(spark: SparkSession, pattern: str) -> DataFrame:
     """All Parquet tables that a glob names, as one."""
     allow("read")

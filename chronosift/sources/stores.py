@@ -11,7 +11,11 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronosift.operators.profile import dedup_exact
+
 DATASETS = ("july", "august")
+#: What the methods of a source ask of it.
+OPERATIONS = {"discover_sources": "list", "discover_fields": "mapping", "read": "read", "stream_events": "search"}
 
 
 class JsonlSource:
@@ -85,11 +89,12 @@ class EventStore:
         out.close()
 
     def load(self, part: str) -> DataFrame:
-        """Rows of a finalised part, one per id."""
+        """Rows of a finalised part, one per id: the earliest, then the least in its other columns."""
         fs, p = self._marker(part)
         if not fs.exists(p):
             raise FileNotFoundError(f"part {part} is not finalised")
-        return self.spark.read.parquet(f"{self.base}/raw/part={part}").drop("run").dropDuplicates(["_id"])
+        rows = self.spark.read.parquet(f"{self.base}/raw/part={part}").drop("run")
+        return dedup_exact(rows, "_id", [F.col("@timestamp")]).select(*rows.columns)
 
 
 class ManifestLog:

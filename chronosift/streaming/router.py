@@ -1,4 +1,4 @@
-"""Structured Streaming operators: exact late routing and rolling context."""
+"""Structured Streaming operators: exact late routing and counts per window."""
 
 from __future__ import annotations
 
@@ -32,25 +32,3 @@ def route_late(events: DataFrame, key: str = "stream", seconds: int = WINDOW_S,
 def windowed_counts(events: DataFrame, ts: str = "ts", seconds: int = WINDOW_S, allowed: int = LATENESS_S) -> DataFrame:
     """Counts per tumbling window under Spark's own watermark."""
     return events.withWatermark(ts, f"{allowed} seconds").groupBy(F.window(ts, f"{seconds} seconds").alias("w")).agg(F.count("*").alias("event_count")).select(F.col("w.start").alias("window_start"), "event_count")
-
-
-def rolling_context(windows: DataFrame, metric: str = "event_count", sizes: tuple[int, ...] = (6, 12, 60, 180)) -> DataFrame:
-    """windows: stream, window_id and a metric, in order. The last values are the
-    state, as many as the longest frame."""
-    longest = max(sizes)
-    schema = "stream string, window_id long, " + ", ".join(f"mean_{n} double, sum_{n} double, std_{n} double" for n in sizes)
-
-    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(parts)).sort_values("window_id")
-        out = []
-        for w, v in zip(rows["window_id"], rows[metric].astype(float)):
-            held = [*held, float(v)][-longest:]
-            stats = [x for n in sizes for x in (np.mean(held[-n:]), np.sum(held[-n:]), np.std(held[-n:]))]
-            out.append((k[0], w, *stats))
-        state.update((held,))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return windows.groupBy("stream").applyInPandasWithState(run, schema, "held array<double>", "append", GroupStateTimeout.NoTimeout)

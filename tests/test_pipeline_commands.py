@@ -61,10 +61,9 @@ def test_metadata_and_replace(spark, tmp_path):
     assert (m["doc_count"], m["field_count"], m["date_fields"], m["min_timestamp"].day, m["max_timestamp"].day) == (2, 3, ["@timestamp"], 1, 3)
     assert extraction.count_events(d) == 2 and extraction.count_events(d, "n > 1") == 1
     assert extraction.numeric_and_text(d) == (["n"], ["@timestamp"])
-    path = f"file://{tmp_path}/t"
-    extraction.replace_table(d.select("n"), path)
-    extraction.replace_table(spark.read.parquet(path).where("n = 2"), path)
-    assert [r.n for r in extraction.scan(spark, f"file://{tmp_path}/t*").collect()] == [2]
+    d.select("n").write.parquet(f"file://{tmp_path}/t1")
+    d.selectExpr("n + 5 AS n", "'x' AS more").write.parquet(f"file://{tmp_path}/t2")
+    assert sorted((r.n, r.more) for r in extraction.scan(spark, f"file://{tmp_path}/t*").collect()) == [(1, None), (2, None), (6, "x"), (7, "x")]
 
 
 def windows(spark, n=400):
