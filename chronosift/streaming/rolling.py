@@ -35,7 +35,7 @@ class _Rolling(StatefulProcessor):
         self.held = handle.getListState("held", ", ".join(f"m{i} long" for i in range(len(self.metrics))))
         self.last = handle.getValueState("last", "window_id long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         new = pd.concat(list(rows)).sort_values("window_id")
         if self.last.exists():  # a window that came before is not taken again
             new = new[new["window_id"] > self.last.get()[0]]
@@ -74,29 +74,31 @@ def rolling_context(windows: DataFrame, metrics: tuple[str, ...] = METRICS, hori
 
 
 class _Seen(StatefulProcessor):
-    """Whether a key occurred; forgotten when the watermark has passed it."""
+    """Whether a key occurred; forgotten when the watermark is `keep_ms` beyond its first events."""
 
-    def __init__(self, columns: list[str], keep_ms: int):
-        self.columns, self.keep_ms = columns, keep_ms
+    def __init__(self, columns: list[str], keys: tuple[str, ...], ts: str, keep_ms: int):
+        self.columns, self.keys, self.ts, self.keep_ms = columns, keys, ts, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.seen = handle.getValueState("seen", "seen boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        known = self.seen.exists()
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = known = self.seen.exists()
+        newest = timerValues.getCurrentWatermarkInMs()
         for part in rows:
             if not len(part):
                 continue
             flag = np.ones(len(part), bool)
             flag[0] = known
             known = True
-            yield part[self.columns].assign(duplicate=flag)
-        if not self.seen.exists():
-            self.handle.registerTimer(timer_values.getCurrentWatermarkInMs() + self.keep_ms)
-        self.seen.update((True,))
+            newest = max(newest, int(part[self.ts].max().timestamp() * 1000))
+            yield part.assign(**dict(zip(self.keys, key)))[self.columns].assign(duplicate=flag)
+        if known and not before:
+            self.seen.update((True,))
+            self.handle.registerTimer(newest + self.keep_ms)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.seen.clear()
         yield from ()
 
@@ -110,4 +112,4 @@ def flag_duplicates(events: DataFrame, keys: tuple[str, str] = ("_id", "raw_time
     use_rocksdb(events)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields) + ", duplicate boolean"
     marked = events.withWatermark(ts, f"{allowed} seconds")
-    return marked.groupBy(*keys).transformWithStateInPandas(_Seen(events.columns, remember * 1000), schema, "append", "eventTime")
+    return marked.groupBy(*keys).transformWithStateInPandas(_Seen(events.columns, keys, ts, remember * 1000), schema, "append", "eventTime")
