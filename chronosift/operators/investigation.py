@@ -207,12 +207,45 @@ def record_breakers(base: DataFrame, new: DataFrame, column: str, order: str, sh
     return d.where(F.col(column) > F.col("previous_max")).drop("__p", "__in", "__b", "__top")
 
 
-def alert_contingency(model: DataFrame, alerts: DataFrame, key: str) -> DataFrame:
-    """Counts of windows flagged by the model, by alerts, by both."""
+def _sides(model: DataFrame, alerts: DataFrame, key: str) -> DataFrame:
     m = model.select(key).distinct().withColumn("m", F.lit(True))
     a = alerts.select(key).distinct().withColumn("a", F.lit(True))
     side = F.when(F.col("m").isNotNull() & F.col("a").isNotNull(), "both").when(F.col("m").isNotNull(), "model_only").otherwise("alert_only")
-    return m.join(a, key, "full").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
+    return m.join(a, key, "full").select(key, side.alias("side"))
+
+
+def alert_contingency(model: DataFrame, alerts: DataFrame, key: str, population: DataFrame | None = None) -> DataFrame:
+    """Counts of keys flagged by the model, by alerts, by both, and of those of
+    `population` (where given) flagged by neither."""
+    sides = _sides(model, alerts, key)
+    if population is not None:
+        rest = population.select(key).distinct().join(sides.select(key), key, "left_anti").withColumn("side", F.lit("neither"))
+        sides = sides.unionByName(rest)
+    return sides.groupBy("side").agg(F.count("*").alias("n"))
+
+
+#: Labels by which an analyst confirms a candidate.
+CONFIRMED = ("security_relevant", "suspicious", "true_positive")
+
+
+def label_breakdown(model: DataFrame, alerts: DataFrame, key: str, labels: DataFrame) -> DataFrame:
+    """side, label (`pending` without one), n, confirmed: keys of each side by
+    their newest label. labels: key, label, at; of labels at one time the largest counts."""
+    newest = labels.groupBy(key).agg(F.max(F.struct("at", "label")).alias("l")).select(key, F.col("l.label").alias("label"))
+    out = _sides(model, alerts, key).join(newest, key, "left").groupBy("side", F.coalesce("label", F.lit("pending")).alias("label")).agg(F.count("*").alias("n"))
+    return out.withColumn("confirmed", F.col("label").isin(*CONFIRMED))
+
+
+def candidates(ep: DataFrame, alerts: DataFrame, drift: DataFrame, tolerance_s: int = 300) -> DataFrame:
+    """Episodes that no alert explains, with what an analyst needs: episode_id,
+    peak_evidence, temporal_context (labels over all episodes), drift_context
+    (`feature: status` of the features that drifted; drift: feature, status, one
+    row per feature) and the statement of clearance."""
+    moved = F.when(~F.col("status").contains("No Drift"), F.concat("feature", F.lit(": "), "status"))
+    lines = drift.agg(F.array_sort(F.collect_list(moved)).alias("drift_context"))  # one row, an entry per feature
+    found = model_only(ep, alerts, tolerance_s).select("episode_id", "peak_evidence")
+    out = found.join(temporal_labels(ep).withColumnRenamed("labels", "temporal_context"), "episode_id").crossJoin(F.broadcast(lines))
+    return out.withColumn("clearance", F.lit(f"no alert on one of its entities within {tolerance_s} seconds"))
 
 
 def daily_flag_rate(scored: DataFrame, flag: Column) -> DataFrame:

@@ -40,10 +40,21 @@ def explanation(feature: Column, score: Column, kind: str = "Robust Z-Score") ->
     return F.concat(F.lit("Driven by "), feature, F.lit(f" ({kind}: "), F.format_string("%.2f", score), F.lit(")"))
 
 
-def report_rows(top: DataFrame, evidence: dict[str, str], baseline: dict[str, float], agree: float = 0.90, window_s: int = 5) -> DataFrame:
+def novel_relations(events: DataFrame, base: DataFrame, keys: tuple[str, str]) -> DataFrame:
+    """window_id, novel_relations: the window's pairs that the baseline lacks, as
+    sorted `a -> b`. Pairs with a null don't count; a window's set is small."""
+    known = base.select(*keys).dropna().distinct()
+    fresh = events.select("window_id", *keys).dropna().distinct().join(known, list(keys), "left_anti")
+    return fresh.groupBy("window_id").agg(F.array_sort(F.collect_set(F.concat(keys[0], F.lit(" -> "), keys[1]))).alias("novel_relations"))
+
+
+def report_rows(top: DataFrame, evidence: dict[str, str], baseline: dict[str, float], agree: float = 0.90, window_s: int = 5, relations: DataFrame | None = None) -> DataFrame:
     """Top windows (see investigation.top_windows) with what a report shows: ISO
-    times, detectors that agree, ratios to the baseline's medians and a flag for
-    windows that only models see; nested columns also as JSON."""
+    times, detectors that agree, ratios to the baseline's medians, new relations
+    (where given, see novel_relations) and a flag for windows that only models
+    see; nested columns also as JSON."""
+    if relations is not None:
+        top = top.join(relations, "window_id", "left").withColumn("novel_relations", F.coalesce("novel_relations", F.array().cast("array<string>")))
     names = F.array(*[F.when(F.col(c) >= agree, F.lit(n)) for n, c in evidence.items()])
     ratios = F.create_map(*[x for f, m in baseline.items() for x in (F.lit(f), ratio(F.col(f).cast("double"), m))]) if baseline else F.lit(None).cast("map<string,double>")
     iso = lambda s: F.date_format(F.timestamp_seconds(s), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -51,7 +62,17 @@ def report_rows(top: DataFrame, evidence: dict[str, str], baseline: dict[str, fl
         "window_start": iso(F.col("window_id") * window_s), "window_end": iso((F.col("window_id") + 1) * window_s), "agreeing_detectors": F.filter(names, lambda x: x.isNotNull()),
         "baseline_ratios": ratios, "model_only": F.col("primary_category").isin(*MODEL_ONLY),
     })
-    return out.withColumns({"agreeing_json": F.to_json("agreeing_detectors"), "ratios_json": F.to_json("baseline_ratios")})
+    nested = {"agreeing_json": "agreeing_detectors", "ratios_json": "baseline_ratios"} | ({"relations_json": "novel_relations"} if relations is not None else {})
+    return out.withColumns({k: F.to_json(v) for k, v in nested.items()})
+
+
+#: Columns of a stored top table that hold JSON, the columns they are read back as, and their types.
+NESTED = {"agreeing_json": ("agreeing_detectors", "array<string>"), "ratios_json": ("baseline_ratios", "map<string,double>"), "relations_json": ("novel_relations", "array<string>")}
+
+
+def parsed(top: DataFrame) -> DataFrame:
+    """A stored top table with its JSON columns parsed back; those it lacks are left out."""
+    return top.withColumns({name: F.from_json(c, kind) for c, (name, kind) in NESTED.items() if c in top.columns})
 
 
 def anomaly_rates(scored: DataFrame, flag: Column, window_s: int = 5) -> DataFrame:

@@ -61,6 +61,11 @@ def dense(summary: DataFrame, columns: list[str]) -> DataFrame:
     return grid.join(summary, "window_id", "left").fillna(0, columns)
 
 
+def global_stats(df: DataFrame, column: str) -> DataFrame:
+    """One row: rows, and sum, least and largest value of a column."""
+    return df.agg(F.count("*").alias("rows"), F.sum(column).alias("total"), F.min(column).alias("least"), F.max(column).alias("largest"))
+
+
 def contiguity_gaps(dense_windows: DataFrame) -> DataFrame:
     """Windows whose follower is missing, found without ordering the whole grid."""
     following = dense_windows.select((F.col("window_id") - 1).alias("window_id"))

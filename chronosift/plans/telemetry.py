@@ -16,6 +16,7 @@ from chronosift.operators import features as X
 from chronosift.operators import investigation as G
 from chronosift.operators import novelty as N
 from chronosift.operators import profile as P
+from chronosift.operators import reports as R
 from chronosift.operators import sequence as Q
 from chronosift.operators import windowing as WN
 from chronosift.operators.frequencies import FrequencyTables, duplicates
@@ -205,6 +206,16 @@ for _unit in ("hour", "day"):
     SQL[f"{_unit}ly_volume" if _unit == "hour" else "daily_volume"] = EV + f"SELECT CAST(epoch(date_trunc('{_unit}', ts)) AS BIGINT) AS bucket_s, count(*) AS n FROM ev GROUP BY 1"
 
 
+@query(EV + f", {_DATASET} SELECT count(*) AS rows, CAST(sum(event_count) AS BIGINT) AS total, min(event_count) AS least, max(event_count) AS largest FROM g")
+def global_stats(spark, sf_dir):
+    return WN.global_stats(WN.window_summary(canonical_events(spark, sf_dir)), "event_count")
+
+
+@query(EV + _COPIES + "SELECT round((1 - count(DISTINCT id) / count(*)) * 100, 6) AS duplicate_rate_pct FROM u")
+def duplicate_rate(spark, sf_dir):
+    return r6(P.profile(_with_copies(spark, sf_dir), ["user_name"], ["user_name"]).select("duplicate_rate_pct"))
+
+
 @query(EV + "SELECT event_category, event_outcome, count(*) AS n FROM ev GROUP BY ALL")
 def profile_group_counts(spark, sf_dir):
     return canonical_events(spark, sf_dir).groupBy("event_category", "event_outcome").agg(F.count("*").alias("n"))
@@ -748,6 +759,23 @@ def drift_continuous(spark, sf_dir):
     return r6(G.continuous_drift(base, new, ["value", "k"]))
 
 
+def _candidates_sql() -> str:
+    """Episodes without an alert, their labels, and the drift of features of which one is tripled after the split."""
+    tripled = f"e3 AS (SELECT * REPLACE (CASE WHEN t >= {SPLIT_S}000000 THEN value * 3 ELSE value END AS value) FROM ev)"
+    drift = EV + f", {tripled}" + _drift_sql()[len(EV):].replace("FROM ev WHERE", "FROM e3 WHERE").replace("FROM ev),", "FROM e3),")
+    return f"""SELECT m.episode_id, round(p.peak_evidence, 6) AS peak_evidence, l.labels AS temporal_context, coalesce(d.lines, '') AS drift_context
+    FROM ({SQL['model_only_candidates']}) m JOIN ({SQL['episodes']}) p USING (episode_id) JOIN ({SQL['episode_labels']}) l USING (episode_id),
+    (SELECT string_agg(feature || ': ' || status, ',' ORDER BY feature) AS lines FROM ({drift}) WHERE NOT contains(status, 'No Drift')) d"""
+
+
+@query(_candidates_sql())
+def candidate_report(spark, sf_dir):
+    base, new = _parts(spark, sf_dir)
+    drift = G.continuous_drift(base, new.withColumn("value", F.col("value") * 3), ["value", "k"])
+    c = G.candidates(stored(_episodes(spark, sf_dir), "episodes"), _alerts(spark, sf_dir), drift)
+    return r6(c.select("episode_id", "peak_evidence", _joined("temporal_context"), _joined("drift_context")))
+
+
 @query(EV + f""", b AS (SELECT DISTINCT event_category FROM ev WHERE t < {SPLIT_S}000000 AND event_category <> 'file'), n AS (SELECT * FROM ev WHERE {_EVAL})
     SELECT event_category AS category, count(*) AS n, round(count(*) / (SELECT count(*) FROM n), 6) AS share, 'Operational Change' AS status FROM n WHERE event_category NOT IN (SELECT * FROM b) GROUP BY 1 HAVING count(*) / (SELECT count(*) FROM n) >= 0.05""")
 def drift_categorical(spark, sf_dir):
@@ -765,6 +793,16 @@ def novelty_inventory(spark, sf_dir):
 
 #: Six hours are the baseline of the inventory, so that users, hosts, pairs and hours are left to be new.
 _EARLY, _EARLY_US = "2024-01-01 06:00:00", 1704088800000000
+
+
+@query(EV + f""", b AS (SELECT DISTINCT user_name, source_ip FROM ev WHERE t < {_EARLY_US} AND user_name IS NOT NULL)
+    SELECT w AS window_id, array_to_string(list_sort(list_distinct(list(user_name || ' -> ' || source_ip))), ',') AS novel_relations FROM ev
+    WHERE t >= {_EARLY_US} AND user_name IS NOT NULL AND (user_name, source_ip) NOT IN (SELECT (user_name, source_ip) FROM b) GROUP BY w""")
+def novel_relations(spark, sf_dir):
+    base, new = WN.temporal_split(canonical_events(spark, sf_dir).withColumn("window_id", WN.window_id("ts")), "ts", _EARLY)
+    return R.novel_relations(new, base, ("user_name", "source_ip")).select("window_id", F.array_join("novel_relations", ",").alias("novel_relations"))
+
+
 _INVENTORY = (
     EV + f""", x AS (SELECT *, 'h' || (user_id_ * 31 + k) % 400 AS node, CAST(extract('hour' FROM ts) AS INT) AS hour FROM (SELECT *, CAST(coalesce(nullif(regexp_extract(user_name, '[0-9]+'), ''), '7') AS INT) AS user_id_ FROM ev)),
     b AS (SELECT * FROM x WHERE t < {_EARLY_US}), n AS (SELECT * FROM x WHERE t >= {_EARLY_US}), top AS (SELECT max(value) AS v, max(k) AS k FROM b),
@@ -806,6 +844,34 @@ def alert_contingency(spark, sf_dir):
     return G.alert_contingency(e.where("ensemble_flagged"), a, "window_id")
 
 
+_SIDES = """m AS (SELECT DISTINCT w FROM en WHERE ensemble_evidence >= 0.95), a AS (SELECT DISTINCT w FROM ev WHERE t >= %d000000 AND event_id %% 37 = 0),
+    sides AS (SELECT coalesce(m.w, a.w) AS w, CASE WHEN m.w IS NOT NULL AND a.w IS NOT NULL THEN 'both' WHEN m.w IS NOT NULL THEN 'model_only' ELSE 'alert_only' END AS side FROM m FULL JOIN a ON m.w = a.w)""" % SPLIT_S
+
+
+def _by_side(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Flagged windows, windows with alerts, and all events after the split."""
+    events = WN.temporal_split(canonical_events(spark, sf_dir), "ts", SPLIT)[1].withColumn("window_id", WN.window_id("ts"))
+    e = _ensembled(spark, sf_dir).withColumn("window_id", WN.window_id("ts"))
+    return e.where("ensemble_flagged"), events.where("event_id % 37 = 0"), events
+
+
+@query(_EVID + f", {_ENS}, {_SIDES} SELECT side, count(*) AS n FROM sides GROUP BY 1 UNION ALL SELECT 'neither', count(*) FROM (SELECT DISTINCT w FROM ev WHERE {_EVAL} EXCEPT SELECT w FROM sides) HAVING count(*) > 0")
+def contingency_of_all(spark, sf_dir):
+    model, alerts, events = _by_side(spark, sf_dir)
+    return G.alert_contingency(model, alerts, "window_id", events)
+
+
+@query(_EVID + f""", {_ENS}, {_SIDES}, lb AS (SELECT w, CASE k % 4 WHEN 0 THEN 'benign' WHEN 1 THEN 'suspicious' WHEN 2 THEN 'security_relevant' ELSE 'unknown' END AS label, t FROM ev WHERE {_EVAL} AND event_id % 3 = 0),
+    nl AS (SELECT w, max({{t: t, label: label}}).label AS label FROM lb GROUP BY w)
+    SELECT side, coalesce(label, 'pending') AS label, count(*) AS n, coalesce(label, 'pending') IN ('security_relevant', 'suspicious', 'true_positive') AS confirmed FROM sides LEFT JOIN nl USING (w) GROUP BY ALL""")
+def contingency_labels(spark, sf_dir):
+    """Analysts' newest labels by side; every third event stands for a label of its window."""
+    model, alerts, events = _by_side(spark, sf_dir)
+    label = F.expr("CASE k % 4 WHEN 0 THEN 'benign' WHEN 1 THEN 'suspicious' WHEN 2 THEN 'security_relevant' ELSE 'unknown' END")
+    labels = events.where("event_id % 3 = 0").select("window_id", label.alias("label"), F.unix_micros("ts").alias("at"))
+    return G.label_breakdown(model, alerts, "window_id", labels)
+
+
 @query(_EVID + f""", {_ENS}, d AS (SELECT w * 5 // 86400 AS day, avg(CAST(ensemble_evidence >= 0.95 AS DOUBLE)) AS r FROM en GROUP BY 1)
     SELECT round(avg(r) * 100, 5) AS mean_pct, round(stddev_pop(r) * 100, 5) AS std_pct, CASE WHEN stddev_pop(r) * 100 < 1 THEN 'STABLE' WHEN stddev_pop(r) * 100 < 5 THEN 'MODERATE' ELSE 'POOR' END AS stability FROM d""")
 def daily_flag_rate(spark, sf_dir):

@@ -306,3 +306,107 @@ def test_resume_token_without_batches(spark, tmp_path):
     (tmp_path / "offsets").mkdir()
     (tmp_path / "offsets" / "0").write_text("v1\n" + json.dumps({"batchWatermarkMs": 0}) + "\n")
     assert hits.resume_token(spark, f"file://{tmp_path}") is None
+
+
+# ---- transforms, reports and candidates ----
+def test_transforms_refuse_what_is_not_frozen(spark, tmp_path):
+    from chronosift.operators import baselines as B
+    from chronosift.operators import transforms as T
+    from chronosift.operators.base import NotFrozenError
+
+    rows = [(float(i), "u" if i < 9 else "v") for i in range(1, 11)]
+    train = spark.createDataFrame(rows, "x double, user_name string").withColumn("ts", F.timestamp_seconds(F.lit(1751328000)))
+    build = {"stats": lambda d: B.robust_stats(d, ["x"]), "users": lambda d: B.frequencies(d, "user_name")}
+    suite = B.BaselineSuite(spark, f"file://{tmp_path}", "v1").fit(train, build, "ts", "2025-08-01")
+    for make in (lambda: T.RobustZ(suite, "x"), lambda: T.FrequencyRarity(suite, "users", ("user_name",))):
+        with pytest.raises(NotFrozenError):
+            make()
+    suite.save()
+    suite.load(["stats", "users"])
+    new = spark.createDataFrame([(15.5, "u"), (5.5, "w"), (None, None)], "x double, user_name string")
+    for t in (T.RobustZ, T.IqrDistance, T.TailDistance, T.PercentileRank):
+        new = t(suite, "x").transform(new)
+    out = {r.x: r for r in T.FrequencyRarity(suite, "users", ("user_name",)).transform(new).collect()}
+    assert new.columns == ["x", "user_name", "x_robust_z", "x_iqr_distance", "x_tail_distance", "x_percentile_rank"]
+    assert out[15.5].x_robust_z == 4.0 and out[15.5].x_iqr_distance == pytest.approx((15.5 - (7.75 + 1.5 * 4.5)) / 4.5)
+    assert out[15.5].x_tail_distance == pytest.approx((15.5 - 9.91) / 4.5) and out[15.5].x_percentile_rank > 0.999 and out[5.5].x_percentile_rank == 0.5
+    assert out[15.5].user_name_rarity == pytest.approx(-np.log10(8 / 10.5)) and out[5.5].user_name_rarity == out[None].user_name_rarity == pytest.approx(-np.log10(0.5 / 10.5))
+    assert T.RobustZ(suite, "y").transform(new.withColumn("y", F.lit(3.0))).first().y_robust_z == 0.0
+
+
+def test_stored_top_windows_are_read_back(spark, tmp_path):
+    from chronosift.operators import reports
+
+    top = spark.createDataFrame([(7, 0.99, "novelty", 8.0), (9, 0.95, "statistical", 2.0)], "window_id long, e double, primary_category string, n double")
+    events = spark.createDataFrame([(7, "u", "h"), (7, "u", "h"), (7, "a", "h"), (7, "old", "h"), (7, None, "h"), (8, "z", "h")], "window_id long, u string, h string")
+    base = spark.createDataFrame([("old", "h"), ("u", None)], "u string, h string")
+    relations = reports.novel_relations(events, base, ("u", "h"))
+    rows = reports.report_rows(top, {"d": "e"}, {"n": 4.0}, relations=relations)
+    rows.drop("agreeing_detectors", "baseline_ratios", "novel_relations").write.parquet(f"file://{tmp_path}/top")
+    got = {r.window_id: r for r in reports.parsed(spark.read.parquet(f"file://{tmp_path}/top")).collect()}
+    assert got[7].novel_relations == ["a -> h", "u -> h"] and got[9].novel_relations == []
+    assert got[7].agreeing_detectors == ["d"] and got[7].baseline_ratios == {"n": 2.0}
+    assert "novel_relations" not in reports.report_rows(top, {"d": "e"}, {}).columns
+
+
+def test_candidates_and_labels(spark):
+    from chronosift.operators import investigation as G
+
+    kind = "episode_id string, episode_start_s long, episode_end_s long, duration_s long, peak_evidence double, users array<string>, ips array<string>, hosts array<string>, evidence_trend array<double>"
+    ep = spark.createDataFrame([("a", 1000, 1100, 105, 0.99, ["u"], [], [], [0.9]), ("b", 9000, 9000, 5, 0.96, ["u"], [], [], [0.9])], kind)
+    alerts = spark.createDataFrame([("x", 1200, ["u"])], "alert_id string, ts_s long, entities array<string>")
+    drift = spark.createDataFrame([("f", "Population Drift"), ("g", "No Drift"), ("c", "Individual Anomaly")], "feature string, status string")
+    got = G.candidates(ep, alerts, drift).collect()
+    assert [(r.episode_id, r.temporal_context, r.drift_context) for r in got] == [("b", ["repeat"], ["c: Individual Anomaly", "f: Population Drift"])]
+    assert G.candidates(ep, alerts, drift.where("false")).first().drift_context == []
+    k = lambda *x: spark.createDataFrame([(i,) for i in x], "w int")
+    assert {r.side: r.n for r in G.alert_contingency(k(1, 2, 2, 3), k(3, 4), "w", k(1, 3, 5, 6, 6)).collect()} == {"both": 1, "model_only": 2, "alert_only": 1, "neither": 2}
+    labels = spark.createDataFrame([(1, "benign", 5), (1, "suspicious", 6), (3, "benign", 1)], "w int, label string, at int")
+    got = {(r.side, r.label): (r.n, r.confirmed) for r in G.label_breakdown(k(1, 2, 3), k(3, 4), "w", labels).collect()}
+    assert got == {("model_only", "suspicious"): (1, True), ("model_only", "pending"): (1, False), ("both", "benign"): (1, False), ("alert_only", "pending"): (1, False)}
+
+
+def test_detector_refuses_rows_behind_the_bound(spark):
+    from chronosift.operators import base
+
+    d = spark.range(20).selectExpr("id AS window_id", "id AS event_count").withColumn("ts", F.timestamp_seconds(F.col("window_id") * 5))
+    with pytest.raises(WN.TemporalLeakageError):
+        base.Statistical(["event_count"]).fit(d, "ts", "1970-01-01T00:01:00")
+    m = base.Statistical(["event_count"])
+    with pytest.raises(base.NotFrozenError):
+        m.score(d)
+    m.fit(d, "ts", "1970-01-01T00:02:00")
+    with pytest.raises(Exception, match="statistical"):
+        m.fit(d)
+
+
+def test_ping_is_tried_again(spark):
+    class Flaky:
+        calls = 0
+
+        def _fs(self):
+            self.calls += 1
+            if self.calls < 3:
+                raise ConnectionError("away")
+
+            class Fs:
+                @staticmethod
+                def exists(path):
+                    return True
+
+            return Fs, "p"
+
+    waits = []
+    f = Flaky()
+    assert extraction.validate_connection(f, sleep=waits.append) and f.calls == 3 and len(waits) == 2
+    f.calls = -9
+    with pytest.raises(ConnectionError):
+        extraction.validate_connection(f, attempts=2, sleep=waits.append)
+
+
+def test_window_starts(spark):
+    d = spark.createDataFrame([(-1,), (0,), (3,)], "w long")
+    got = [r.s.timestamp() for r in d.orderBy("w").select(WN.window_start("w").alias("s")).collect()]
+    assert got == [-5.0, 0.0, 15.0]
+    zoned = spark.sql("SELECT timestamp'2025-07-01 02:00:03+02:00' AS a, timestamp'2025-07-01 00:00:03' AS b")
+    assert zoned.select((WN.window_id("a") == WN.window_id("b")).alias("same")).first().same
