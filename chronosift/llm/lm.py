@@ -10,9 +10,12 @@ of their own; the others follow by frequency in classes as large as keeps size
 times share of the text at CLASS_COST, which balances the cost of both levels.
 
 Weights are fitted in two steps. A start is fitted on the driver with START_DOCS
-documents, whatever the input size. From there every worker passes over its part
-of all training documents and learns from every position of their whole texts;
-the workers' weights are then averaged.
+documents, whatever the input size. From there blocks of BLOCK_BYTES of text are
+learned from, every position of every whole training text once, in ROUNDS
+rounds: each block of a round is trained on from the round's weights, then the
+blocks' weights are averaged. Blocks follow from the documents alone and what is
+averaged are integers, so scores depend neither on cores nor on partitions, and
+no task grows with the input.
 
 A document is scored in overlapping windows, each position once: the first
 window scores all of its positions, later ones only those that the window before
@@ -36,11 +39,11 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,13 +61,15 @@ CLASS_COST = 2.0
 START_DOCS, START_SEGMENTS, START_PASSES = 1000, 8, 2
 #: Bytes of a segment of the start's texts; bytes of context before it.
 SEGMENT, LEAD = 512, 64
-#: Bytes of text in a block, about.
-BLOCK_BYTES = 24 << 20
+#: Bytes of text in a block, about; rounds of learning, after each of which the blocks' weights are averaged.
+BLOCK_BYTES, ROUNDS = 8 << 20, 2
+#: Fixed-point steps of a unit in the averaging.
+STEPS = 1 << 20
 #: Words whose ids a worker keeps, and as many parts of words; bytes of text learned from at a time, about. Both bound
 #: what a Python worker holds beside the JVM.
 WORDS_KEPT, LEARN_BYTES = 60_000, 2 << 20
-#: Documents of a block whose words are looked up at a time; also bounded by bytes.
-BLOCK_ROWS = 10_000
+#: Bytes of a block's texts whose words are looked up at a time, about.
+SCORE_BYTES = 8 << 20
 #: Tokens scored at a time, about; a longer text is scored whole.
 TOKENS = 1 << 19
 #: Windows computed at a time; positions whose classes are looked into at a time; numbers of one softmax table.
@@ -531,62 +536,145 @@ def start(docs: DataFrame, scorer: Scorer, limit: int = START_DOCS) -> Scorer:
     return scorer.start_from(np.frombuffer(b"".join(w for _, w in rows), "<i4").reshape(-1, 3 * WINDOW))
 
 
-def learn(docs: DataFrame, scorer: Scorer, workers: int, share: int = 1, rate: float = 2e-3) -> Scorer:
-    """One pass over all training documents: every worker trains on from the
-    given weights with its part of them, then the weights are averaged by the
-    positions seen. Every position of every whole text is learned from once; a
-    caller that wants less takes one window in `share`. Arrays travel in chunks
-    and are averaged in two steps, so no task holds more than about the square
-    root of the workers' copies."""
-    lanes = max(1, isqrt(workers))
-    t = texts_of(docs.where(~held_out()))
+PACKED = "block int, doc_id array<long>, held_out array<boolean>, size array<int>, data binary"
+
+
+def in_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
+    """Documents with the block they fall into, by hash: the same whatever the partitions."""
+    t = texts_of(docs).withColumn("held_out", held_out())
+    return t.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
+
+
+def packed(docs: DataFrame, n_blocks: int) -> DataFrame:
+    """The documents by block, some LEARN_BYTES of text in a row, compressed; a
+    block's documents are in the order of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        squeeze = zstandard.ZstdCompressor(level=3)
+        kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary())
+        block, ids, flags, texts, held = None, [], [], [], 0
+
+        def row() -> pa.RecordBatch:
+            values = (block, ids, flags, [len(t) for t in texts], squeeze.compress(b"".join(texts)))
+            return pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds)], names=[c.split()[0] for c in PACKED.split(", ")])
+
+        for s in slices(batches):
+            for k, d, f, t in zip(*[s.column(c).to_pylist() for c in ("block", "doc_id", "held_out", "text")]):
+                if texts and (k != block or held >= LEARN_BYTES):
+                    yield row()
+                    ids, flags, texts, held = [], [], [], 0
+                block = k
+                ids.append(d)
+                flags.append(f)
+                texts.append(t.encode("utf-8", "replace"))
+                held += len(texts[-1])
+        if texts:
+            yield row()
+
+    dealt = in_blocks(docs, n_blocks).withColumn("doc_id", F.col("doc_id").cast("long")).repartitionById(n_blocks, F.col("block"))
+    order = dealt.withColumn("key", F.xxhash64("text", "doc_id")).sortWithinPartitions("block", "key", "doc_id")
+    return order.select("block", "doc_id", "held_out", "text").mapInArrow(run, PACKED)
+
+
+def unpacked(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """For each packed row its block, and doc_id, held_out and text."""
+    expand = zstandard.ZstdDecompressor()
+    for block, ids, flags, sizes, data in zip(*[b.column(c).to_pylist() for c in ("block", "doc_id", "held_out", "size", "data")]):
+        raw, at, texts = expand.decompress(data, max_output_size=sum(sizes) + 1), 0, []
+        for n in sizes:
+            texts.append(raw[at : at + n])
+            at += n
+        yield block, pa.record_batch([pa.array(ids, pa.int64()), pa.array(flags, pa.bool_()), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "held_out", "text"])
+
+
+def learn(docs: DataFrame, scorer: Scorer, n_blocks: int, share: int = 1, rate: float = 2e-3) -> Scorer:
+    """`learn_blocks` of documents dealt into so many blocks."""
+    return learn_blocks(stored(packed(docs, n_blocks), "packed-texts"), scorer, n_blocks, share, rate)
+
+
+def learn_blocks(blocks: DataFrame, scorer: Scorer, n_blocks: int, share: int = 1, rate: float = 2e-3) -> Scorer:
+    """One pass over all training documents in ROUNDS rounds. In a round each of
+    its blocks is trained on from the round's weights, whatever task has it, then
+    the weights are averaged by the windows seen. Every position of every whole
+    text is learned from once; a caller that wants less takes one window in
+    `share`. Changes are summed as integers, so cores, tasks and their order
+    don't show in the result. Arrays travel in chunks, of which an aggregation
+    holds one at a time."""
+    done = 0
+    for r in range(min(ROUNDS, n_blocks)):
+        lo, hi = r * n_blocks // min(ROUNDS, n_blocks), (r + 1) * n_blocks // min(ROUNDS, n_blocks)
+        done += _round(blocks.where((F.col("block") >= lo) & (F.col("block") < hi)), scorer, share, rate, done) // (hi - lo)
+    return scorer
+
+
+def _round(blocks: DataFrame, scorer: Scorer, share: int, rate: float, done: int) -> int:
+    """Windows learned from in a round; `done`: those of a block in the rounds before."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
-        m, v = scorer.model, scorer.vocabulary
-        before = {k: a.copy() for k, a in m.p.items()}
-        to, seen, batch, steps = m.trainer(rate), 0, 128, np.arange(WINDOW)
-        for b in slices(batches, size=LEARN_BYTES):
-            ids, lengths = scorer.encoded(b.column("text"))
-            x = scorer.inputs(ids, lengths)
-            starts, room = side_by_side(lengths)
-            order = np.random.default_rng(len(starts)).permutation(len(starts))[::share]
-            for at in range(0, len(order), batch):
-                s, r = starts[order[at : at + batch], None], room[order[at : at + batch], None]
-                inside = steps < r
-                places = np.where(inside, s + steps, s)
-                to.step(x[places], v.class_of[ids[places]], inside.astype(np.float32), ids[places], (1 + to.t / 100) ** -0.5)
-                seen += int(inside.sum())
-        if seen:
-            lane = TaskContext.get().partitionId() % lanes
-            for k, a in m.p.items():
+        v, steps, batch = scorer.vocabulary, np.arange(WINDOW), 128
+        before = {k: a.copy() for k, a in scorer.model.p.items()}
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        block, to, seen, total = None, None, 0, 0
+
+        def add() -> int:
+            """The block's changes times its windows; the next begins at the round's weights."""
+            for k, a in scorer.model.p.items():
                 flat, old = a.ravel(), before[k].ravel()
-                for at in range(0, len(flat), CHUNK):
+                for at in range(0, len(flat) if seen else 0, CHUNK):
                     if not np.array_equal(part := flat[at : at + CHUNK], old[at : at + CHUNK]):
-                        yield pa.record_batch([pa.array([k]), pa.array([at]), pa.array([lane]), pa.array([float(seen)]), pa.array([((part - old[at : at + CHUNK]).astype(np.float64) * seen).tobytes()], pa.binary())], names=["name", "at", "lane", "n", "change"])
-            yield pa.record_batch([pa.array([""]), pa.array([0]), pa.array([lane]), pa.array([float(seen)]), pa.array([b""], pa.binary())], names=["name", "at", "lane", "n", "change"])
-
-    def added(key: tuple, t: pa.Table) -> pa.Table:
-        total = 0.0
-        for x in sorted(t.column("change").to_pylist()):  # in an order that doesn't depend on the tasks'
-            total = total + np.frombuffer(x, np.float64)
-        return pa.table([pa.array([key[0].as_py()]), pa.array([key[1].as_py()]), pa.array([key[-1].as_py() if len(key) > 2 else 0]), pa.array([float(sum(t.column("n").to_pylist()))]), pa.array([np.asarray(total).tobytes()], pa.binary())], names=["name", "at", "lane", "n", "change"])
-
-    schema = "name string, at long, lane long, n double, change binary"
-    copies = t.coalesce(workers).mapInArrow(run, schema)
-    sums = copies.groupBy("name", "at", "lane").applyInArrow(added, schema).groupBy("name", "at").applyInArrow(added, schema).collect()
-    n = sum(r.n for r in sums if not r["name"])
+                        change = np.rint((part - old[at : at + CHUNK]).astype(np.float64) * STEPS).astype(np.int64) * seen
+                        sums[k, at] = sums[k, at] + change if (k, at) in sums else change
+                a[...] = before[k]
+            return seen
+
+        for b in batches:
+            for k, own in unpacked(b):
+                if k != block:
+                    total += add()
+                    block, to, seen = k, scorer.model.trainer(rate), 0
+                own = own.filter(pc.invert(own.column("held_out")))
+                if not own.num_rows:
+                    continue
+                ids, lengths = scorer.encoded(own.column("text"))
+                x = scorer.inputs(ids, lengths)
+                starts, room = side_by_side(lengths)
+                order = np.random.default_rng(len(starts)).permutation(len(starts))[::share]
+                for at in range(0, len(order), batch):
+                    s, r = starts[order[at : at + batch], None], room[order[at : at + batch], None]
+                    inside = steps < r
+                    places = np.where(inside, s + steps, s)
+                    to.step(x[places], v.class_of[ids[places]], inside.astype(np.float32), ids[places], (1 + (to.t + done / batch) / 100) ** -0.5)
+                    seen += len(s)
+        total += add()
+        for (k, at), change in sums.items():
+            yield pa.record_batch([pa.array([k]), pa.array([at]), pa.array([0]), pa.array([change.tobytes()], pa.binary())], names=["name", "at", "n", "change"])
+        yield pa.record_batch([pa.array([""]), pa.array([0]), pa.array([total]), pa.array([b""], pa.binary())], names=["name", "at", "n", "change"])
+
+    def added(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums what a task gets, array chunk by array chunk."""
+        held: dict[tuple[str, int], list] = {}
+        for b in parts:
+            for k, at, n, change in zip(*[b.column(c).to_pylist() for c in ("name", "at", "n", "change")]):
+                own = held.setdefault((k, at), [0, 0])
+                own[0] += n
+                own[1] = own[1] + np.frombuffer(change, np.int64)
+        for (k, at), (n, change) in held.items():
+            yield pa.record_batch([pa.array([k]), pa.array([at]), pa.array([n]), pa.array([np.asarray(change).tobytes()], pa.binary())], names=["name", "at", "n", "change"])
+
+    schema = "name string, at long, n long, change binary"
+    copies = blocks.mapInArrow(run, schema).repartition("name", "at")
+    sums = copies.mapInArrow(added, schema).collect()  # one row per chunk of an array
+    n = sum(r.n for r in sums)
     for r in sums:
         if r["name"]:
-            flat, change = scorer.model.p[r["name"]].reshape(-1), np.frombuffer(bytes(r.change), np.float64)
-            flat[r["at"] : r["at"] + len(change)] += (change / n).astype(np.float32)
+            flat, change = scorer.model.p[r["name"]].reshape(-1), np.frombuffer(bytes(r.change), np.int64)
+            flat[r["at"] : r["at"] + len(change)] += (change / (n * STEPS)).astype(np.float32)
     scorer.model.table = None
-    return scorer
+    return n
 
 
-def block_words(dealt: DataFrame) -> DataFrame:
+def block_words(blocks: DataFrame) -> DataFrame:
     """(block, word, n): each block's distinct words, and how often each occurs in its training documents."""
 
     def merged(parts: list[pa.Table]) -> pa.Table:
@@ -596,13 +684,12 @@ def block_words(dealt: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
         held: dict[int, list[pa.Table]] = defaultdict(list)
-        for b in slices(batches, rows=BLOCK_ROWS):
-            words, n = words_in(b.column("text"))
-            block, asked = np.repeat(b.column("block").to_numpy(), n), np.repeat(b.column("held_out").to_numpy(zero_copy_only=False), n)
-            for k in np.unique(block).tolist():
-                mine = block == k
-                counted = words.filter(pa.array(mine & ~asked)).value_counts()
-                also = words.filter(pa.array(mine & asked)).unique()
+        for b in batches:
+            for k, own in unpacked(b):
+                words, n = words_in(own.column("text"))
+                asked = np.repeat(own.column("held_out").to_numpy(zero_copy_only=False), n)
+                counted = words.filter(pa.array(~asked)).value_counts()
+                also = words.filter(pa.array(asked)).unique()
                 held[k] += [pa.table([counted.field("values"), counted.field("counts")], names=["word", "n"]), pa.table([also, pa.array(np.zeros(len(also), np.int64))], names=["word", "n"])]
                 if len(held[k]) >= 16:
                     held[k] = [merged(held[k])]
@@ -610,7 +697,7 @@ def block_words(dealt: DataFrame) -> DataFrame:
             for b in merged(parts).to_batches(20_000):
                 yield pa.record_batch([pa.array(np.full(b.num_rows, k, np.int32)), b.column("word"), b.column("n")], names=["block", "word", "n"])
 
-    return dealt.mapInArrow(run, "block int, word binary, n long")
+    return blocks.mapInArrow(run, "block int, word binary, n long")
 
 
 def with_ids(counts: DataFrame, name: str = WORD_BPE) -> DataFrame:
@@ -662,27 +749,28 @@ def lm_scores(docs: DataFrame, name: str = WORD_BPE, limit: int = START_DOCS) ->
     spark = docs.sparkSession
     t = texts_of(docs).withColumn("held_out", held_out())
     size = t.agg(F.sum(F.octet_length("text")).alias("bytes"), F.coalesce(F.sum(F.when(F.col("held_out"), 0).otherwise(1)), F.lit(0)).alias("docs")).first()
-    workers = max(1, spark.sparkContext.defaultParallelism)
-    n_blocks = max(2 * workers, -(-(size["bytes"] or 0) // BLOCK_BYTES))
+    n_blocks = max(1, -(-(size["bytes"] or 0) // BLOCK_BYTES))
     deal = lambda d: d.repartitionById(n_blocks, F.col("block"))
-    dealt = t.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_blocks)).cast("int"))
-    held = stored(block_words(deal(dealt)), "block-words")
+    blocks = stored(packed(docs, n_blocks), "packed-texts")
+    held = stored(block_words(blocks), "block-words")
     counts = stored(with_ids(held.groupBy("word").agg(F.sum("n").alias("c")), name), "word-counts")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     ends = int(size["docs"])
     v = Vocabulary.of_counts(subword_counts(counts, ends, name))
     scorer = Scorer(v, Attention(v.n_classes, vocabulary=v), name)
-    scorer = learn(docs, start(docs, scorer, limit), workers)
+    scorer = learn_blocks(blocks, start(docs, scorer, limit), n_blocks)
     total, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
     below = float(np.log10(total + distinct + 1))
     end = float(np.log10(ends + 1.0))
     nothing = lambda kind: F.lit(None).cast(kind)
-    words = held.select("block", "word").hint("merge").join(counts, "word").select("block", F.lit(0).alias("kind"), "word", "c", "ids", nothing("long").alias("doc_id"), nothing("boolean").alias("held_out"), nothing("string").alias("text"))
-    texts = dealt.select("block", F.lit(1).alias("kind"), nothing("binary").alias("word"), nothing("long").alias("c"), nothing("binary").alias("ids"), F.col("doc_id").cast("long"), "held_out", "text")
+    packs = [c.split() for c in PACKED.split(", ")[1:]]
+    words = held.select("block", "word").hint("merge").join(counts, "word").select("block", F.lit(0).alias("kind"), "word", "c", "ids", *[nothing(t).alias(c) for c, t in packs])
+    texts = blocks.select("block", F.lit(1).alias("kind"), nothing("binary").alias("word"), nothing("long").alias("c"), nothing("binary").alias("ids"), *[c for c, _ in packs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
-        block, own, last = None, _Block(), None
+        block, own, last, waiting = None, _Block(), None, []
+        joined = lambda parts: pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
         for b in batches:
             # a partition is one block: its words come first, then its documents
             key = np.stack([b.column("block").to_numpy(), b.column("kind").to_numpy()], 1)
@@ -692,15 +780,22 @@ def lm_scores(docs: DataFrame, name: str = WORD_BPE, limit: int = START_DOCS) ->
                     continue
                 part, (k, kind) = b.slice(lo, hi - lo), key[lo].tolist()
                 if k != block:
-                    block, own, last = k, _Block(), None
+                    if waiting:
+                        yield score(joined(waiting), own)
+                    block, own, last, waiting = k, _Block(), None, []
                 if kind == 0:
                     own.add(part)
                     continue
                 if last is None:
                     own.close()
                     last = True
-                for s in slices([part], rows=BLOCK_ROWS):
-                    yield score(s, own)
+                for _, s in unpacked(part):
+                    waiting.append(s)
+                    if sum(x.nbytes for x in waiting) >= SCORE_BYTES:
+                        yield score(joined(waiting), own)
+                        waiting = []
+        if waiting:
+            yield score(joined(waiting), own)
 
     def scores_in(own: _Block, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         k = own.n[at]

@@ -302,6 +302,18 @@ def test_lm_learns_from_all_training_documents(spark):
     assert lm.learn(d.where("false"), copy.deepcopy(s), 3, 2).scores(texts).sum() == pytest.approx(before)
 
 
+def test_lm_weights_ignore_cores_and_partitions(spark):
+    import copy
+
+    rows = [(i if i % 9 else None, words(i % 50, 150)) for i in range(200)] + [(5, words(3, 40))] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    s = small_scorer()
+    one, two = (lm.learn(x, copy.deepcopy(s), 5) for x in (d.coalesce(1), d.repartition(7)))
+    assert all(np.array_equal(one.model.p[k], two.model.p[k]) for k in s.model.p) and not np.array_equal(one.model.p["e"], s.model.p["e"])
+    packed = lm.packed(d.repartition(3), 5).collect()
+    assert sum(len(r.doc_id) for r in packed) == len(rows) and {r.block for r in packed} <= set(range(5))
+
+
 def test_lm_windows_score_each_position_once():
     for n in (1, 31, 32, 33, 56, 57, 500):
         starts, first, room = lm.batch_windows(np.array([n, 3]))
