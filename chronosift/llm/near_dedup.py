@@ -4,11 +4,13 @@ Documents with equal shingle sets form a class, represented by the text of its
 smallest doc_id. Each representative has ORDERS signatures of DEPTH minimum hashes. In
 each order representatives are sorted by signature; those that share at least
 LEAST leading values form a region, and within it a document's neighbours in the
-order - those with the longest common prefix - are its candidates. Depth adapts
-by itself: where a region is dense its neighbours agree to greater depth. Links
-are confirmed on the full shingle sets, in steps: close neighbours of the first
-orders, then all remaining candidates between different components (within a
-component a further link changes nothing).
+order - those with the longest common prefix - are its candidates. Signatures
+have one depth for all regions: a region cut deeper would part similar documents
+that share only LEAST values, so dense regions are finished exactly instead (see
+below), and depth only ranks the neighbours. Links are confirmed on the full
+shingle sets, in steps: close neighbours of the first orders, then all remaining
+candidates between different components (within a component a further link
+changes nothing).
 
 A region of more than REACH + 1 documents has pairs that are no neighbours. If
 such a region still holds several components, it goes on exactly: regions with

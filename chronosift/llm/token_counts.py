@@ -3,9 +3,10 @@
 A document's table is one signed byte per character: by how much the count
 changes when that character joins the prefix (a space changes nothing). Its
 running sum answers budget and truncation questions without encoding again.
-Cases: null and empty texts have an empty table and count 0; further columns
-are ignored; repeated rows give repeated results; special strings in a text are
-what the library's default makes of them.
+Cases: null and empty texts have an empty table and count 0; very long texts are
+taken whole, word by word; further columns are ignored; repeated rows give
+repeated results, and rows without a doc_id theirs; an empty table gives an empty
+result; special strings in a text are what the library's default makes of them.
 """
 
 from __future__ import annotations
