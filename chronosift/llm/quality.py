@@ -10,8 +10,8 @@ Cases: null and empty texts are one chunk of padding and get a score like any
 other; very long texts are many chunks and are scored in pieces of bounded
 memory; repeated rows repeat their scores; with no labelled row, or one class
 only, the score is the smoothed share of label 1; an empty table gives an empty
-result; further columns are ignored; rows without a doc_id are scored, never
-held out, and match no label.
+result; further columns are ignored; rows without a doc_id are scored, with a null
+held_out, and match no label.
 """
 
 from __future__ import annotations
