@@ -43,7 +43,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -536,7 +535,8 @@ def start(docs: DataFrame, scorer: Scorer, limit: int = START_DOCS) -> Scorer:
     return scorer.start_from(np.frombuffer(b"".join(w for _, w in rows), "<i4").reshape(-1, 3 * WINDOW))
 
 
-PACKED = "block int, doc_id array<long>, held_out array<boolean>, size array<int>, data binary"
+#: A row of some documents: doc_id, held_out and text as a compressed Arrow stream.
+PACKED = "block int, data binary"
 
 
 def in_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
@@ -550,25 +550,32 @@ def packed(docs: DataFrame, n_blocks: int) -> DataFrame:
     block's documents are in the order of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary())
-        block, ids, flags, texts, held = None, [], [], [], 0
+        block, held, size = None, [], 0
 
         def row() -> pa.RecordBatch:
-            values = (block, ids, flags, [len(t) for t in texts], squeeze.compress(b"".join(texts)))
-            return pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds)], names=[c.split()[0] for c in PACKED.split(", ")])
-
-        for s in slices(batches):
-            for k, d, f, t in zip(*[s.column(c).to_pylist() for c in ("block", "doc_id", "held_out", "text")]):
-                if texts and (k != block or held >= LEARN_BYTES):
-                    yield row()
-                    ids, flags, texts, held = [], [], [], 0
-                block = k
-                ids.append(d)
-                flags.append(f)
-                texts.append(t.encode("utf-8", "replace"))
-                held += len(texts[-1])
-        if texts:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(pa.Table.from_batches(held).combine_chunks())
+            return pa.record_batch([pa.array([block], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
+
+        for s in slices(batches, size=LEARN_BYTES):
+            of = s.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                part = s.slice(lo, hi - lo).select(["doc_id", "held_out", "text"])
+                ends = np.cumsum(pc.binary_length(part.column("text")).to_numpy())
+                # rows end by the documents alone, not by how the batches come
+                at = 0
+                while at < len(ends):
+                    if held and (of[lo] != block or size >= LEARN_BYTES):
+                        yield row()
+                        held, size = [], 0
+                    before = int(ends[at - 1]) if at else 0
+                    upto = min(len(ends), int(np.searchsorted(ends, before + max(1, LEARN_BYTES - size), "left")) + 1)
+                    held.append(part.slice(at, upto - at))
+                    size += int(ends[upto - 1]) - before
+                    block, at = int(of[lo]), upto
+        if held:
             yield row()
 
     dealt = in_blocks(docs, n_blocks).withColumn("doc_id", F.col("doc_id").cast("long")).repartitionById(n_blocks, F.col("block"))
@@ -578,13 +585,9 @@ def packed(docs: DataFrame, n_blocks: int) -> DataFrame:
 
 def unpacked(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
     """For each packed row its block, and doc_id, held_out and text."""
-    expand = zstandard.ZstdDecompressor()
-    for block, ids, flags, sizes, data in zip(*[b.column(c).to_pylist() for c in ("block", "doc_id", "held_out", "size", "data")]):
-        raw, at, texts = expand.decompress(data, max_output_size=sum(sizes) + 1), 0, []
-        for n in sizes:
-            texts.append(raw[at : at + n])
-            at += n
-        yield block, pa.record_batch([pa.array(ids, pa.int64()), pa.array(flags, pa.bool_()), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "held_out", "text"])
+    for block, data in zip(b.column("block").to_pylist(), b.column("data")):
+        for part in pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks().to_batches():
+            yield block, part
 
 
 def learn(docs: DataFrame, scorer: Scorer, n_blocks: int, share: int = 1, rate: float = 2e-3) -> Scorer:

@@ -310,8 +310,11 @@ def test_lm_weights_ignore_cores_and_partitions(spark):
     s = small_scorer()
     one, two = (lm.learn(x, copy.deepcopy(s), 5) for x in (d.coalesce(1), d.repartition(7)))
     assert all(np.array_equal(one.model.p[k], two.model.p[k]) for k in s.model.p) and not np.array_equal(one.model.p["e"], s.model.p["e"])
-    packed = lm.packed(d.repartition(3), 5).collect()
-    assert sum(len(r.doc_id) for r in packed) == len(rows) and {r.block for r in packed} <= set(range(5))
+    import pyarrow as pa
+
+    packed = [(k, own) for r in lm.packed(d.repartition(3), 5).collect() for k, own in lm.unpacked(pa.record_batch({"block": [r.block], "data": [bytes(r.data)]}))]
+    assert sorted(((i or -1), t) for _, own in packed for i, t in zip(own.column("doc_id").to_pylist(), own.column("text").to_pylist())) == sorted(((i or -1), t) for i, t in rows)
+    assert {k for k, _ in packed} <= set(range(5))
 
 
 def test_lm_windows_score_each_position_once():
