@@ -162,7 +162,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that are similar enough on their full sets (doc_id, items)."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -218,25 +218,26 @@ def crowd_links(members: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFra
     """Links (a, b) between the components (id, component) that a crowded region
     holds; None where each such region is within one component."""
     of = comp.select(F.col("id").alias("doc_id"), "component")
-    m = stored(members.join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "crowded")
+    m = stored(members.join(of.hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "crowded")
     by = ["ord", "region"]
     regions = m.groupBy(by).agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("first"))
     regions = stored(regions.where(f"n > {REACH + 1} and lo < hi").select(*by, "first"), "regions")
     if not regions.head(1):
         return None
-    group = components(m.join(regions, by).select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
-    rows = m.select("doc_id", "component", "n_shingles").distinct().join(group.select(F.col("id").alias("doc_id"), F.col("component").alias("crowd")), "doc_id")
+    group = components(m.join(regions.hint("merge"), by).select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    rows = m.select("doc_id", "component", "n_shingles").distinct().join(group.select(F.col("id").alias("doc_id"), F.col("component").alias("crowd")).hint("merge"), "doc_id")
     rows = stored(rows, "crowds")
     # the largest component of a crowd meets only the rest: its own pairs are linked already
     size = rows.groupBy("crowd", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("items"))
     need = lambda n, items: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(items / BLOCK_ITEMS))
     plan = size.groupBy("crowd").agg(F.max(F.struct("n", "component", "items")).alias("main"), F.sum("n").alias("n"), F.sum("items").alias("items"))
     plan = plan.select("crowd", F.col("main.component").alias("main"), need(F.col("main.n"), F.col("main.items")).alias("mains"), need(F.col("n") - F.col("main.n"), F.col("items") - F.col("main.items")).alias("rests"))
+    plan = stored(plan, "crowd-plan")  # so that the join can split a large crowd
     is_main, salt = F.col("component") == F.col("main"), F.xxhash64("doc_id")
-    rows = rows.join(plan, "crowd").where("rests > 0").withColumn("block", F.when(is_main, F.pmod(salt, F.col("mains"))).otherwise(F.col("mains") + F.pmod(salt, F.col("rests"))))
+    rows = rows.join(plan.hint("merge"), "crowd").where("rests > 0").withColumn("block", F.when(is_main, F.pmod(salt, F.col("mains"))).otherwise(F.col("mains") + F.pmod(salt, F.col("rests"))))
     rows = rows.withColumn("other", F.explode(F.sequence(F.when(is_main, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("rests") - 1)))
     rows = rows.select("crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component")
-    return rows.join(sets, "doc_id").groupBy("crowd", "i", "j").applyInArrow(_links, "a long, b long")
+    return rows.hint("merge").join(sets, "doc_id").groupBy("crowd", "i", "j").applyInArrow(_links, "a long, b long")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -257,14 +258,14 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         sets = shingle_sets(b.column("text").to_pylist(), WORDS)
         return pa.record_batch([pa.array(map(fingerprint, sets), pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["fp", "items"])
 
-    # the ids grow with the corpus: merged, never broadcast
+    # what grows with the corpus is merged, here and below: broadcasts pass through the driver
     texts = texts_of(docs).join(asked.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     sets = arrow_map(texts, make, "fp binary, items binary").join(asked.select("fp", "node").hint("merge"), "fp")
     sets = stored(sets.select(F.col("node").alias("doc_id"), "items").dropDuplicates(["doc_id"]), "sets")
     # classes that share a doc_id are joined by it
     same = known.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("doc_id")
-    same = known.select("doc_id", "fp").distinct().join(same.hint("merge"), "doc_id", "left_semi").join(classes.select("fp", "node"), "fp")
-    same = same.join(same.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b").where("a != b")
+    same = known.select("doc_id", "fp").distinct().join(same.hint("merge"), "doc_id", "left_semi").join(classes.select("fp", "node").hint("merge"), "fp")
+    same = same.join(same.groupBy("doc_id").agg(F.min("node").alias("b")).hint("merge"), "doc_id").select(F.col("node").alias("a"), "b").where("a != b")
     links = comp = None
     due = F.lit(False)
     for orders, reach in STEPS:
@@ -272,7 +273,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         rest = cand.where(now & ~due).select("a", "b")
         due = due | now
         if comp is not None:
-            of = lambda side: comp.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))  # noqa: B023, E731
+            of = lambda side: comp.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")).hint("merge")  # noqa: B023, E731
             rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
         new = confirmed(rest, sets)
         new = stored(new if comp is not None else new.unionByName(same), "confirmed")
@@ -283,10 +284,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     if more is not None:
         links = stored(more, "confirmed").unionByName(comp.select(F.col("id").alias("a"), F.col("component").alias("b")))
         comp = stored(components(links), "components")
-    owner = classes.select("fp", "rep", F.col("node").alias("id")).join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    owner = classes.select("fp", "rep", F.col("node").alias("id")).join(comp.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = owner.groupBy("component").agg(F.min("rep").alias("component_id"))
-    owner = owner.join(smallest, "component").select("fp", "component_id")
-    out = f.join(owner, "fp", "left")
+    owner = owner.join(smallest.hint("merge"), "component").select("fp", "component_id")
+    out = f.join(owner.hint("merge"), "fp", "left")
     c = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     c = F.when(F.col("doc_id").isNotNull(), c)
     return out.select("doc_id", "n_shingles", c.alias("component_id"), F.col("doc_id").eqNullSafe(c).alias("kept"))

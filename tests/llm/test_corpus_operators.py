@@ -55,6 +55,20 @@ def test_components(spark):
     assert got == {**{i: 100 for i in range(100, 161)}, 1: 1, 2: 1, 7: 1}
 
 
+def test_components_in_few_jobs(spark):
+    """What a round costs the driver: its two exchanges, the table and a look at it."""
+    links = spark.range(300).selectExpr("id as a", "id - id % 3 as b")
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("components-test", "")
+    try:
+        got = components.components(links)
+        jobs = len(seen.getJobIdsForGroup("components-test"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.id: r.component for r in got.collect()} == {i: i - i % 3 for i in range(300)}
+    assert jobs <= 10, jobs
+
+
 def test_suffix_dedup(spark):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame(spark)).collect()}
     assert got == repeats(ROWS)
