@@ -44,8 +44,7 @@ def valid_ip(x: Column | str) -> Column:
 
 def ipv4_number(x: Column | str) -> Column:
     """IPv4 text as a number, null for anything else."""
-    parts = F.split(c(x), "\\.")
-    n = reduce(lambda a, i: a * 256 + F.try_element_at(parts, F.lit(i)).try_cast("long"), range(1, 5), F.lit(0).cast("long"))
+    n = F.aggregate(F.split(c(x), "\\."), F.lit(0).cast("long"), lambda a, part: a * 256 + part.try_cast("long"))
     return F.when(c(x).rlike(IPV4), n)
 
 
@@ -57,10 +56,10 @@ def is_internal(x: Column | str, networks: tuple[str, ...] = INTERNAL) -> Column
     """Whether an address is in one of the networks; false for what is no IPv4."""
     import ipaddress
 
-    n, out = ipv4_number(x), F.lit(False)
-    for net in map(ipaddress.ip_network, networks):
-        out = out | n.between(int(net.network_address), int(net.broadcast_address))
-    return F.coalesce(out, F.lit(False))
+    bounds = [(int(net.network_address), int(net.broadcast_address)) for net in map(ipaddress.ip_network, networks)]
+    # a lambda's argument is computed once, however many networks look at it
+    inside = F.exists(F.array(ipv4_number(x)), lambda n: reduce(lambda a, b: a | b, [n.between(lo, hi) for lo, hi in bounds], F.lit(False)))
+    return F.coalesce(inside, F.lit(False))
 
 
 def normalize_cmdline(x: Column | str) -> Column:

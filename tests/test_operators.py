@@ -33,6 +33,8 @@ def test_ip(spark, text, want):
 def test_internal_and_cmdline(spark):
     assert one(spark, "172.31.255.255", "string", S.is_internal)
     assert not one(spark, "172.32.0.0", "string", S.is_internal)
+    # the address is read once for all networks
+    assert spark.sql("SELECT '10.0.0.1' AS x").select(S.is_internal("x").alias("y"))._jdf.queryExecution().analyzed().toString().count("RLIKE") == 1
     assert one(spark, "C:\\Win\\cmd.exe  /c 10.1.2.3 deadbeefcafe 42", "string", S.normalize_cmdline) == "<PATH> <PATH> <IP> <HEX> <NUM>"
     assert one(spark, "", "string", S.normalize_cmdline) == "unknown"
 
