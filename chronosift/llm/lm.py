@@ -22,10 +22,9 @@ window scores all of its positions, later ones only those that the window before
 did not reach, with at least WINDOW - FRESH ids of context.
 
 Documents are dealt into blocks of bounded size. A block counts its distinct
-words; counts are summed per word, each distinct word is encoded once, and both
-are joined back to the blocks that hold the word (a sort-merge join, which AQE
-splits where a word is in very many blocks). No task holds the corpus'
-vocabulary.
+words; these move once, by word, in order: a word's counts are summed, it is
+encoded once, and both go back to the blocks that hold the word, a few rows of
+compressed words a block. No task holds the corpus' vocabulary.
 
 Cases: null and empty texts have the end token alone; a null doc_id counts as a
 training document; with no training document all counts are zero; repeated rows
@@ -75,6 +74,8 @@ TOKENS = 1 << 19
 BATCH, POSITIONS, TABLE = 128, 1 << 16, 1 << 20
 #: Numbers of a weight array in one row of the averaging.
 CHUNK = 1 << 14
+#: Words of all blocks that are packed at a time, about.
+PACK_ROWS = 200_000
 
 
 def held_out() -> Column:
@@ -498,24 +499,16 @@ class Scorer:
         return self
 
 
-def subword_counts(words: DataFrame, ends: int, name: str = WORD_BPE) -> np.ndarray:
-    """How often each id occurs in the texts that `words` (c, ids) counts, and
-    the end in last place; the result is as long as the vocabulary."""
-    size = vocabulary_size(name)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
-        for b in slices(batches, "ids"):
-            flat = b"".join(ids := b.column("ids").to_pylist())
-            total += np.bincount(np.frombuffer(flat, "<u4"), np.repeat(b.column("c").to_numpy(), [len(x) // 4 for x in ids]), size)
-        seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen), pa.array(total[seen].astype(np.int64))], names=["id", "n"])
-
-    out = np.zeros(size + 1, np.int64)
-    for r in words.where("c > 0").select("c", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        out[r.id] = r.n
-    out[size] = ends
-    return out
+def subword_counts(totals: DataFrame, name: str = WORD_BPE) -> tuple[np.ndarray, int, int]:
+    """How often each id occurs in the training texts, with a place for the end, and
+    the number of words and of distinct words there; totals: (id, n) of `word_packs`."""
+    out, sums = np.zeros(vocabulary_size(name) + 1, np.int64), {N_WORDS: 0, N_DISTINCT: 0}
+    for r in totals.groupBy("id").agg(F.sum("n").alias("n")).collect():  # one row per id of the vocabulary
+        if r.id < 0:
+            sums[r.id] = r.n
+        else:
+            out[r.id] = r.n
+    return out, sums[N_WORDS], sums[N_DISTINCT]
 
 
 def start(docs: DataFrame, scorer: Scorer, limit: int = START_DOCS) -> Scorer:
@@ -584,7 +577,7 @@ def packed(docs: DataFrame, n_blocks: int) -> DataFrame:
 
 
 def unpacked(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """For each packed row its block, and doc_id, held_out and text."""
+    """For each packed row its block and what it holds: doc_id, held_out and text, or words."""
     for block, data in zip(b.column("block").to_pylist(), b.column("data")):
         for part in pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks().to_batches():
             yield block, part
@@ -703,16 +696,73 @@ def block_words(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, "block int, word binary, n long")
 
 
-def with_ids(counts: DataFrame, name: str = WORD_BPE) -> DataFrame:
-    """(word, c, ids): each distinct word's subword ids, encoded once."""
+#: In place of an id in the totals of `word_packs`.
+N_WORDS, N_DISTINCT = -1, -2
+
+
+def word_packs(held: DataFrame, name: str = WORD_BPE) -> DataFrame:
+    """(block, data, id, n) from each block's (block, word, n). Rows with a block
+    hold some of its words as a compressed Arrow stream of word, c (the count over
+    all blocks) and ids (encoded once for all blocks); rows without one hold how
+    often the training texts have an id. Words move once; a word has one row a
+    block at most, in order, so no task holds more than PACK_ROWS of them."""
+    stream = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("ids", pa.binary())])
+
+    def packs(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        t = pa.concat_tables(parts)
+        block = t.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        t, block = t.take(pa.array(order)).select(stream.names).combine_chunks(), block[order]
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, stream, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                to.write_table(t.slice(lo, hi - lo))
+            yield row(pa.array(block[lo : lo + 1], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()))
+
+    row = lambda *columns: pa.record_batch([*columns], names=["block", "data", "id", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
-        memo = chunk_ids(name, WORDS_KEPT)
-        for b in slices(batches, "word"):
-            yield pa.record_batch([b.column("word"), b.column("c"), pa.array([memo.compute(w.decode()) for w in b.column("word").to_pylist()], pa.binary())], names=["word", "c", "ids"])
+        memo, total, n_words, distinct = chunk_ids(name, WORDS_KEPT), np.zeros(vocabulary_size(name)), 0, 0
+        last, parts, rows = None, [], 0
+
+        def finished(t: pa.Table) -> pa.Table:
+            """Rows of whole words with their counts and ids; the totals are added to."""
+            nonlocal n_words, distinct
+            word = t.column("word").combine_chunks().dictionary_encode()
+            word = word.combine_chunks() if isinstance(word, pa.ChunkedArray) else word
+            at = word.indices.to_numpy()
+            c = np.bincount(at, t.column("n").to_numpy(), len(word.dictionary)).astype(np.int64)
+            ids = [memo.compute(w.decode()) for w in word.dictionary.to_pylist()]
+            sizes = np.array([len(x) // 4 for x in ids])
+            total[:] += np.bincount(np.frombuffer(b"".join(ids), "<u4"), np.repeat(c, sizes), len(total))
+            n_words, distinct = n_words + int(c.sum()), distinct + int((c > 0).sum())
+            return pa.table([t.column("block"), t.column("word"), pa.array(c[at]), pa.array(ids, pa.binary()).take(word.indices)], names=["block", *stream.names])
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([last, t]).combine_chunks() if last is not None else t
+            if not t.num_rows:
+                continue
+            # the last word may go on in the next batch
+            at = pc.index(t.column("word"), t.column("word")[-1]).as_py()
+            last = t.slice(at)
+            if at:
+                parts.append(finished(t.slice(0, at)))
+                rows += at
+            if rows >= PACK_ROWS:
+                yield from packs(parts)
+                parts, rows = [], 0
+        if last is not None and last.num_rows:
+            parts.append(finished(last))
+        if parts:
+            yield from packs(parts)
+        seen = np.flatnonzero(total)
+        ids, n = [*seen.tolist(), N_WORDS, N_DISTINCT], [*total[seen].astype(np.int64).tolist(), n_words, distinct]
+        yield row(pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()))
 
-    return counts.mapInArrow(run, "word binary, c long, ids binary")
+    return held.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block int, data binary, id long, n long")
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -753,22 +803,19 @@ def lm_scores(docs: DataFrame, name: str = WORD_BPE, limit: int = START_DOCS) ->
     t = texts_of(docs).withColumn("held_out", held_out())
     size = t.agg(F.sum(F.octet_length("text")).alias("bytes"), F.coalesce(F.sum(F.when(F.col("held_out"), 0).otherwise(1)), F.lit(0)).alias("docs")).first()
     n_blocks = max(1, -(-(size["bytes"] or 0) // BLOCK_BYTES))
-    deal = lambda d: d.repartitionById(n_blocks, F.col("block"))
     blocks = stored(packed(docs, n_blocks), "packed-texts")
-    held = stored(block_words(blocks), "block-words")
-    counts = stored(with_ids(held.groupBy("word").agg(F.sum("n").alias("c")), name), "word-counts")
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    packs = stored(word_packs(block_words(blocks), name), "word-packs")
     ends = int(size["docs"])
-    v = Vocabulary.of_counts(subword_counts(counts, ends, name))
+    counts, n_words, n_distinct = subword_counts(packs.where("id is not null").select("id", "n"), name)
+    counts[-1] = ends
+    v = Vocabulary.of_counts(counts)
     scorer = Scorer(v, Attention(v.n_classes, vocabulary=v), name)
     scorer = learn_blocks(blocks, start(docs, scorer, limit), n_blocks)
-    total, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
+    total, distinct = n_words + ends, n_distinct + (ends > 0)
     below = float(np.log10(total + distinct + 1))
     end = float(np.log10(ends + 1.0))
-    nothing = lambda kind: F.lit(None).cast(kind)
-    packs = [c.split() for c in PACKED.split(", ")[1:]]
-    words = held.select("block", "word").hint("merge").join(counts, "word").select("block", F.lit(0).alias("kind"), "word", "c", "ids", *[nothing(t).alias(c) for c, t in packs])
-    texts = blocks.select("block", F.lit(1).alias("kind"), nothing("binary").alias("word"), nothing("long").alias("c"), nothing("binary").alias("ids"), *[c for c, _ in packs])
+    kind = lambda k: F.lit(k).alias("kind")
+    rows = packs.where("block is not null").select("block", kind(0), "data").unionByName(blocks.select("block", kind(1), "data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
@@ -787,7 +834,8 @@ def lm_scores(docs: DataFrame, name: str = WORD_BPE, limit: int = START_DOCS) ->
                         yield score(joined(waiting), own)
                     block, own, last, waiting = k, _Block(), None, []
                 if kind == 0:
-                    own.add(part)
+                    for _, words in unpacked(part):
+                        own.add(words)
                     continue
                 if last is None:
                     own.close()
@@ -828,4 +876,4 @@ def lm_scores(docs: DataFrame, name: str = WORD_BPE, limit: int = START_DOCS) ->
         values = [b.column("doc_id"), b.column("held_out"), n, known, [total] * len(n), base, scores]
         return pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(values, kinds)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return deal(words.unionByName(texts)).sortWithinPartitions("block", "kind").mapInArrow(run, SCORES)
+    return rows.repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", "kind").mapInArrow(run, SCORES)

@@ -283,6 +283,21 @@ def small_scorer() -> lm.Scorer:
     return s.start_from(np.vstack([w for i, t in enumerate(texts) for w in s.segments(t, i, 1)]))
 
 
+def test_lm_words_move_once(spark, monkeypatch):
+    """Counts go back to the blocks in packs: no join of a row per word and block, whose rows were most of the disk."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm, "PACK_ROWS", 50)
+    held = [(k, w.encode(), n) for k in range(30) for w, n in (("all", k), ("unseen", 0), (f"own{k}", 2), (f"third{k % 3}", 1))]
+    rows = lm.word_packs(spark.createDataFrame(held, "block int, word binary, n long").repartition(4)).collect()
+    got = [(k, w, c) for r in rows if r.data for k, t in lm.unpacked(pa.record_batch({"block": [r.block], "data": [bytes(r.data)]})) for w, c in zip(t.column("word").to_pylist(), t.column("c").to_pylist())]
+    count = lambda w, k: {"a": 435, "u": 0, "o": 2, "t": 10}[w[:1].decode()]
+    assert sorted(got) == sorted((k, w, count(w, k)) for k, w, _ in held)
+    total = lambda i: sum(r.n for r in rows if r.id == i)
+    assert (total(lm.N_WORDS), total(lm.N_DISTINCT)) == (435 + 60 + 30, 1 + 30 + 3)
+    assert "Join" not in lm.lm_scores(frame(spark, ROWS[:5]))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lm_score_is_that_of_a_naive_model():
     s = small_scorer()
     texts = ["", "x", words(3, 5), words(4, 90), words(5, 200) + " 日本語 ñ", ROWS[12][1]]
