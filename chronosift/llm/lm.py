@@ -24,7 +24,9 @@ did not reach, with at least WINDOW - FRESH ids of context.
 Documents are dealt into blocks of bounded size. A block counts its distinct
 words; these move once, by word, in order: a word's counts are summed, it is
 encoded once, and both go back to the blocks that hold the word, a few rows of
-compressed words a block. No task holds the corpus' vocabulary.
+compressed words a block. No task holds the corpus' vocabulary. A block's words
+meet its documents once, whose ids are then kept: learning and scoring read ids,
+not texts.
 
 Cases: null and empty texts have the end token alone; a null doc_id counts as a
 training document; with no training document all counts are zero; repeated rows
@@ -168,35 +170,41 @@ class Attention:
         out, rest = self._logits(x)
         return _softmax(out).reshape(*x.shape, self.n), rest
 
+    def _wide(self) -> np.ndarray:
+        return np.hstack([self.p["q"] * np.float32(DIM**-0.5), self.p["k"], self.p["v"]])
+
     def _logits(self, x: np.ndarray) -> tuple:
         p = self.p
-        h = p["e"][x] + p["pos"]
-        q, k, v = np.split(h @ np.hstack([p["q"], p["k"], p["v"]]), 3, axis=-1)
-        s = self._attend(q * np.float32(DIM**-0.5), k)
-        s /= s.sum(-1, keepdims=True)
-        c = s @ v
-        y = h + c @ p["o"]
-        a = self._head(y.reshape(-1, DIM))
-        return a @ np.vstack([p["w2"], p["w3"], p["b"]]), (h, q, k, v, s, c, y, a)
+        h = p["e"].take(x, 0)
+        h += p["pos"]
+        h = h.reshape(-1, DIM)
+        q, k, v = np.split((h @ self._wide()).reshape(*x.shape, -1), 3, axis=-1)
+        s = self._attend(q, k)
+        s /= s @ np.ones((WINDOW, 1), np.float32)
+        c = (s @ v).reshape(-1, DIM)
+        y = c @ p["o"]
+        y += h
+        a = self._head(y)
+        return a @ np.vstack([p["w2"], p["w3"], p["b"]]), (h, q, k, v, s, c, a)
 
     def _head(self, y: np.ndarray) -> np.ndarray:
         """What the classes' logits are linear in: hidden values, y and 1."""
-        a = np.ones((len(y), HIDDEN + DIM + 1), np.float32)
-        np.maximum(y @ self.p["w1"] + self.p["b1"], 0, out=a[:, :HIDDEN])
-        a[:, HIDDEN:-1] = y
+        a = np.empty((len(y), HIDDEN + DIM + 1), np.float32)
+        a[:, HIDDEN:-1], a[:, -1] = y, 1
+        np.maximum(a[:, HIDDEN:] @ np.vstack([self.p["w1"], self.p["b1"]]), 0, out=a[:, :HIDDEN])
         return a
 
     def _attend(self, q: np.ndarray, k: np.ndarray, bounded: bool = False) -> np.ndarray:
         """Unnormalised attention of every position to itself and those before it."""
         s = q @ k.transpose(0, 2, 1)
-        if not bounded:
+        if not bounded and not s.max(initial=0) < 60:
             np.minimum(s, 60, out=s)
         np.exp(s, out=s)
-        s *= self.seen
+        s *= self.seen[-s.shape[1] :]
         return s
 
-    def body(self, x: np.ndarray) -> np.ndarray:
-        """What `forward` computes below the head. The projections of every
+    def body(self, x: np.ndarray, first: int = 0) -> np.ndarray:
+        """What `forward` computes below the head, for places from `first` on. The projections of every
         embedding and place are looked up, as they are sums of one of each; a
         column of ones beside the values gives the sum of the attention."""
         if self.table is None:
@@ -209,10 +217,10 @@ class Attention:
             self.top = np.vstack([p["w2"], p["w3"], p["b"]])
         g = self.table.take(x, 0)
         g += self.places
-        s = self._attend(g[..., :DIM], g[..., DIM : 2 * DIM], self.bounded)
+        s = self._attend(g[:, first:, :DIM], g[..., DIM : 2 * DIM], self.bounded)
         c = s @ g[..., 3 * DIM :]
         c[..., :DIM] /= c[..., DIM:]
-        return g[..., 2 * DIM : 3 * DIM] + c[..., :DIM]
+        return g[:, first:, 2 * DIM : 3 * DIM] + c[..., :DIM]
 
     def chosen(self, y: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of one class at each position."""
@@ -220,70 +228,90 @@ class Attention:
         top = self.top if self.table is not None else np.vstack([p["w2"], p["w3"], p["b"]])
         return _log_softmax_at(self._head(y) @ top, target)
 
-    def inside(self, y: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, slice, np.ndarray, np.ndarray]]:
-        """For each class of several ids: some of its positions, its slice of
-        `u`, the logits of its ids there, the targets' places; no table of
+    def several(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[slice, slice]]]:
+        """The positions whose class has several ids, by class, and the targets'
+        places in their classes; for each class its slice of `u`, and the slice
+        of those positions that it has. Positions are split so that no table of
         logits has much more than TABLE numbers."""
         v = self.vocabulary
-        rank, c = v.rank[ids], v.class_of[ids]
-        at = np.flatnonzero(np.diff(v.edges)[c] > 1)
-        at = at[np.argsort(c[at], kind="stable")]
-        cuts = np.flatnonzero(np.diff(c[at])) + 1
-        for group in np.split(at, cuts) if len(at) else ():
-            k = c[group[0]]
-            lo, hi = int(v.edges[k]), int(v.edges[k + 1])
-            u, prior = self.p["u"][lo:hi].T, self.prior[lo:hi]
-            step = max(1, TABLE // (hi - lo))
-            for first in range(0, len(group), step):
-                rows = group[first : first + step]
-                out = y[rows] @ u
-                out += prior
-                yield rows, slice(lo, hi), out, rank[rows] - lo
+        c = v.class_of[ids]
+        at = np.flatnonzero((np.diff(v.edges) > 1)[c])
+        at = at[np.argsort(c[at].astype(np.uint16), kind="stable")]
+        c = c[at]
+        parts = []
+        cuts = [0, *(np.flatnonzero(np.diff(c)) + 1).tolist(), len(c)]
+        for first, last in zip(cuts, cuts[1:]):
+            if first < last:
+                own = slice(*v.edges[c[first] : c[first] + 2].tolist())
+                step = max(1, TABLE // (own.stop - own.start))
+                parts += [(own, slice(lo, min(last, lo + step))) for lo in range(first, last, step)]
+        return at, v.rank[ids[at]] - v.edges[c], parts
+
+    def inside(self, y: np.ndarray, own: slice) -> np.ndarray:
+        """Logits of the ids of a class of several."""
+        out = y @ self.p["u"][own].T
+        out += self.prior[own]
+        return out
 
     def chosen_id(self, y: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Log-probability of one id within its class at each position."""
-        own = np.zeros(len(ids))
-        for rows, _, out, place in self.inside(y, ids):
-            own[rows] = _log_softmax_at(out, place)
-        return own
+        at, place, parts = self.several(ids)
+        y, own = y.take(at, 0), np.zeros(len(at))
+        for ids_of, rows in parts:
+            own[rows] = _log_softmax_at(self.inside(y[rows], ids_of), place[rows])
+        out = np.zeros(len(ids))
+        out[at] = own
+        return out
 
     def gradients(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray, ids: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], dict[tuple[int, int], np.ndarray]]:
         """Of the mean loss: of all arrays but `u`, and of the slices of `u` that the ids concern."""
-        p = self.p
-        d, (h, q, k, v, s, c, y, a) = self._logits(x)
+        p, wide = self.p, self._wide()
+        d, (h, q, k, v, s, c, a) = self._logits(x)
+        y = a[:, HIDDEN:-1]
         share = (weight / weight.sum()).astype(np.float32).ravel()
         _errors(d, target.ravel(), share)
-        flat = lambda a: a.reshape(-1, a.shape[-1])
         top = a.T @ d
         g = {"w2": top[:HIDDEN], "w3": top[HIDDEN:-1], "b": top[-1]}
         da = d @ np.vstack([p["w2"], p["w3"]]).T
-        dz = da[:, :HIDDEN] * (a[:, :HIDDEN] > 0)
-        g["w1"], g["b1"] = flat(y).T @ dz, dz.sum(0)
-        dy = (da[:, HIDDEN:] + dz @ p["w1"].T).reshape(y.shape)
+        dz = da[:, :HIDDEN]
+        dz *= a[:, :HIDDEN] > 0
+        low = a[:, HIDDEN:].T @ dz
+        g["w1"], g["b1"] = low[:-1], low[-1]
+        dy = dz @ p["w1"].T
+        dy += da[:, HIDDEN:]
         du: dict[tuple[int, int], np.ndarray] = {}
         if ids is not None:
             real = np.flatnonzero(share)
-            ys, dys, part = flat(y)[real], np.zeros((len(real), DIM), np.float32), share[real]
-            for rows, at, e, place in self.inside(ys, ids.ravel()[real]):
-                _errors(e, place, part[rows])
-                key = (at.start, at.stop)
-                new = e.T @ ys[rows]
+            at, place, parts = self.several(ids.ravel()[real])
+            at = real[at]
+            ys, dys, part = y.take(at, 0), np.empty((len(at), DIM), np.float32), share[at]
+            for own, rows in parts:
+                e = self.inside(ys[rows], own)
+                _errors(e, place[rows], part[rows])
+                key, new = (own.start, own.stop), e.T @ ys[rows]
                 du[key] = du[key] + new if key in du else new
-                dys[rows] = e @ p["u"][at]
-            flat(dy)[real] += dys
-        g["o"] = flat(c).T @ flat(dy)
+                np.matmul(e, p["u"][own], out=dys[rows])
+            dy[at] += dys
+        g["o"] = c.T @ dy
         dc = dy @ p["o"].T
+        # the attention's mean of the errors of its weights is that of the values' errors
+        mean = (dc * c) @ np.ones(DIM, np.float32)
+        dc = dc.reshape(*x.shape, DIM)
         ds = dc @ v.transpose(0, 2, 1)
-        dv = s.transpose(0, 2, 1) @ dc
-        ds -= (ds * s).sum(-1, keepdims=True)
+        ds -= mean.reshape(*x.shape, 1)
         ds *= s
-        ds *= np.float32(DIM**-0.5)
-        below = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], -1)
-        g["q"], g["k"], g["v"] = np.split(flat(h).T @ flat(below), 3, axis=1)
-        dh = dy + below @ np.hstack([p["q"], p["k"], p["v"]]).T
-        g["pos"] = dh.sum(0)
-        rows, dh = x.ravel(), flat(dh)
-        g["e"] = np.stack([np.bincount(rows, dh[:, n], len(p["e"])) for n in range(DIM)], 1).astype(np.float32)
+        below = np.empty((*x.shape, 3 * DIM), np.float32)
+        np.matmul(ds, k, out=below[..., :DIM])
+        np.matmul(ds.transpose(0, 2, 1), q, out=below[..., DIM : 2 * DIM])
+        np.matmul(s.transpose(0, 2, 1), dc, out=below[..., 2 * DIM :])
+        below = below.reshape(-1, 3 * DIM)
+        g["q"], g["k"], g["v"] = np.split(h.T @ below, 3, axis=1)
+        g["q"] = g["q"] * np.float32(DIM**-0.5)
+        dh = below @ wide.T
+        dh += dy
+        g["pos"] = dh.reshape(len(x), -1).sum(0).reshape(-1, DIM)
+        places = (x.ravel() * DIM)[:, None] + np.arange(DIM)
+        g["e"] = np.bincount(places.ravel(), dh.ravel(), p["e"].size).astype(np.float32).reshape(p["e"].shape)
         return g, du
 
     def trainer(self, rate: float) -> Trainer:
@@ -301,30 +329,41 @@ class Attention:
 
 
 class Trainer:
-    """Steps with moments of the gradients; slices of `u` have moments of their own and are touched only where ids occur."""
+    """Steps with moments of the gradients; slices of `u` have moments of their own and are touched only where ids occur.
+    All other arrays become views of one, which a step moves at once."""
 
     def __init__(self, model: Attention, rate: float):
         self.model, self.rate, self.t = model, rate, 0
-        zeros = lambda: {k: np.zeros_like(v) for k, v in model.p.items()}
-        self.m, self.s = zeros(), zeros()
+        self.names = [k for k in model.p if k != "u"]
+        self.p = np.concatenate([model.p[k].ravel() for k in self.names])
+        ends = np.cumsum([model.p[k].size for k in self.names])
+        model.p.update({k: part.reshape(model.p[k].shape) for k, part in zip(self.names, np.split(self.p, ends[:-1]))})
+        zeros = lambda p: (np.zeros_like(p), np.zeros_like(p))
+        self.moments, self.u_moments = zeros(self.p), zeros(model.p["u"]) if "u" in model.p else ()
         self.touched: dict[tuple[int, int], int] = {}
 
     def _move(self, p: np.ndarray, m: np.ndarray, s: np.ndarray, g: np.ndarray, t: int, rate: float) -> None:
+        """m and s are 10 and 100 times the moments, so that gradients are added as they are; overwrites g."""
         m *= np.float32(0.9)
-        m += np.float32(0.1) * g
+        m += g
         s *= np.float32(0.99)
-        s += np.float32(0.01) * g * g
-        p -= np.float32(rate / (1 - 0.9**t)) * m / (np.sqrt(s / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+        g *= g
+        s += g
+        scale = (0.01 / (1 - 0.99**t)) ** 0.5
+        np.sqrt(s, out=g)
+        g += np.float32(1e-8 / scale)
+        np.divide(m, g, out=g)
+        g *= np.float32(0.1 * rate / (1 - 0.9**t) / scale)
+        p -= g
 
     def step(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray, ids: np.ndarray | None, factor: float) -> None:
         g, du = self.model.gradients(x, target, weight, ids)
         self.t += 1
-        p, rate = self.model.p, self.rate * factor
-        for k, v in g.items():
-            self._move(p[k], self.m[k], self.s[k], v, self.t, rate)
+        rate = self.rate * factor
+        self._move(self.p, *self.moments, np.concatenate([g[k].ravel() for k in self.names]), self.t, rate)
         for (lo, hi), v in du.items():
             t = self.touched[lo, hi] = self.touched.get((lo, hi), 0) + 1
-            self._move(p["u"][lo:hi], self.m["u"][lo:hi], self.s["u"][lo:hi], v, t, rate)
+            self._move(self.model.p["u"][lo:hi], *[part[lo:hi] for part in self.u_moments], v, t, rate)
         self.model.table = None
 
 
@@ -340,23 +379,23 @@ def _softmax(out: np.ndarray) -> np.ndarray:
 def _errors(out: np.ndarray, target: np.ndarray, share: np.ndarray) -> None:
     """In place: each row's softmax less 1 at its target, times its share. Rows
     are moved as in `_log_softmax_at`."""
-    rows = np.arange(len(out))
-    if not (out.max(initial=0) < 80 and out[rows, target].min(initial=0) > -80):
+    flat, at = out.reshape(-1), np.arange(0, out.size, out.shape[1]) + target
+    if not (out.max(initial=0) < 80 and flat.take(at).min(initial=0) > -80):
         out -= out.max(-1, keepdims=True)
     np.exp(out, out=out)
     out *= (share / (out @ np.ones(out.shape[1], np.float32)))[:, None]
-    out[rows, target] -= share
+    flat[at] -= share
 
 
 def _log_softmax_at(out: np.ndarray, target: np.ndarray) -> np.ndarray:
     """One entry a row of the log-softmax; overwrites `out`. Rows are moved to
     a maximum of 0 only where single-precision powers of e need it: not if
     nothing is above 80 and each row has an entry, the target's, above -80."""
-    rows = np.arange(len(out))
-    own = out[rows, target]
+    at = np.arange(0, out.size, out.shape[1]) + target
+    own = out.take(at)
     if not (out.max(initial=0) < 80 and own.min(initial=0) > -80):
         out -= out.max(-1, keepdims=True)
-        own = out[rows, target]
+        own = out.take(at)
     np.exp(out, out=out)
     return own - np.log(out @ np.ones(out.shape[1], np.float32))
 
@@ -436,17 +475,20 @@ class Scorer:
         steps = np.arange(WINDOW)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         n_held = 0
-        for at in range(0, len(starts), BATCH):
-            s, f, r = starts[at : at + BATCH, None], first[at : at + BATCH, None], room[at : at + BATCH, None]
+        # documents' first windows, then the others: of each only the places that it scores are computed
+        batches = [(f, own[at : at + BATCH]) for f in (0, WINDOW - FRESH) for own in [np.flatnonzero(first == f)] for at in range(0, len(own), BATCH)]
+        for nth, (f, own) in enumerate(batches, 1):
+            s, r = starts[own, None], room[own, None]
             inside = steps < r
             places = np.where(inside, s + steps, s)
-            y = self.model.body(x[places])
-            scored = np.flatnonzero(inside & (steps >= f))
-            y, hit = y.reshape(-1, DIM)[scored], places.ravel()[scored]
-            log_p[hit] = self.model.chosen(y, wanted[hit])  # only what this window scores
+            y = self.model.body(x.take(places), f).reshape(-1, DIM)
+            inside, hit = inside[:, f:].ravel(), places[:, f:].ravel()
+            if not inside.all():
+                y, hit = y[inside], hit[inside]
+            log_p[hit] = self.model.chosen(y, wanted.take(hit))
             held.append((y, hit))
             n_held += len(hit)
-            if n_held >= POSITIONS or at + BATCH >= len(starts):
+            if n_held >= POSITIONS or nth == len(batches):
                 y, hit = (np.concatenate(part) for part in zip(*held))
                 log_p[hit] += self.model.chosen_id(y, target[hit])
                 held, n_held = [], 0
@@ -528,8 +570,21 @@ def start(docs: DataFrame, scorer: Scorer, limit: int = START_DOCS) -> Scorer:
     return scorer.start_from(np.frombuffer(b"".join(w for _, w in rows), "<i4").reshape(-1, 3 * WINDOW))
 
 
-#: A row of some documents: doc_id, held_out and text as a compressed Arrow stream.
-PACKED = "block int, data binary"
+#: A row of some documents as a compressed Arrow stream, and its number in the block: doc_id, held_out and text, or IDS.
+PACKED = "block int, part int, data binary"
+#: What is known of a document once its words have their counts and ids; ids with the end in last place.
+IDS = ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "ids")
+
+
+def stream_of(t: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_table(t)
+    return out.getvalue().to_pybytes()
+
+
+def packed_row(block: int, part: int, t: pa.Table) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([stream_of(t)], pa.binary())], names=["block", "part", "data"])
 
 
 def in_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
@@ -543,13 +598,8 @@ def packed(docs: DataFrame, n_blocks: int) -> DataFrame:
     block's documents are in the order of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, size = None, [], 0
-
-        def row() -> pa.RecordBatch:
-            out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-                stream.write_table(pa.Table.from_batches(held).combine_chunks())
-            return pa.record_batch([pa.array([block], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
+        block, nth, held, size = None, 0, [], 0
+        row = lambda: packed_row(block, nth, pa.Table.from_batches(held).combine_chunks())
 
         for s in slices(batches, size=LEARN_BYTES):
             of = s.column("block").to_numpy()
@@ -562,7 +612,7 @@ def packed(docs: DataFrame, n_blocks: int) -> DataFrame:
                 while at < len(ends):
                     if held and (of[lo] != block or size >= LEARN_BYTES):
                         yield row()
-                        held, size = [], 0
+                        nth, held, size = nth + 1 if of[lo] == block else 0, [], 0
                     before = int(ends[at - 1]) if at else 0
                     upto = min(len(ends), int(np.searchsorted(ends, before + max(1, LEARN_BYTES - size), "left")) + 1)
                     held.append(part.slice(at, upto - at))
@@ -577,15 +627,33 @@ def packed(docs: DataFrame, n_blocks: int) -> DataFrame:
 
 
 def unpacked(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """For each packed row its block and what it holds: doc_id, held_out and text, or words."""
+    """For each packed row its block and what it holds."""
     for block, data in zip(b.column("block").to_pylist(), b.column("data")):
         for part in pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks().to_batches():
             yield block, part
 
 
+def ids_array(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A list of ids for each length, in two bytes an id where they fit."""
+    kind = np.uint16 if ids.max(initial=0) < 1 << 16 else np.uint32
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(ids.astype(kind)))
+
+
+def ids_in(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after another, and how many each list has."""
+    return lists.flatten().to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy().astype(np.int64)
+
+
 def learn(docs: DataFrame, scorer: Scorer, n_blocks: int, share: int = 1, rate: float = 2e-3) -> Scorer:
-    """`learn_blocks` of documents dealt into so many blocks."""
-    return learn_blocks(stored(packed(docs, n_blocks), "packed-texts"), scorer, n_blocks, share, rate)
+    """`learn_blocks` of documents dealt into so many blocks, which are encoded as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
+        for b in batches:
+            for at, (k, own) in enumerate(unpacked(b)):
+                yield packed_row(k, b.column("part")[at].as_py(), pa.table([own.column("held_out"), ids_array(*scorer.encoded(own.column("text")))], names=["held_out", "ids"]))
+
+    return learn_blocks(stored(packed(docs, n_blocks).mapInArrow(run, PACKED), "packed-ids"), scorer, n_blocks, share, rate)
 
 
 def learn_blocks(blocks: DataFrame, scorer: Scorer, n_blocks: int, share: int = 1, rate: float = 2e-3) -> Scorer:
@@ -632,7 +700,7 @@ def _round(blocks: DataFrame, scorer: Scorer, share: int, rate: float, done: int
                 own = own.filter(pc.invert(own.column("held_out")))
                 if not own.num_rows:
                     continue
-                ids, lengths = scorer.encoded(own.column("text"))
+                ids, lengths = ids_in(own.column("ids"))
                 x = scorer.inputs(ids, lengths)
                 starts, room = side_by_side(lengths)
                 order = np.random.default_rng(len(starts)).permutation(len(starts))[::share]
@@ -706,19 +774,16 @@ def word_packs(held: DataFrame, name: str = WORD_BPE) -> DataFrame:
     all blocks) and ids (encoded once for all blocks); rows without one hold how
     often the training texts have an id. Words move once; a word has one row a
     block at most, in order, so no task holds more than PACK_ROWS of them."""
-    stream = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("ids", pa.binary())])
+    names = ["word", "c", "ids"]
 
     def packs(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         t = pa.concat_tables(parts)
         block = t.column("block").to_numpy()
         order = np.argsort(block, kind="stable")
-        t, block = t.take(pa.array(order)).select(stream.names).combine_chunks(), block[order]
+        t, block = t.take(pa.array(order)).select(names).combine_chunks(), block[order]
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
         for lo, hi in zip(cuts, cuts[1:]):
-            out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, stream, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
-                to.write_table(t.slice(lo, hi - lo))
-            yield row(pa.array(block[lo : lo + 1], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()))
+            yield row(pa.array(block[lo : lo + 1], pa.int32()), pa.array([stream_of(t.slice(lo, hi - lo))], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()))
 
     row = lambda *columns: pa.record_batch([*columns], names=["block", "data", "id", "n"])
 
@@ -738,7 +803,7 @@ def word_packs(held: DataFrame, name: str = WORD_BPE) -> DataFrame:
             sizes = np.array([len(x) // 4 for x in ids])
             total[:] += np.bincount(np.frombuffer(b"".join(ids), "<u4"), np.repeat(c, sizes), len(total))
             n_words, distinct = n_words + int(c.sum()), distinct + int((c > 0).sum())
-            return pa.table([t.column("block"), t.column("word"), pa.array(c[at]), pa.array(ids, pa.binary()).take(word.indices)], names=["block", *stream.names])
+            return pa.table([t.column("block"), t.column("word"), pa.array(c[at]), pa.array(ids, pa.binary()).take(word.indices)], names=["block", *names])
 
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -796,65 +861,50 @@ class _Block:
         self.flat = flat[at]
         del self.words, self.parts
 
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        """The ids of words of such numbers one after another."""
+        k = self.n[at]
+        out = np.repeat(self.first[at] - (np.cumsum(k, dtype=np.int32) - k), k)
+        out += np.arange(len(out), dtype=np.int32)
+        return self.flat[out]
 
-def lm_scores(docs: DataFrame, name: str = WORD_BPE, limit: int = START_DOCS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    t = texts_of(docs).withColumn("held_out", held_out())
-    size = t.agg(F.sum(F.octet_length("text")).alias("bytes"), F.coalesce(F.sum(F.when(F.col("held_out"), 0).otherwise(1)), F.lit(0)).alias("docs")).first()
-    n_blocks = max(1, -(-(size["bytes"] or 0) // BLOCK_BYTES))
-    blocks = stored(packed(docs, n_blocks), "packed-texts")
-    packs = stored(word_packs(block_words(blocks), name), "word-packs")
-    ends = int(size["docs"])
-    counts, n_words, n_distinct = subword_counts(packs.where("id is not null").select("id", "n"), name)
-    counts[-1] = ends
-    v = Vocabulary.of_counts(counts)
-    scorer = Scorer(v, Attention(v.n_classes, vocabulary=v), name)
-    scorer = learn_blocks(blocks, start(docs, scorer, limit), n_blocks)
-    total, distinct = n_words + ends, n_distinct + (ends > 0)
-    below = float(np.log10(total + distinct + 1))
-    end = float(np.log10(ends + 1.0))
+
+def coded(packs: DataFrame, blocks: DataFrame, n_blocks: int, end_id: int, n_ends: int, below: float) -> DataFrame:
+    """The packed documents as IDS, in the same rows. `end_id` and `n_ends`: id and
+    count of the end; `below`: log10 of what the base divides counts by."""
     kind = lambda k: F.lit(k).alias("kind")
-    rows = packs.where("block is not null").select("block", kind(0), "data").unionByName(blocks.select("block", kind(1), "data"))
+    rows = packs.where("block is not null").select("block", kind(0), F.lit(0).alias("part"), "data").unionByName(blocks.select("block", kind(1), "part", "data"))
+    end = float(np.log10(n_ends + 1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
-        block, own, last, waiting = None, _Block(), None, []
-        joined = lambda parts: pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        block, own, open_, waiting = None, _Block(), True, []
         for b in batches:
             # a partition is one block: its words come first, then its documents
-            key = np.stack([b.column("block").to_numpy(), b.column("kind").to_numpy()], 1)
-            cuts = [0, *(np.flatnonzero(np.diff(key, axis=0).any(1)) + 1).tolist(), len(key)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if hi == lo:
-                    continue
-                part, (k, kind) = b.slice(lo, hi - lo), key[lo].tolist()
-                if k != block:
-                    if waiting:
-                        yield score(joined(waiting), own)
-                    block, own, last, waiting = k, _Block(), None, []
+            of, kinds, part = (b.column(c).to_pylist() for c in ("block", "kind", "part"))
+            for at, kind in enumerate(kinds):
+                row = b.slice(at, 1)
+                if of[at] != block:
+                    yield from code(waiting, own, block)
+                    block, own, open_, waiting = of[at], _Block(), True, []
                 if kind == 0:
-                    for _, words in unpacked(part):
+                    for _, words in unpacked(row):
                         own.add(words)
                     continue
-                if last is None:
+                if open_:
                     own.close()
-                    last = True
-                for _, s in unpacked(part):
-                    waiting.append(s)
-                    if sum(x.nbytes for x in waiting) >= SCORE_BYTES:
-                        yield score(joined(waiting), own)
-                        waiting = []
-        if waiting:
-            yield score(joined(waiting), own)
-
-    def scores_in(own: _Block, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        k = own.n[at]
-        ids = np.repeat(own.first[at] - (np.cumsum(k, dtype=np.int32) - k), k)
-        ids += np.arange(len(ids), dtype=np.int32)
-        return scorer.scores_of(np.insert(own.flat[ids], np.cumsum(lengths - 1), scorer.end), lengths)
-
-    def score(b: pa.RecordBatch, own: _Block) -> pa.RecordBatch:
+                    open_ = False
+                waiting += [(part[at], s) for _, s in unpacked(row)]
+                if sum(s.nbytes for _, s in waiting) >= SCORE_BYTES:
+                    yield from code(waiting, own, block)
+                    waiting = []
+        yield from code(waiting, own, block)
+
+    def code(waiting: list[tuple[int, pa.RecordBatch]], own: _Block, block: int) -> Iterator[pa.RecordBatch]:
+        """Words are looked up for all waiting rows at once."""
+        if not waiting:
+            return
+        b = pa.Table.from_batches([s for _, s in waiting]).combine_chunks().to_batches()[0]
         words, n = words_in(b.column("text"))
         at = pc.index_in(words, value_set=own.number)
         if at.null_count:
@@ -865,15 +915,46 @@ def lm_scores(docs: DataFrame, name: str = WORD_BPE, limit: int = START_DOCS) ->
         cuts = np.append(0, np.cumsum(n))
         total_of = lambda x: np.diff(np.append(0, np.cumsum(x))[cuts])
         base = np.array([float(own.logs[at[lo:hi]].sum()) for lo, hi in zip(cuts, cuts[1:])]) + end - (n + 1) * below
-        known = total_of(own.c[at] > 0) + (ends > 0)
-        k = own.n[at]
-        lengths = total_of(k) + 1
-        # ids and their tables are built for about TOKENS of whole texts at a time
-        parts = np.flatnonzero(np.diff(np.cumsum(lengths) // TOKENS)) + 1
-        scores = np.concatenate([scores_in(own, at[cuts[lo] : cuts[hi]], lengths[lo:hi]) for lo, hi in zip([0, *parts], [*parts, len(n)])])
-        n = n + 1
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        values = [b.column("doc_id"), b.column("held_out"), n, known, [total] * len(n), base, scores]
-        return pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(values, kinds)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return rows.repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", "kind").mapInArrow(run, SCORES)
+        known = total_of(own.c[at] > 0) + (n_ends > 0)
+        lengths = total_of(own.n[at]) + 1
+        t = pa.table([b.column("doc_id"), b.column("held_out"), pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base)], names=IDS[:-1])
+        first = 0
+        for part, s in waiting:
+            last = first + s.num_rows
+            ids = own.ids(at[cuts[first] : cuts[last]])
+            ids = np.insert(ids, np.cumsum(lengths[first:last] - 1), end_id)
+            yield packed_row(block, part, t.slice(first, last - first).append_column("ids", ids_array(ids, lengths[first:last])))
+            first = last
+
+    return rows.repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", "kind", "part").mapInArrow(run, PACKED)
+
+
+def lm_scores(docs: DataFrame, name: str = WORD_BPE, limit: int = START_DOCS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    t = texts_of(docs).withColumn("held_out", held_out())
+    size = t.agg(F.sum(F.octet_length("text")).alias("bytes"), F.coalesce(F.sum(F.when(F.col("held_out"), 0).otherwise(1)), F.lit(0)).alias("docs")).first()
+    n_blocks = max(1, -(-(size["bytes"] or 0) // BLOCK_BYTES))
+    blocks = stored(packed(docs, n_blocks), "packed-texts")
+    packs = stored(word_packs(block_words(blocks), name), "word-packs")
+    ends = int(size["docs"])
+    counts, n_words, n_distinct = subword_counts(packs.where("id is not null").select("id", "n"), name)
+    counts[-1] = ends
+    v = Vocabulary.of_counts(counts)
+    scorer = Scorer(v, Attention(v.n_classes, vocabulary=v), name)
+    total, distinct = n_words + ends, n_distinct + (ends > 0)
+    ids = stored(coded(packs, blocks, n_blocks, scorer.end, ends, float(np.log10(total + distinct + 1))), "packed-ids")
+    scorer = learn_blocks(ids, start(docs, scorer, limit), n_blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
+        for b in batches:
+            for _, own in unpacked(b):
+                target, lengths = ids_in(own.column("ids"))
+                # tables of positions are built for about TOKENS of whole texts at a time
+                last = np.cumsum(lengths)
+                cuts = [0, *(np.flatnonzero(np.diff(last // TOKENS)) + 1).tolist(), len(last)]
+                parts = [scorer.scores_of(target[last[lo] - lengths[lo] : last[hi - 1]], lengths[lo:hi]) for lo, hi in zip(cuts, cuts[1:]) if lo < hi]
+                more = [pa.array(np.full(own.num_rows, total), pa.int64()), own.column("base_score"), pa.array(np.concatenate(parts))]
+                yield pa.record_batch([*[own.column(c) for c in IDS[:4]], *more], names=[*IDS[:4], "train_tokens", "base_score", "score"])
+
+    return ids.mapInArrow(run, SCORES)

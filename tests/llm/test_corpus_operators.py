@@ -413,6 +413,27 @@ def test_lm_learns_within_bounded_memory(spark):
     assert (learned.model.p["e"] != before).any()
 
 
+def test_lm_encodes_each_text_once(spark):
+    """Documents meet their words' ids once; learning reads those ids, in the same rows as when it encodes texts itself."""
+    import copy
+
+    import pyarrow as pa
+
+    class Once(lm.Scorer):
+        def encoded(self, texts):
+            raise ValueError("a text is encoded again")
+
+    rows = [(i, words(i % 50, 150) + f" own{i}" * (i % 3)) for i in range(150)] + [(200, None), (201, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    s = unfitted_scorer([t or "" for _, t in rows])
+    blocks = lm.stored(lm.packed(d, 5), "test-texts")
+    ids = lm.stored(lm.coded(lm.word_packs(lm.block_words(blocks)), blocks, 5, s.end, 1, 0.0), "test-ids")
+    got = [x for r in ids.collect() for _, own in lm.unpacked(pa.record_batch({"block": [r.block], "data": [bytes(r.data)]})) for x in own.to_pylist()]
+    assert sorted((x["doc_id"], x["ids"], x["n_tokens"]) for x in got) == [(i, s.ids([t or ""])[0].tolist(), len((t or "").split()) + 1) for i, t in rows]
+    plain, learned = lm.learn(d, copy.deepcopy(s), 5), lm.learn_blocks(ids, Once(s.vocabulary, copy.deepcopy(s.model)), 5)
+    assert all(np.array_equal(plain.model.p[k], learned.model.p[k]) for k in s.model.p) and not np.array_equal(learned.model.p["e"], s.model.p["e"])
+
+
 def test_lm_windows_side_by_side():
     import pyarrow as pa
 
